@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pii
+from tidemark.llm import media, pii, secrets
 from tidemark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_media_columns": op1_media_columns,
+    "op3_secret_scans": op3_secret_scans,
     "op7_personal_data": op7_personal_data,
 }
 
