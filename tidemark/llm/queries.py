@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, pii, secrets
+from tidemark.llm import media, packing, pii, secrets
+from tidemark.llm.durable import cut
 from tidemark.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +26,16 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_pieces = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(spark, cut(cut_pieces))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op3_secret_scans": op3_secret_scans,
     "op7_personal_data": op7_personal_data,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
