@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, pii, secrets
+from tidemark.llm import media, packing, pii, secrets, simhash
 from tidemark.llm.durable import cut
 from tidemark.llm.frames import table
 
@@ -22,6 +23,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tied = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return tied.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -34,6 +40,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op3_secret_scans": op3_secret_scans,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
