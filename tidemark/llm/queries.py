@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, pii, secrets, simhash
+from tidemark.llm import media, packing, pii, secrets, simhash, toxicity
 from tidemark.llm.durable import cut
 from tidemark.llm.frames import table
 
@@ -37,12 +37,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, cut(cut_pieces))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_columns": op1_media_columns,
     "op3_secret_scans": op3_secret_scans,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
