@@ -47,3 +47,14 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 def batch_of(**columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+
+
+def groups_of(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Row ranges of about limit bytes each, one row at least."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and total + n > limit:
+            out.append((first, i))
+            first, total = i, 0
+        total += n
+    return [*out, (first, len(sizes))] if len(sizes) > first else out

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.frames import batch_of, id_text, map_batches, utf8_slices
+from tidemark.llm.frames import batch_of, groups_of, id_text, map_batches, utf8_slices
 
 UNIT = 64
 FRAME_ROWS = 8128
@@ -391,17 +391,6 @@ def features_of(n_bytes: list[int], stored: list[bytes]) -> list[tuple]:
     return out
 
 
-def groups_of(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Row ranges of about limit bytes each, one row at least."""
-    out, first, total = [], 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > first and total + n > limit:
-            out.append((first, i))
-            first, total = i, 0
-        total += n
-    return [*out, (first, len(sizes))] if len(sizes) > first else out
-
-
 def encode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     raw, at = utf8_slices(batch.column("text"))
     media: list[bytes] = []

@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import batch_of, id_text, utf8_slices
+from tidemark.llm.frames import batch_of, groups_of, id_text, utf8_slices
 from tidemark.llm.tokens import word_ids
 
 LIMIT = 4096
 END_ID = 1
+#: Texts whose words are looked up together.
+GROUP_BYTES = 1 << 20
 #: Pieces for which one more shard of ranks is opened.
 SHARD_ROWS = 5_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,16 +52,18 @@ def pieces(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str =
         for batch in batches:
             raw, at = utf8_slices(batch.column("text"))
             owner, piece, length, crc, parts = [], [], [], [], []
-            for i in range(batch.num_rows):
-                data = vocabulary.ids(raw[at[i] : at[i + 1]].tobytes().split()) + end
-                for k, a in enumerate(range(0, len(data), 4 * limit)):
-                    part = data[a : a + 4 * limit]
-                    owner.append(i)
-                    piece.append(k)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        parts.append(np.frombuffer(part, "<u4").astype(np.int32))
+            for first, last in groups_of(np.diff(at), GROUP_BYTES):
+                texts = [raw[at[i] : at[i + 1]].tobytes() for i in range(first, last)]
+                for i, data in enumerate(vocabulary.text_ids(texts), first):
+                    data += end
+                    for k, a in enumerate(range(0, len(data), 4 * limit)):
+                        part = data[a : a + 4 * limit]
+                        owner.append(i)
+                        piece.append(k)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            parts.append(np.frombuffer(part, "<u4").astype(np.int32))
             which = np.asarray(piece, np.int64)
             out = {
                 "doc_id": batch.column("doc_id").take(pa.array(owner, pa.int32())),

@@ -3,19 +3,26 @@
 The word tokenizer drops white space and never joins across it, so a text's ids are the ids
 of its words one after the other, and a worker keeps the ids of words that it
 has met.  Only ASCII white space splits here; other white space stays within a word, where the tokenizer itself splits.
+New words of plain letters are encoded many at a time, since each ends with the one token that is marked
+as a word's end; a full stop or comma after an ASCII letter is a token of its own, so such
+words come from their letters' ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.  A bound on memory, not on results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 #: Words over this length (bytes) aren't kept.
 KEPT_LENGTH = 64
+WORD_END = "</w>"
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+STOPPED = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
 
 
 class WordIds(dict):
@@ -27,28 +34,55 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not kept yet; keeps the short ones."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > KEPT_WORDS:
+    def text_ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts.  The tokenizer lowers letters itself; only special tokens' names must not arise from that."""
+        words: list[bytes] = []
+        cuts = [0]
+        for text in texts:
+            words += (text if b"<|" in text else text.lower()).split()
+            cuts.append(len(words))
+        ids = list(map(self.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            found = self.learn({words[i] for i in at})
+            for i in at:
+                ids[i] = found[words[i]]
+        return [b"".join(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        odd: list[bytes] = []
+        for at in range(0, len(words), 2048):
+            plain = []
+            for w in words[at : at + 2048]:
+                (plain if PLAIN.fullmatch(w.decode()) else odd).append(w)
+            ids = np.asarray(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(plain):
+                odd += plain
+                continue
+            data = ids.tobytes()
+            found.update(zip(plain, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if stops else (), strict=True))
+        for w in odd:
+            found[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't kept; keeps the short ones."""
+        parts = {w: m.groups() for w in new if (m := STOPPED.fullmatch(w))}
+        known = {x: self[x] for pair in parts.values() for x in pair if x in self}
+        found = self.encoded(sorted({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys())))
+        for w, pair in parts.items():
+            found[w] = b"".join(found[x] if x in found else known[x] for x in pair)
+        if len(self) + len(found) > KEPT_WORDS:
             self.clear()
-            new = list(words)
-        found = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                found[w] = np.asarray(e.ids, "<u4").tobytes()
         self.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
         return found
 
-    def ids(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            found = self.learn(set(words))
-            return b"".join([self[w] if w in self else found[w] for w in words])
-
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
