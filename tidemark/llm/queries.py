@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import media, packing, pii, secrets, simhash, substrings, suffixes, toxicity
+from tidemark.llm import embeddings, media, packing, pii, secrets, simhash, substrings, suffixes, toxicity
 from tidemark.llm.durable import cut
 from tidemark.llm.frames import table
 
@@ -32,6 +32,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
