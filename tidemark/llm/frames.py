@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at.astype(np.int64)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """f for each Arrow batch; the rows of a batch are independent."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,3 +59,10 @@ def groups_of(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
             first, total = i, 0
         total += n
     return [*out, (first, len(sizes))] if len(sizes) > first else out
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of df has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = (f"own_{i}" for i in range(n + len(taken)))
+    return [x for x in found if x not in taken][:n]

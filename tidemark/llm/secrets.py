@@ -221,3 +221,17 @@ def digest_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def digest(spans: DataFrame) -> DataFrame:
     return map_batches(spans, digest_batch, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def redacted_rows(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """The rows of docs, all columns as they are but for the text, in which each span is the mark; a null text stays null."""
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        spans = scan_batch(batch_of(doc_id=pa.nulls(batch.num_rows, pa.int64()), text=pa.array([t or "" for t in texts], pa.string())))
+        hit = [bool(k) for k in spans.column("kinds").to_pylist()]
+        new = pa.array([redact(t, mark) if h else t for t, h in zip(texts, hit, strict=True)], batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return map_batches(docs, run, docs.schema)

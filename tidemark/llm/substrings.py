@@ -21,11 +21,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows
-from tidemark.llm.frames import batch_of, id_text, utf8_slices
+from tidemark.llm.frames import batch_of, free_names, id_text, utf8_slices
 
 WINDOW = 13
 GRAM = 4
@@ -91,48 +91,61 @@ def kernel_of(window: int) -> windows.Kernel:
 
 
 def removed_words(joined: DataFrame, window: int, with_text: bool = False) -> DataFrame:
+    """RESULT for distinct texts; with_text: and what is left, the text itself where nothing goes, else the kept words with single spaces."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8_slices(batch.column("text"))
             found, more = windows.found_lists(batch.column("found")), windows.found_lists(batch.column("more"))
             rows = []
             for i in range(batch.num_rows):
-                words = raw[at[i] : at[i + 1]].tobytes().split()
+                text = raw[at[i] : at[i + 1]].tobytes()
+                words = text.split()
                 gone = windows.covered(len(words), window, found[i], more[i])
                 n = int(gone.sum())
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words)
-                rows.append((len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else ""))
+                rows.append((len(words), n, hashlib.sha256(kept).hexdigest(), (kept if n else text).decode() if with_text else ""))
             names = ("n_words", "n_removed", "kept_sha256") + (("kept",) if with_text else ())
             yield batch_of(m=batch.column("m"), t=batch.column("t"), **{k: pa.array([r[j] for r in rows]) for j, k in enumerate(names)})
 
     return joined.mapInArrow(run, RESULT + (", kept string" if with_text else ""))
 
 
-def _by_row(df: DataFrame, window: int, gram: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    docs = id_text(df, id_col, text_col)
+def by_text(docs: DataFrame, window: int, gram: int, with_text: bool) -> tuple[windows.Classes, DataFrame]:
+    """The classes of equal texts, and for each (h1, h2) its least id m and the result of removal for that row."""
     shape = shape_of(window, gram)
     classes = windows.distinct_texts(docs)
     joined = windows.repeated_windows(classes.texts, shape, windows.hot_anchors(docs, shape), kernel_of(window))
     results = removed_words(joined, window, with_text).dropDuplicates(["m", "t"])
-    named = classes.classes.select("h1", "h2", "m", "t").join(results, ["m", "t"]).drop("t")
-    rows = classes.light.join(named, ["h1", "h2"])
-    # a later row than the first of its text loses every window
-    again = (F.col("m0") > F.col("m")) & (F.col("n_words") >= window)
-    texts = [F.when(again, F.lit("")).otherwise(F.col("kept")).alias("kept")] if with_text else []
-    return rows.select(
+    return classes, classes.classes.select("h1", "h2", "m", "t").join(results, ["m", "t"]).drop("t")
+
+
+def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row."""
+    classes, named = by_text(id_text(df, id_col, text_col), window, gram, with_text=False)
+    again = is_later(window)
+    return classes.light.join(named, ["h1", "h2"]).select(
         "doc_id",
         "n_words",
         F.when(again, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(again, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *texts,
     )
 
 
-def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row."""
-    return _by_row(df, window, gram, id_col, text_col, with_text=False)
+def is_later(window: int) -> Column:
+    """A later row than the first of its text loses every window."""
+    return (F.col("m0") > F.col("m")) & (F.col("n_words") >= window)
 
 
-def kept_texts(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``repeated_passages``, with the kept words as text."""
-    return _by_row(df, window, gram, id_col, text_col, with_text=True)
+def without_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are but for the text, from which repeated passages are gone; a null text stays null."""
+    _, named = by_text(id_text(docs, id_col, text_col), window, gram, with_text=True)
+    own = dict(zip(("h1", "h2", "m0"), free_names(docs, 3), strict=True))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keys = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(7), text), own["m0"]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(windows.NO_ID))}
+    rows = docs.withColumns(keys).withColumn(text_col, F.col(f"`{text_col}`").isNull())
+    found = named.select(*[F.col(c).alias(f"own_found_{c}") for c in named.columns])
+    joined = rows.join(found, (F.col(own["h1"]) == F.col("own_found_h1")) & (F.col(own["h2"]) == F.col("own_found_h2")))
+    later = (F.col(own["m0"]) > F.col("own_found_m")) & (F.col("own_found_n_words") >= window)
+    left = F.when(~F.col(f"`{text_col}`"), F.when(later, F.lit("")).otherwise(F.col("own_found_kept")))
+    return joined.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -34,6 +34,7 @@ SAMPLE_TEXTS = 20_000
 HOT_TEXTS = 10
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 BLOCK = 1 << 20  # windows of a text handled at once
+MOST_WINDOWS = 8000  # of a run; 13 bits hold them
 COLD, WINDOW, DONE, COLD_AGAIN, WINDOW_AGAIN = range(5)
 ROWS = "key long, rh long, x long, m long, al long"
 FOUND = "m long, t long, key long, al long"
@@ -164,8 +165,10 @@ def anchors(texts: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
             a, c = first[keep] + base, count[keep]
             ends = (a + c + shape.window - 1) * wide
             rh = np.array([digest(raw[i:j]) for i, j in zip((a * wide).tolist(), ends.tolist(), strict=True)], _U)
-            kind = np.full(len(a), COLD_AGAIN if again else COLD)
-            out.append(np.stack([signed(hashes[keep] & ~_U(1)), signed(rh), side_hashes(grams, place[keep], shape), packed(a, c, kind)]))
+            key = hashes[keep] & ~_U(1)
+            head, c, several = one_for_equal_neighbours(key, rh, a, c)
+            kind = np.where(several & shape.again | again, COLD_AGAIN, COLD)
+            out.append(np.stack([signed(key[head]), signed(rh[head]), side_hashes(grams, place[keep][head], shape), packed(a[head], c, kind)]))
             if split.any():
                 s = np.concatenate([np.arange(f, f + k) for f, k in zip(first[split].tolist(), count[split].tolist(), strict=True)])
                 key = np.array([digest(raw[i : i + shape.window * wide]) for i in ((s + base) * wide).tolist()], _U) | _U(1)
@@ -189,6 +192,16 @@ def anchors(texts: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, ROWS)
 
 
+def one_for_equal_neighbours(key: np.ndarray, rh: np.ndarray, a: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal windows in a row, as one token over and over gives, as one run: its first row, its windows, and whether there are several."""
+    joins = np.zeros(len(a), bool)
+    joins[1:] = (key[1:] == key[:-1]) & (rh[1:] == rh[:-1]) & (count[1:] == 1) & (count[:-1] == 1) & (a[1:] == a[:-1] + 1)
+    joins[:: MOST_WINDOWS] = False
+    head = np.flatnonzero(~joins)
+    sizes = np.diff(np.append(head, len(a)))
+    return head, np.where(sizes > 1, sizes, count[head]), sizes > 1
+
+
 def merged(rows: np.ndarray, m: np.ndarray, t: np.ndarray, shape: Shape) -> pa.RecordBatch:
     """One row for equal runs of a batch; the others are done, and go their way under keys of their own."""
     key, rh, x, al = rows
