@@ -35,9 +35,10 @@ from tidemark.llm.frames import batch_of, groups_of, id_text, utf8_slices
 GIANT = 32_768
 CHUNK = 16_384
 SPACE = "▁"
-KEPT_WORDS = 800_000
+KEPT_WORDS = 1_200_000
 KEPT_LENGTH = 64
 GROUP_BYTES = 1 << 20
+STOPS = ".,"
 UNKNOWN, BEGIN, END = -1, -2, -3
 RESULT = "doc_id long, n_chars long, n_ids long, ids_crc32 long, n_chunks int, decoded_sha256 string"
 
@@ -64,6 +65,10 @@ class Pieces:
         self.fits: dict[tuple[int, int], bool] = {}
         # a piece that merging never makes of its own characters is in no path
         self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        #: Every beginning of a piece: the piece's id, or -1 if it is only a beginning.
+        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids
+        #: Neighbouring signs within any piece: between others no merge is possible.
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -98,20 +103,22 @@ class Pieces:
         """
         last: list[tuple[int, int] | None] = [None] * (stop - first + 1)
         last[0] = (before, 0)
-        ids, compatible = self.ids, self.compatible
-        for end in range(first + 1, stop + 1):
-            for size in range(min(self.longest, end - first), 0, -1):
-                start = last[end - size - first]
-                if start is None:
-                    continue
-                piece = ids.get(text[end - size : end])
+        starts, fits, compatible = self.starts, self.fits, self.compatible
+        for at in range(first, stop):
+            here = last[at - first]
+            if here is None:
+                continue
+            left = here[0]
+            for end in range(at + 1, stop + 1):
+                piece = starts.get(text[at:end])
+                if end == at + 1 and (piece is None or piece < 0) and last[end - first] is None:
+                    last[end - first] = (UNKNOWN, 1)
                 if piece is None:
-                    if size > 1 or text[end - 1] in ids:
-                        continue
-                    piece = UNKNOWN
-                if compatible(start[0], piece):
-                    last[end - first] = (piece, size)
                     break
+                if piece >= 0 and last[end - first] is None:
+                    fit = fits.get((left, piece))
+                    if compatible(left, piece) if fit is None else fit:
+                        last[end - first] = (piece, end - at)
         return last
 
     def out(self, piece: int, text: str, start: int) -> list[int]:
@@ -127,11 +134,15 @@ class Pieces:
         return [i for ids in reversed(found) for i in ids]
 
     def word(self, text: str) -> bytes:
-        """Ids of a word with its spaces before it, on its own."""
+        """Ids of a word with its spaces before it, on its own; parts between which no merge is possible on their own again."""
         found = self.words.get(text)
         if found is None:
-            ids = self.back(self.steps(text, 0, BEGIN, len(text)), text, 0, len(text))
-            found = np.asarray(ids, "<i4").tobytes()
+            cut = len(text.rstrip(STOPS))
+            if 0 < cut < len(text) and text[cut - 1 : cut + 1] not in self.pairs:
+                found = self.word(text[:cut]) + self.word(text[cut:])
+            else:
+                ids = self.back(self.steps(text, 0, BEGIN, len(text)), text, 0, len(text))
+                found = np.asarray(ids, "<i4").tobytes()
             if len(text) <= KEPT_LENGTH:
                 if len(self.words) >= KEPT_WORDS:
                     self.words.clear()
