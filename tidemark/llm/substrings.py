@@ -90,7 +90,7 @@ def kernel_of(window: int) -> windows.Kernel:
     return kernel
 
 
-def removed_words(joined: DataFrame, window: int, with_text: bool = False) -> DataFrame:
+def removed_words(joined: DataFrame, shape: windows.Shape, with_text: bool = False) -> DataFrame:
     """RESULT for distinct texts; with_text: and what is left, the text itself where nothing goes, else the kept words with single spaces."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def removed_words(joined: DataFrame, window: int, with_text: bool = False) -> Da
             for i in range(batch.num_rows):
                 text = raw[at[i] : at[i + 1]].tobytes()
                 words = text.split()
-                gone = windows.covered(len(words), window, found[i], more[i])
+                gone = windows.covered(len(words), shape, text, found[i], more[i])
                 n = int(gone.sum())
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words)
                 rows.append((len(words), n, hashlib.sha256(kept).hexdigest(), (kept if n else text).decode() if with_text else ""))
@@ -112,17 +112,17 @@ def removed_words(joined: DataFrame, window: int, with_text: bool = False) -> Da
 
 
 def by_text(docs: DataFrame, window: int, gram: int, with_text: bool) -> tuple[windows.Classes, DataFrame]:
-    """The classes of equal texts, and for each (h1, h2) its least id m and the result of removal for that row."""
+    """The classes of equal texts, and for the first row (m, t) of each the result of removal."""
     shape = shape_of(window, gram)
     classes = windows.distinct_texts(docs)
     joined = windows.repeated_windows(classes.texts, shape, windows.hot_anchors(docs, shape), kernel_of(window))
-    results = removed_words(joined, window, with_text).dropDuplicates(["m", "t"])
-    return classes, classes.classes.select("h1", "h2", "m", "t").join(results, ["m", "t"]).drop("t")
+    return classes, removed_words(joined, shape, with_text).dropDuplicates(["m", "t"])
 
 
 def repeated_passages(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row."""
-    classes, named = by_text(id_text(df, id_col, text_col), window, gram, with_text=False)
+    classes, results = by_text(id_text(df, id_col, text_col), window, gram, with_text=False)
+    named = classes.classes.select("h1", "h2", "m", "t").join(results, ["m", "t"]).drop("t")
     again = is_later(window)
     return classes.light.join(named, ["h1", "h2"]).select(
         "doc_id",
@@ -139,13 +139,14 @@ def is_later(window: int) -> Column:
 
 def without_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are but for the text, from which repeated passages are gone; a null text stays null."""
-    _, named = by_text(id_text(docs, id_col, text_col), window, gram, with_text=True)
-    own = dict(zip(("h1", "h2", "m0"), free_names(docs, 3), strict=True))
+    classes, results = by_text(id_text(docs, id_col, text_col), window, gram, with_text=True)
+    h1, h2, m0, no_text, c1, c2, m, t, m1, t1, words, kept = free_names(docs, 12)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keys = {own["h1"]: F.xxhash64(text), own["h2"]: F.xxhash64(F.lit(7), text), own["m0"]: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(windows.NO_ID))}
-    rows = docs.withColumns(keys).withColumn(text_col, F.col(f"`{text_col}`").isNull())
-    found = named.select(*[F.col(c).alias(f"own_found_{c}") for c in named.columns])
-    joined = rows.join(found, (F.col(own["h1"]) == F.col("own_found_h1")) & (F.col(own["h2"]) == F.col("own_found_h2")))
-    later = (F.col(own["m0"]) > F.col("own_found_m")) & (F.col("own_found_n_words") >= window)
-    left = F.when(~F.col(f"`{text_col}`"), F.when(later, F.lit("")).otherwise(F.col("own_found_kept")))
+    keys = {h1: F.xxhash64(text), h2: F.xxhash64(F.lit(7), text), m0: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(windows.NO_ID)), no_text: F.col(f"`{text_col}`").isNull()}
+    rows = docs.withColumns(keys).drop(text_col)
+    named = classes.classes.select(F.col("h1").alias(c1), F.col("h2").alias(c2), F.col("m").alias(m), F.col("t").alias(t))
+    found = results.select(F.col("m").alias(m1), F.col("t").alias(t1), F.col("n_words").alias(words), F.col("kept").alias(kept))
+    joined = rows.join(named, (F.col(h1) == F.col(c1)) & (F.col(h2) == F.col(c2))).join(found, (F.col(m) == F.col(m1)) & (F.col(t) == F.col(t1)))
+    later = (F.col(m0) > F.col(m)) & (F.col(words) >= window)
+    left = F.when(~F.col(no_text), F.when(later, F.lit("")).otherwise(F.col(kept)))
     return joined.select(*[left.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

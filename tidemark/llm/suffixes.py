@@ -100,7 +100,7 @@ def without(text: bytes, gone: np.ndarray) -> tuple[int, int, bytes]:
     return n, runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-def removed_bytes(joined: DataFrame, window: int) -> DataFrame:
+def removed_bytes(joined: DataFrame, shape: windows.Shape) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8_slices(batch.column("text"))
@@ -108,10 +108,10 @@ def removed_bytes(joined: DataFrame, window: int) -> DataFrame:
             rows = []
             for i, n in enumerate(batch.column("n").to_pylist()):
                 text = raw[at[i] : at[i + 1]].tobytes()
-                if n > 1 and len(text) >= window:
+                if n > 1 and len(text) >= shape.window:
                     gone = np.ones(len(text), bool)
                 else:
-                    gone = windows.covered(len(text), window, found[i], more[i])
+                    gone = windows.covered(len(text), shape, text, found[i], more[i])
                 n_removed, spans, kept = without(text, gone)
                 rows.append((len(text), n_removed, spans, hashlib.sha256(kept).hexdigest()))
             names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -126,6 +126,6 @@ def repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     shape = shape_of(window, gram)
     classes = windows.distinct_texts(docs)
     joined = windows.repeated_windows(classes.texts, shape, windows.hot_anchors(docs, shape), kernel_of(window))
-    results = removed_bytes(joined, window).dropDuplicates(["m", "t"])
+    results = removed_bytes(joined, shape).dropDuplicates(["m", "t"])
     named = classes.classes.select("h1", "h2", "m", "t").join(results, ["m", "t"]).drop("m", "t")
     return classes.light.join(named, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

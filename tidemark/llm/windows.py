@@ -35,6 +35,8 @@ HOT_TEXTS = 10
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 BLOCK = 1 << 20  # windows of a text handled at once
 MOST_WINDOWS = 8000  # of a run; 13 bits hold them
+MERGED_ROWS = 400_000  # rows of runs among which a task looks for equal ones
+EQUALS = 8190  # stands for one window and all its equals in the text
 COLD, WINDOW, DONE, COLD_AGAIN, WINDOW_AGAIN = range(5)
 ROWS = "key long, rh long, x long, m long, al long"
 FOUND = "m long, t long, key long, al long"
@@ -172,22 +174,33 @@ def anchors(texts: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
             if split.any():
                 s = np.concatenate([np.arange(f, f + k) for f, k in zip(first[split].tolist(), count[split].tolist(), strict=True)])
                 key = np.array([digest(raw[i : i + shape.window * wide]) for i in ((s + base) * wide).tolist()], _U) | _U(1)
-                kind = np.full(len(s), WINDOW_AGAIN if again else WINDOW)
-                out.append(np.stack([signed(key), signed(grams.at(s, shape.window)), np.zeros(len(s), np.int64), packed(s + base, 1, kind)]))
+                _, head, times = np.unique(key, return_index=True, return_counts=True)
+                kind = np.where((times > 1) & shape.again | again, WINDOW_AGAIN, WINDOW)
+                s = s[head]
+                out.append(np.stack([signed(key[head]), signed(grams.at(s, shape.window)), np.zeros(len(s), np.int64), packed(s + base, np.where(times > 1, EQUALS, 1), kind)]))
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            rows, m, t = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            held.clear()
+            return merged(rows, m, t, shape)
+
         for batch in batches:
             raw, at = utf8_slices(batch.column("text"))
             ids, ties, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "t", "n"))
-            parts, owner = [], []
             for i in range(batch.num_rows):
                 for part in of_text(raw[at[i] : at[i + 1]].tobytes(), shape.again and n[i] > 1):
-                    parts.append(part)
-                    owner.append(np.full(part.shape[1], i))
-            if parts and sum(map(len, owner)):
-                rows, who = np.concatenate(parts, axis=1), np.concatenate(owner)
-                yield merged(rows, ids[who], ties[who], shape)
+                    held.append((part, np.full(part.shape[1], ids[i]), np.full(part.shape[1], ties[i])))
+                    size += part.shape[1]
+            if size >= MERGED_ROWS:
+                yield flushed()
+                size = 0
+        if size:
+            yield flushed()
 
     return texts.mapInArrow(run, ROWS)
 
@@ -423,12 +436,17 @@ def repeated_windows(texts: DataFrame, shape: Shape, hot: np.ndarray, kernel: Ke
     return texts.join(found, ["m", "t"], "left").join(more, ["m", "t"], "left").select("m", "t", "n", "text", "found", "more")
 
 
-def covered(size: int, window: int, found: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Tokens under windows that go."""
+def covered(size: int, shape: Shape, text: bytes, found: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Tokens of a text, size in number, under windows that go."""
     gone = found[1][found[0] == 0]
     a = np.concatenate([gone >> 13, more[0]]).astype(np.int64)
     count = np.concatenate([gone & 0x1FFF, more[1]]).astype(np.int64)
+    some = count == EQUALS
+    if some.any():
+        hashes = Grams(shape.tokens(text)).all(shape.window)
+        equal = np.flatnonzero(np.isin(hashes, hashes[a[some]]))
+        a, count = np.append(a[~some], equal), np.append(count[~some], np.ones(len(equal), np.int64))
     steps = np.zeros(size + 1, np.int64)
     np.add.at(steps, a, 1)
-    np.add.at(steps, a + count + window - 1, -1)
+    np.add.at(steps, a + count + shape.window - 1, -1)
     return np.cumsum(steps[:-1]) > 0
