@@ -1,12 +1,372 @@
-"""Registered queries over the shared tables, each with the SQL that must give the same rows."""
+"""Registered queries over the shared tables, each with the DuckDB SQL that must give the same rows.
+
+Sums of decimal-valued doubles go through DECIMAL on both sides, so that the order of addition can't show; averages are
+rounded; integers are cast, since the engines' result types differ.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.exprs import shard_for, window_start
+from tidemark.model import DAY_US, HOUR_US, MINUTE_US
+from tidemark.operators import rollup as ru
+from tidemark.operators.joins import asof_join, band_join
+from tidemark.operators.lifecycle import admit, archive_candidates, compaction_plan, expire, row_checks, timed_ids
+from tidemark.sources.adapters import event_rows, ship_rows, table
+from tidemark.sources.segments import SORT, descriptors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+EV = "(SELECT epoch_us(ts) AS timestamp_us, event_type AS tenant, 'user_' || user_id AS series, value, props AS tags, event_id // 100 + 1 AS sequence, event_id % 100 AS ordinal FROM events)"
+SH = (
+    "(SELECT epoch_us(l_shipdate) AS timestamp_us, l_returnflag || l_linestatus AS tenant, 'supp_' || l_suppkey AS series, l_quantity AS value, '{}' AS tags, "
+    "l_orderkey + 1 AS sequence, CAST(l_linenumber AS BIGINT) AS ordinal FROM lineitem)"
+)
+CENTS = "decimal(18,2)"
+
+
+def floor_to(x: str, width: int | str) -> str:
+    """A bucket's start in DuckDB, floored below zero too."""
+    return f"({x} - ((({x}) % {width}) + {width}) % {width})"
+
+
+def register(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def cents(column: str) -> Column:
+    return F.sum(F.col(column).cast(CENTS)).cast("double")
+
+
+def in_cents(rows: DataFrame) -> DataFrame:
+    """Values as decimals, whose sums are exact."""
+    return rows.withColumn("value", F.col("value").cast(CENTS))
+
+
+def as_double(states: DataFrame) -> DataFrame:
+    """States of decimal values as the usual doubles."""
+    return states.withColumns({c: F.col(c).cast("double") for c in ("sum", "min", "max", "first", "last")})
+
+
+def rollup_sql(rows: str, width: int | str, extra: str = "") -> str:
+    w = str(width)
+    key = floor_to("timestamp_us", w)
+    order = "(timestamp_us, sequence, ordinal)"
+    return (
+        f"SELECT CAST({w} AS BIGINT) AS width_us, {key} AS bucket_us, tenant, series, tags, count(*) AS count, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sum, min(value) AS min, max(value) AS max, "
+        f"arg_min(value, {order}) AS first, arg_max(value, {order}) AS last, min(timestamp_us) AS first_timestamp_us, max(timestamp_us) AS last_timestamp_us, "
+        f"CAST(arg_min(sequence, {order}) AS BIGINT) AS first_sequence, CAST(arg_min(ordinal, {order}) AS BIGINT) AS first_ordinal, "
+        f"CAST(arg_max(sequence, {order}) AS BIGINT) AS last_sequence, CAST(arg_max(ordinal, {order}) AS BIGINT) AS last_ordinal FROM {rows} {extra} GROUP BY ALL"
+    )
+
+
+OHLC = "bucket_us, tenant, series, count, sum, round(sum / count, 6) AS average, first AS open, max AS high, min AS low, last AS close"
+
+
+def ohlc(states: DataFrame) -> DataFrame:
+    v = ru.view(states)
+    return v.select("bucket_us", "tenant", "series", "count", "sum", F.round("average", 6).alias("average"), "open", "high", "low", "close")
+
+
+# -- the five shapes of the benchmark -----------------------------------------------------------------------------
+
+
+@register(f"SELECT timestamp_us, value FROM {EV} WHERE tenant = 'click' AND series = 'user_7' AND timestamp_us >= (SELECT max(timestamp_us) - 30 * {DAY_US} FROM {EV})")
+def recent_series_time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    newest = rows.agg((F.max("timestamp_us") - 30 * DAY_US).alias("since"))
+    one = rows.where((F.col("tenant") == "click") & (F.col("series") == "user_7"))
+    return one.join(F.broadcast(newest), F.col("timestamp_us") >= F.col("since")).select("timestamp_us", "value")
+
+
+@register(f"SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {EV}")
+def full_count_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_rows(spark, sf_dir).agg(F.count("*").alias("n"), cents("value").alias("total"))
+
+
+@register(f"SELECT tenant, series, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, max(value) AS high FROM {EV} GROUP BY tenant, series")
+def cross_series_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_rows(spark, sf_dir).groupBy("tenant", "series").agg(F.count("*").alias("n"), cents("value").alias("total"), F.max("value").alias("high"))
+
+
+@register(f"SELECT {OHLC} FROM ({rollup_sql(EV, MINUTE_US)})")
+def minute_continuous_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ohlc(as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [MINUTE_US])))
+
+
+@register(f"SELECT tenant, series, timestamp_us, value, rn FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY value DESC, timestamp_us, sequence, ordinal) AS rn FROM {EV}) WHERE rn <= 5")
+def window_top_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("tenant").orderBy(F.desc("value"), "timestamp_us", "sequence", "ordinal")
+    ranked = event_rows(spark, sf_dir).withColumn("rn", F.row_number().over(w).cast("bigint"))
+    return ranked.where("rn <= 5").select("tenant", "series", "timestamp_us", "value", "rn")
+
+
+# -- rollups --------------------------------------------------------------------------------------------------------
+
+
+@register(rollup_sql(EV, MINUTE_US))
+def rollup_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [MINUTE_US]))
+
+
+@register(rollup_sql(EV, HOUR_US))
+def rollup_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [HOUR_US]))
+
+
+@register(" UNION ALL ".join(f"({rollup_sql(EV, w)})" for w in (HOUR_US, DAY_US, 7 * DAY_US)))
+def rollup_multi_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [HOUR_US, DAY_US, 7 * DAY_US]))
+
+
+@register(f"SELECT tenant, {floor_to('timestamp_us', DAY_US)} AS bucket_us, count(*) AS count, sum(value) AS sum, min(value) AS min, max(value) AS max, min(timestamp_us) AS first_timestamp_us, max(timestamp_us) AS last_timestamp_us FROM {SH} GROUP BY ALL")
+def rollup_many_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ship_rows(spark, sf_dir).withColumn("series", F.lit("all"))
+    return ru.rollup(rows, [DAY_US]).select("tenant", "bucket_us", "count", "sum", "min", "max", "first_timestamp_us", "last_timestamp_us")
+
+
+@register(f"SELECT {OHLC} FROM ({rollup_sql(EV, DAY_US)})")
+def rollup_view_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ohlc(as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [DAY_US])))
+
+
+@register(rollup_sql(EV, DAY_US))
+def rollup_coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(ru.coarsen(ru.rollup(in_cents(event_rows(spark, sf_dir)), [HOUR_US]), DAY_US))
+
+
+@register(f"SELECT tenant, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS DOUBLE) AS total, min(lo) AS low, max(hi) AS high FROM (SELECT tenant, {floor_to('timestamp_us', HOUR_US)} AS b, count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS total, min(value) AS lo, max(value) AS hi FROM {EV} GROUP BY ALL) GROUP BY tenant")
+def rollup_reaggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = ru.rollup(in_cents(event_rows(spark, sf_dir)), [HOUR_US])
+    return states.groupBy("tenant").agg(
+        F.sum("count").cast("bigint").alias("n"), F.sum("sum").cast("double").alias("total"), F.min("min").cast("double").alias("low"), F.max("max").cast("double").alias("high")
+    )
+
+
+@register(f"SELECT count(*) AS raw_rows, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS raw_sum, count(*) AS rolled_rows, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS rolled_sum FROM {EV}")
+def raw_vs_rollup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = in_cents(event_rows(spark, sf_dir))
+    raw = rows.agg(F.count("*").alias("raw_rows"), F.sum("value").cast("double").alias("raw_sum"))
+    rolled = ru.rollup(rows, [HOUR_US]).agg(F.sum("count").cast("bigint").alias("rolled_rows"), F.sum("sum").cast("double").alias("rolled_sum"))
+    return raw.crossJoin(rolled)  # one row each
+
+
+@register(rollup_sql(EV, HOUR_US))
+def rollup_incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that don't follow time, each rolled up alone, then merged."""
+    rows = in_cents(event_rows(spark, sf_dir))
+    parts = [ru.rollup(rows.where(F.pmod(F.xxhash64("sequence", "ordinal"), F.lit(4)) == i), [HOUR_US]) for i in range(4)]
+    states = parts[0]
+    for part in parts[1:]:
+        states = states.unionByName(part)
+    return as_double(ru.merge(states))
+
+
+CUT = f"(SELECT min(timestamp_us) + 200 * {DAY_US} FROM {EV})"
+
+
+@register(rollup_sql(EV, DAY_US, f"WHERE timestamp_us >= {CUT}"))
+def rollup_backfill_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = in_cents(event_rows(spark, sf_dir))
+    return as_double(ru.rollup(expire(rows, rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("cutoff"))), [DAY_US]))
+
+
+@register(f"SELECT * FROM ({rollup_sql(EV, DAY_US)}) WHERE bucket_us + width_us > {CUT}")
+def rollup_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    cutoff = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("cutoff"))
+    states = as_double(ru.rollup(in_cents(rows), [DAY_US]))
+    return states.join(F.broadcast(cutoff), F.col("bucket_us") + F.col("width_us") > F.col("cutoff")).drop("cutoff")
+
+
+@register("SELECT CAST(0 AS BIGINT) AS broken")
+def rollup_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ru.broken(ru.rollup(event_rows(spark, sf_dir), [MINUTE_US, DAY_US])).agg(F.count("*").alias("broken"))
+
+
+# -- scans, segments, lifecycle -----------------------------------------------------------------------------------
+
+
+@register(f"SELECT * FROM {EV} WHERE tenant = 'view' AND timestamp_us >= {CUT} AND timestamp_us < {CUT} + 20 * {DAY_US}")
+def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    low = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("low"))
+    inside = (F.col("timestamp_us") >= F.col("low")) & (F.col("timestamp_us") < F.col("low") + 20 * DAY_US)
+    return rows.where("tenant = 'view'").join(F.broadcast(low), inside).drop("low").orderBy(*SORT)
+
+
+#: One step of the shard hash on two 32-bit halves, over ASCII characters; the products stay below 2**63.
+FNV_STEP = "{'hi': (a.hi * 435 + (xor(a.lo, b) << 8) + ((xor(a.lo, b) * 435) >> 32)) & 4294967295, 'lo': (xor(a.lo, b) * 435) & 4294967295}"
+
+
+def fnv_sql(tenant: str, series: str, shards: int) -> str:
+    def framed(x: str) -> str:
+        return f"list_concat([CAST(length({x}) AS BIGINT), 0, 0, 0, 0, 0, 0, 0], list_transform(string_split({x}, ''), lambda c: CAST(unicode(c) AS BIGINT)))"
+
+    steps = f"list_concat({framed(tenant)}, {framed(series)})"
+    begin = "{'hi': CAST(3421674724 AS BIGINT), 'lo': CAST(2216829733 AS BIGINT), 'b': CAST(0 AS BIGINT)}"
+    items = f"list_concat([{begin}], list_transform({steps}, lambda v: {{'hi': CAST(0 AS BIGINT), 'lo': CAST(0 AS BIGINT), 'b': v}}))"
+    step = FNV_STEP.replace(", b)", ", v.b)").replace("}", ", 'b': CAST(0 AS BIGINT)}")
+    return f"(SELECT ((h.hi % {shards}) * (4294967296 % {shards}) + h.lo % {shards}) % {shards} FROM (SELECT list_reduce({items}, lambda a, v: {step}) AS h))"
+
+
+@register(f"SELECT tenant, series, CAST({fnv_sql('tenant', 'series', 8)} AS BIGINT) AS shard FROM (SELECT DISTINCT tenant, series FROM {EV})")
+def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = event_rows(spark, sf_dir).select("tenant", "series").distinct()
+    return keys.select("tenant", "series", shard_for(F.col("tenant"), F.col("series"), 8).alias("shard"))
+
+
+@register(f"SELECT {floor_to('timestamp_us - ' + str(10**16), DAY_US)} AS window_us, count(*) AS n FROM {EV} GROUP BY ALL")
+def event_window_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of times far before the epoch."""
+    early = event_rows(spark, sf_dir).select(window_start(F.col("timestamp_us") - 10**16, DAY_US).alias("window_us"))
+    return early.groupBy("window_us").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT window_us, CAST(sum(1) AS BIGINT) AS rows, min(t) AS min_us, max(t) AS max_us FROM (SELECT {floor_to('timestamp_us', 30 * DAY_US)} AS window_us, timestamp_us AS t FROM {EV}) GROUP BY window_us")
+def segment_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = descriptors(event_rows(spark, sf_dir), 8, 30 * DAY_US)
+    return found.groupBy(F.col("window").alias("window_us")).agg(F.sum("rows").cast("bigint").alias("rows"), F.min("min_us").alias("min_us"), F.max("max_us").alias("max_us"))
+
+
+SEGMENTS = f"(SELECT tenant AS shard, {floor_to('timestamp_us', 30 * DAY_US)} AS window_us, sequence % 7 AS file, count(*) AS rows, min(timestamp_us) AS min_us, max(timestamp_us) AS max_us FROM {EV} GROUP BY ALL)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven files for each tenant and month, as if seven commits had written them."""
+    rows = event_rows(spark, sf_dir)
+    keys = [F.col("tenant").alias("shard"), window_start(F.col("timestamp_us"), 30 * DAY_US).alias("window_us"), (F.col("sequence") % 7).alias("file")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("min_us"), F.max("timestamp_us").alias("max_us"))
+
+
+@register(f"SELECT shard, window_us, count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows FROM {SEGMENTS} WHERE rows < 1000 GROUP BY ALL HAVING count(*) >= 4 AND ceil(sum(rows) / 1000.0) < count(*)")
+def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction_plan(_files(spark, sf_dir), 1000, 4)
+
+
+@register(f"SELECT shard, window_us, file FROM {SEGMENTS} WHERE max_us < (SELECT max(timestamp_us) - 100 * {DAY_US} FROM {EV})")
+def archive_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return archive_candidates(files, files.agg((F.max("max_us") - 100 * DAY_US).alias("before"))).select("shard", "window_us", "file")
+
+
+@register(f"SELECT * FROM {EV} WHERE timestamp_us >= {CUT}")
+def retention_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    return expire(rows, rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("cutoff")))
+
+
+# -- admission --------------------------------------------------------------------------------------------------------
+
+#: Requests of a hundred rows each; every fifth comes twice, every tenth again with other rows.
+REQUESTS = f"(SELECT sequence AS request, 0 AS copy, md5(string_agg(CAST(value AS VARCHAR), ',' ORDER BY ordinal)) AS digest, min(timestamp_us) AS least, count(*) AS rows FROM {EV} GROUP BY sequence)"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    first = rows.groupBy(F.col("sequence").alias("request")).agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.col("value").cast("string").alias("v")))), lambda x: x["v"]), ",")).alias("digest"),
+        F.min("timestamp_us").alias("least"),
+        F.count("*").alias("rows"),
+    )
+    again = first.where("request % 5 = 0").withColumn("copy", F.lit(1))
+    other = first.where("request % 10 = 0").withColumn("copy", F.lit(2)).withColumn("digest", F.md5("digest"))
+    return first.withColumn("copy", F.lit(0)).unionByName(again).unionByName(other)
+
+
+@register(
+    f"WITH f AS {REQUESTS}, a AS (SELECT * FROM f UNION ALL SELECT request, 1, digest, least, rows FROM f WHERE request % 5 = 0 UNION ALL SELECT request, 2, md5(digest), least, rows FROM f WHERE request % 10 = 0) "
+    "SELECT a.request, a.copy, CASE WHEN a.copy = 0 THEN 'accepted' WHEN a.digest = f.digest THEN 'duplicate' ELSE 'conflict' END AS outcome FROM a JOIN f USING (request)"
+)
+def dedupe_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit(_requests(spark, sf_dir)).select("request", "copy", "outcome")
+
+
+@register(f"SELECT sequence AS request, count(*) AS rows, min(timestamp_us) >= {CUT} AS admitted FROM {EV} GROUP BY sequence")
+def lateness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole batches, by their oldest row."""
+    rows = event_rows(spark, sf_dir)
+    gate = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("gate"))
+    batches = rows.groupBy(F.col("sequence").alias("request")).agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("least"))
+    return batches.join(F.broadcast(gate)).select("request", "rows", (F.col("least") >= F.col("gate")).alias("admitted"))
+
+
+@register(
+    f"SELECT sequence AS request, CASE WHEN least < {CUT} THEN 'expired' WHEN least > {CUT} + 100 * {DAY_US} THEN 'future' ELSE 'valid' END AS outcome FROM (SELECT sequence, min(timestamp_us) AS least FROM {EV} GROUP BY sequence)"
+)
+def timed_id_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    bounds = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("floor"))
+    ids = rows.groupBy(F.col("sequence").alias("request")).agg(F.concat(F.lit("v1:"), F.min("timestamp_us").cast("string"), F.lit(":n")).alias("request_id"))
+    return timed_ids(ids.join(F.broadcast(bounds)), F.col("floor"), F.col("floor") + 100 * DAY_US).select("request", "outcome")
+
+
+@register(
+    f"SELECT problem, count(*) AS n FROM (SELECT CASE WHEN ordinal % 10 = 1 THEN 'value' WHEN ordinal % 10 = 2 THEN 'tenant' WHEN ordinal % 10 = 3 THEN 'series' ELSE 'none' END AS problem FROM {EV}) GROUP BY problem"
+)
+def validation_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digit = F.col("ordinal") % 10
+    spoilt = event_rows(spark, sf_dir).select(
+        "timestamp_us",
+        F.when(digit == 2, F.repeat(F.lit("é"), 129)).otherwise(F.col("tenant")).alias("tenant"),
+        F.when(digit == 3, "").otherwise(F.col("series")).alias("series"),
+        F.when(digit == 1, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"),
+        F.from_json("tags", "map<string,string>").alias("tags"),
+    )
+    return row_checks(spoilt).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+# -- joins that need more than a word -------------------------------------------------------------------------------
+
+
+@register(f"SELECT a.timestamp_us, a.series, a.value, b.value AS seen FROM (SELECT * FROM {EV} WHERE tenant = 'purchase') a ASOF LEFT JOIN (SELECT * FROM {EV} WHERE tenant = 'view') b ON a.series = b.series AND a.timestamp_us >= b.timestamp_us")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    left = rows.where("tenant = 'purchase'").select("timestamp_us", "series", "value")
+    right = rows.where("tenant = 'view'").select("series", "timestamp_us", F.col("value").alias("seen"))
+    return asof_join(left, right, ["series"], "timestamp_us", "timestamp_us", ["seen"])
+
+
+@register(f"SELECT a.series, a.timestamp_us, b.timestamp_us AS before_us FROM (SELECT * FROM {EV} WHERE tenant = 'purchase') a JOIN (SELECT * FROM {EV} WHERE tenant = 'click') b ON a.series = b.series AND b.timestamp_us BETWEEN a.timestamp_us - 3 * {DAY_US} AND a.timestamp_us")
+def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    left = rows.where("tenant = 'purchase'").select("series", "timestamp_us")
+    right = rows.where("tenant = 'click'").select("series", F.col("timestamp_us").alias("before_us"))
+    return band_join(left, right, ["series"], F.col("timestamp_us"), F.col("before_us"), 3 * DAY_US)
+
+
+# -- statements that both engines read alike ------------------------------------------------------------------------
+
+
+def statement(name: str, spark_sql: str, duck_sql: str | None = None, tables: str = "") -> None:
+    """Registers a Spark SQL text; {ev} and {sh} stand for measurements, other tables go by their names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views = {t: table(spark, sf_dir, t) for t in tables.split()}
+        if "{ev}" in spark_sql:
+            views["ev"] = event_rows(spark, sf_dir)
+        if "{sh}" in spark_sql:
+            views["sh"] = ship_rows(spark, sf_dir)
+        return spark.sql(spark_sql.format(**{t: "{" + t + "}" for t in views}), **views)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    if duck_sql != "":
+        text = spark_sql if duck_sql is None else duck_sql
+        ORACLES[name] = text.format(ev=EV, sh=SH, **{t: t for t in tables.split()})
+
+
+from tidemark import statements  # noqa: E402,F401  - registers the statements
