@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond that it starts afresh.  A bound on memory, not on results.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a worker keeps: those met since the last turn, and as many from before it.  A bound on memory, not on results.
+KEPT_WORDS = 300_000
 #: Words over this length (bytes) aren't kept.
 KEPT_LENGTH = 64
 WORD_END = "</w>"
@@ -30,6 +30,7 @@ class WordIds(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,14 +73,22 @@ class WordIds(dict):
         return found
 
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't kept; keeps the short ones."""
+        """Ids of words that aren't among those met lately; keeps the short ones."""
+        known = {w: self.older[w] for w in new if w in self.older}
+        self.update(known)
+        found = known | self.made(new - known.keys())
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return found
+
+    def made(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words."""
         parts = {w: m.groups() for w in new if (m := STOPPED.fullmatch(w))}
         known = {x: self[x] for pair in parts.values() for x in pair if x in self}
         found = self.encoded(sorted({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys())))
         for w, pair in parts.items():
             found[w] = b"".join(found[x] if x in found else known[x] for x in pair)
-        if len(self) + len(found) > KEPT_WORDS:
-            self.clear()
         self.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
         return found
 
