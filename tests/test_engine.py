@@ -132,6 +132,14 @@ def test_compaction_archive_and_garbage(spark, tmp_path):
     assert times(db) == [0, 1, 2] and db.collect_garbage() > 0 and times(db) == [0, 1, 2]
 
 
+def test_archived_segments_stay_readable(db, tmp_path):
+    db.create_table("metrics", {"shards": 1, "window_us": 10, "policy": {"archive_after_us": 100}})
+    db.write("metrics", "a", [row(t) for t in (0, 15, 990)], 0)
+    db.checkpoint()
+    assert db.archive(1000, str(tmp_path / "old")) == 2 and db.archive(1000, str(tmp_path / "old")) == 0
+    assert db.collect_garbage() >= 2 and times(db) == [0, 15, 990]
+
+
 def test_ship_and_restore(spark, db, tmp_path):
     db.create_table("metrics")
     db.write("metrics", "a", [row(1), row(2)], 0)

@@ -2,11 +2,16 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from tidemark import cli
 from tidemark.engine import Database
+from tidemark.model import Rejected
 from tidemark.operators import rollup as ru
 from tidemark.sources.adapters import event_rows
+from tidemark.sources.output import json_rows
 from tidemark.streaming.ingest import into_table, json_stream, rollup_deltas
+from tidemark.streaming.ingestor import Ingestor
 
 
 def test_files_into_a_table_once(spark, tmp_path):
@@ -33,6 +38,30 @@ def test_stream_of_deltas_equals_one_batch(spark, sf_dir, tmp_path):
     assert sorted(merged.collect()) == sorted(ru.rollup(rows, [3_600_000_000]).drop("sum").collect())
 
 
+def test_queue_commits_groups(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.create_table("metrics", {"rollup_widths_us": []})
+    queue = Ingestor(db, lambda: 0, slots=3, group=2)
+    rows = [{"timestamp_us": 1, "tenant": "t", "series": "s", "value": 1.0, "tags": {}}]
+    futures = [queue.submit("metrics", "a", rows), queue.submit("none", "b", rows), queue.submit("metrics", "a", rows)]
+    with pytest.raises(Rejected):
+        queue.submit("metrics", "c", rows)
+    assert queue.flush() == 3 and futures[0].result()["sequence"] == 2 and futures[2].result()["duplicate"]
+    assert isinstance(futures[1].exception(), Rejected)
+    assert (queue.stats.accepted, queue.stats.refused, queue.stats.groups) == (2, 1, 2)
+    queue.shutdown()
+    with pytest.raises(Rejected):
+        queue.submit("metrics", "d", rows)
+
+
+def test_json_results(spark):
+    df = spark.sql("SELECT CAST(1 AS DECIMAL(20,0)) AS d, named_struct('x', CAST(2 AS DECIMAL(20,0))) AS n, DATE'2024-01-02' AS day, CAST(NULL AS STRING) AS gone, 1.5D AS f")
+    assert json_rows(df) == [{"d": "1", "n": {"x": 2}, "day": "2024-01-02", "gone": None, "f": 1.5}]
+    for bad in (spark.sql("SELECT CAST('NaN' AS DOUBLE) AS f"), spark.range(5)):
+        with pytest.raises(Rejected):
+            json_rows(bad, 3)
+
+
 def test_commands(spark, tmp_path):
     root = ["--root", str(tmp_path / "db"), "--now-us", "0"]
     document = tmp_path / "w.json"

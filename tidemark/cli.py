@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from tidemark.engine import Database
+from tidemark.sources.output import json_rows
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,7 +41,7 @@ def run(spark: SparkSession, argv: list[str]) -> Any:
     """What a command prints, as JSON values."""
     a = parser().parse_args(argv)
     now = a.now_us if a.now_us is not None else time.time_ns() // 1000
-    rows = lambda df: [json.loads(r) for r in df.toJSON().collect()]  # noqa: E731  - what a terminal shows
+    rows = json_rows
     if a.command == "restore":
         return Database.restore(spark, a.remote, a.root).status()
     db = Database(spark, a.root)

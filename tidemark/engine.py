@@ -277,10 +277,14 @@ class Database:
         """Raw rows that are kept, from the files that bounds need."""
         t = self._table(table)
         shard = shard_of(self.spark, bounds.tenant, bounds.series, t["shards"]) if bounds.tenant is not None and bounds.series is not None else None
-        files = [self.store.at(s["file"]) for s in wanted([*t["hot"], *t["segments"]], bounds, shard)]
+        files = [self._place(s) for s in wanted([*t["hot"], *t["segments"]], bounds, shard)]
         out = seg.read_files(self.spark, files)
         return out if t["raw_cutoff_us"] is None else out.where(F.col("timestamp_us") >= t["raw_cutoff_us"])
 
+    def _place(self, s: dict[str, Any]) -> str:
+        """Where a file is: in an archive, or here."""
+        return f"{s['archive']}/{s['file']}" if s.get("archive") else self.store.at(s["file"])
+
     def scan(self, table: str, start_us: int | None = None, end_us: int | None = None, tenant: str | None = None, series: str | None = None) -> DataFrame:
         """Rows with start <= time < end of a tenant and series, in total order."""
         if start_us is not None and end_us is not None and start_us > end_us:
@@ -469,7 +473,7 @@ class Database:
         gone = {s["file"] for s in [*old, *across]}
         t["segments"] = [s for s in t["segments"] if s["file"] not in gone]
         if across:
-            rows = seg.read_files(self.spark, [self.store.at(s["file"]) for s in across])
+            rows = seg.read_files(self.spark, [self._place(s) for s in across])
             t["segments"] += self._segments(name, t, rows.where(F.col("timestamp_us") >= cutoff))
         return before - sum(s["rows"] for s in t["segments"])
 
@@ -477,7 +481,7 @@ class Database:
         """Small segments of a shard and window that one rewrite would make fewer."""
         groups: dict[tuple, list[dict[str, Any]]] = {}
         for s in self._table(table)["segments"]:
-            if s["rows"] < self.segment_rows:
+            if s["rows"] < self.segment_rows and not s.get("archive"):
                 groups.setdefault((s["shard"], s["window"]), []).append(s)
         enough = [g for g in groups.values() if len(g) >= self.compact_min_segments]
         return [g for g in enough if -(-sum(s["rows"] for s in g) // self.segment_rows) < len(g)]
@@ -503,12 +507,26 @@ class Database:
         age = t["policy"]["archive_after_us"]
         return [] if age is None else [s["file"] for s in t["segments"] if s["max_us"] < now_us - age]
 
+    def archive(self, now_us: int, remote_root: str) -> int:
+        """Moves old segments to the remote store, where scans read them from then on; the number of segments."""
+        remote, state, moved = Store(self.spark, remote_root), self._draft(), 0
+        for name, t in state["tables"].items():
+            old = set(self.archive_candidates(name, now_us))
+            for s in t["segments"]:
+                if s["file"] in old and not s.get("archive"):
+                    self.store.copy_to(s["file"], remote)
+                    s["archive"] = remote.root
+                    moved += 1
+        if moved:
+            self._publish(state)
+        return moved
+
     def _named_files(self) -> list[str]:
         names: list[str] = []
         for t in self.state["tables"].values():
             for folder in [*[h["file"] for h in t["hot"]], *t["deltas"]]:
                 names += [n for n, _ in self.store.files(folder)]
-            names += [s["file"] for s in t["segments"]]
+            names += [s["file"] for s in t["segments"] if not s.get("archive")]
         return names
 
     def ship(self, remote_root: str) -> int:
