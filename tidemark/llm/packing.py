@@ -36,7 +36,7 @@ from tidemark.llm.tokens import word_ids
 LIMIT = 4096
 END_ID = 1
 #: Texts whose words are looked up together.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 4 << 20
 #: Pieces for which one more shard of ranks is opened.
 SHARD_ROWS = 5_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,11 +50,11 @@ def pieces(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str =
         vocabulary = word_ids(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            raw, at = utf8_slices(batch.column("text"))
+            texts = batch.column("text")
+            _, at = utf8_slices(texts)
             owner, piece, length, crc, parts = [], [], [], [], []
             for first, last in groups_of(np.diff(at), GROUP_BYTES):
-                texts = [raw[at[i] : at[i + 1]].tobytes() for i in range(first, last)]
-                for i, data in enumerate(vocabulary.text_ids(texts), first):
+                for i, data in enumerate(vocabulary.text_ids(texts.slice(first, last - first)), first):
                     data += end
                     for k, a in enumerate(range(0, len(data), 4 * limit)):
                         part = data[a : a + 4 * limit]

@@ -4,8 +4,8 @@ The word tokenizer drops white space and never joins across it, so a text's ids
 of its words one after the other, and a worker keeps the ids of words that it
 has met.  Only ASCII white space splits here; other white space stays within a word, where the tokenizer itself splits.
 New words of plain letters are encoded many at a time, since each ends with the one token that is marked
-as a word's end; a full stop or comma after an ASCII letter is a token of its own, so such
-words come from their letters' ids.
+as a word's end; ASCII signs after an ASCII letter are tokens of their own, so such
+words come from their letters' ids and their signs'.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps: those met since the last turn, and as many from before it.  A bound on memory, not on results.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 #: Words over this length (bytes) aren't kept.
 KEPT_LENGTH = 64
 WORD_END = "</w>"
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-STOPPED = re.compile(rb"(.*[a-z])([.,]+)", re.DOTALL)
+#: ASCII signs but the apostrophe, which begins endings such as 's.
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
 
 class WordIds(dict):
@@ -39,20 +42,38 @@ class WordIds(dict):
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(WORD_END)
 
-    def text_ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of whole texts.  The tokenizer lowers letters itself; only special tokens' names must not arise from that."""
-        words: list[bytes] = []
-        cuts = [0]
-        for text in texts:
-            words += (text if b"<|" in text else text.lower()).split()
-            cuts.append(len(words))
+    def text_ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of whole texts, a string array: each distinct word of them is looked up once.
+
+        The tokenizer lowers letters itself; only special tokens' names must not arise from that.
+        """
+        named = pc.match_substring(texts, "<|")
+        low = pc.ascii_lower(texts)
+        if pc.any(named).as_py():
+            low = pc.if_else(named, texts, low)
+        words = pc.ascii_split_whitespace(low)
+        coded = words.flatten().dictionary_encode()
+        ids = self.word_list(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        at = np.repeat(starts[which] - ends[:-1], each) + np.arange(ends[-1])
+        data = np.frombuffer(b"".join(ids), "<u4")[at]
+        offsets = words.offsets.to_numpy()
+        cuts = ends[offsets - offsets[0]].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def word_list(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words."""
         ids = list(map(self.get, words))
-        if None in ids:
-            at = [i for i, x in enumerate(ids) if x is None]
+        at = [i for i, x in enumerate(ids) if x is None]
+        if at:
             found = self.learn({words[i] for i in at})
             for i in at:
                 ids[i] = found[words[i]]
-        return [b"".join(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return ids
 
     def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
@@ -60,16 +81,18 @@ class WordIds(dict):
         for at in range(0, len(words), 2048):
             plain = []
             for w in words[at : at + 2048]:
-                (plain if PLAIN.fullmatch(w.decode()) else odd).append(w)
-            ids = np.asarray(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+                (plain if w.isalpha() or PLAIN.fullmatch(w.decode()) else odd).append(w)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(plain):
                 odd += plain
                 continue
             data = ids.tobytes()
             found.update(zip(plain, [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if stops else (), strict=True))
-        for w in odd:
-            found[w] = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(odd), 2048):
+            part = odd[at : at + 2048]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                found[w] = np.asarray(e.ids, "<u4").tobytes()
         return found
 
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
@@ -84,9 +107,13 @@ class WordIds(dict):
 
     def made(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words."""
-        parts = {w: m.groups() for w in new if (m := STOPPED.fullmatch(w))}
+        parts = {}
+        for w in new:
+            letters = w.rstrip(SIGNS)
+            if letters != w and letters[-1:].islower() and b"<|" not in w:
+                parts[w] = letters, w[len(letters) :]
         known = {x: self[x] for pair in parts.values() for x in pair if x in self}
-        found = self.encoded(sorted({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys())))
+        found = self.encoded(list({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys())))
         for w, pair in parts.items():
             found[w] = b"".join(found[x] if x in found else known[x] for x in pair)
         self.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
