@@ -147,10 +147,10 @@ class Database:
         ordinal = 0
         for table, request_id, rows in requests:
             try:
-                receipt, stored = self._admit(state, table, request_id, rows, now_us, sequence, ordinal, accepted.get(table, []))
+                receipt, stored, places = self._admit(state, table, request_id, rows, now_us, sequence, ordinal, accepted.get(table, []))
                 if stored is not None:
                     accepted.setdefault(table, []).append(stored)
-                    ordinal += receipt["rows"]
+                    ordinal += places
                 results.append(receipt)
             except Rejected as refused:
                 results.append(refused)
@@ -162,27 +162,26 @@ class Database:
         return results
 
     def _frame(self, rows: DataFrame | Iterable[Any]) -> DataFrame:
-        """MEASUREMENT rows with their places."""
+        """MEASUREMENT rows with their places: of a list the index, of a frame numbers that are distinct and follow its partitions."""
         if isinstance(rows, DataFrame):
-            places = rows.select(*MEASUREMENT.names).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-            schema = StructType([f for f in MEASUREMENT.fields] + StructType().add("place", "long").fields)
-            return self.spark.createDataFrame(places, _nullable(schema))
+            return rows.select(*MEASUREMENT.names, F.monotonically_increasing_id().alias("place"))
         listed = [tuple(r[n] if isinstance(r, dict) and n in r else None for n in MEASUREMENT.names) if isinstance(r, dict) else tuple(r) for r in rows]
         if any(isinstance(r, dict) and r.keys() - set(MEASUREMENT.names) for r in rows if isinstance(r, dict)):
             raise Rejected("unknown fields in a row")
         schema = _nullable(StructType([*MEASUREMENT.fields, *StructType().add("place", "long").fields]))
         return self.spark.createDataFrame([(*r, i) for i, r in enumerate(listed)], schema)
 
-    def _admit(self, state: dict, table: str, request_id: str, rows: Any, now_us: int, sequence: int, ordinal: int, same_group: list[DataFrame]) -> tuple[dict[str, Any], DataFrame | None]:
+    def _admit(self, state: dict, table: str, request_id: str, rows: Any, now_us: int, sequence: int, ordinal: int, same_group: list[DataFrame]) -> tuple[dict[str, Any], DataFrame | None, int]:
         check_request_id(request_id)
         t = self._table(table, state)
         rows = rows if isinstance(rows, DataFrame) else list(rows)
         frame = self._frame(rows).cache()
         try:
-            row = F.struct(F.col("timestamp_us"), F.col("tenant"), F.col("series"), F.col("value"), tags_json(F.col("tags")).alias("tags"), F.col("place"))
+            row = F.struct(F.col("timestamp_us"), F.col("tenant"), F.col("series"), F.col("value"), tags_json(F.col("tags")).alias("tags"), *([] if isinstance(rows, DataFrame) else [F.col("place")]))
             checked = frame.agg(
                 F.count("*").alias("rows"),
                 F.min("timestamp_us").alias("least"),
+                F.max("place").alias("places"),
                 F.min(row_problem()).alias("problem"),
                 F.bit_xor(F.xxhash64(row)).alias("x"),
                 F.sum(F.xxhash64(F.lit(1), row).cast("decimal(38,0)")).alias("s"),
@@ -198,7 +197,7 @@ class Database:
             if old := t["receipts"].get(request_id):
                 if old["digest"] != digest:
                     raise Rejected("the request id was used for other rows")
-                return {"sequence": old["sequence"], "rows": old["rows"], "duplicate": True}, None
+                return {"sequence": old["sequence"], "rows": old["rows"], "duplicate": True}, None, 0
             late = t["policy"]["late_after_us"]
             if late is not None and checked["least"] < now_us - late:
                 raise Rejected("a row is too late")
@@ -215,7 +214,7 @@ class Database:
             frame.unpersist()
         t["receipts"][request_id] = {"sequence": sequence, "rows": checked["rows"], "digest": digest, "issued_us": issued}
         receipt = {"sequence": sequence, "rows": checked["rows"], "duplicate": False}
-        return receipt, self.spark.read.schema(STORED).parquet(self.store.at(name))
+        return receipt, self.spark.read.schema(STORED).parquet(self.store.at(name)), checked["places"] + 1
 
     def _issued(self, t: dict[str, Any], request_id: str, now_us: int) -> int | None:
         """The time in a timed id, once the table asks for one."""

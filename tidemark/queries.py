@@ -6,11 +6,14 @@ rounded; integers are cast, since the engines' result types differ.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.engine import Database
 from tidemark.functions.exprs import shard_for, window_start
 from tidemark.model import DAY_US, HOUR_US, MINUTE_US
 from tidemark.operators import rollup as ru
@@ -348,6 +351,81 @@ def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join(left, right, ["series"], F.col("timestamp_us"), F.col("before_us"), 3 * DAY_US)
 
 
+# -- the database, end to end ---------------------------------------------------------------------------------------
+
+
+def database(spark: SparkSession) -> Database:
+    """A new database in the folder that executors share, or one of this machine where there is none."""
+    context = spark.sparkContext
+    shared = context._jsc.sc().getCheckpointDir()
+    base = shared.get() if shared.isDefined() else context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="database-")
+    return Database(spark, f"{base}/database-{uuid.uuid4().hex}")
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> Database:
+    """The events as one batch, dealt into segments, with hourly and daily rollups."""
+    db = database(spark)
+    db.create_table("events", {"shards": 4, "window_us": 90 * DAY_US, "rollup_widths_us": [DAY_US]})
+    rows = event_rows(spark, sf_dir).withColumn("tags", F.from_json("tags", "map<string,string>"))
+    db.write("events", "load", rows, 0)
+    db.checkpoint()
+    db.create_continuous_aggregate("hourly", "events", HOUR_US)
+    return db
+
+
+@register(f"SELECT timestamp_us, tenant, series, value FROM {EV} WHERE tenant = 'view' AND timestamp_us >= 1710000000000000")
+def database_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir).scan("events", start_us=1710000000000000, tenant="view").select("timestamp_us", "tenant", "series", "value")
+
+
+@register(f"SELECT bucket_us, tenant, series, count, min, max, first, last FROM ({rollup_sql(EV, HOUR_US)})")
+def database_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir).query("SELECT bucket_us, tenant, series, count, min, max, first, last FROM hourly")
+
+
+@register(f"SELECT tenant, count(*) AS n, max(value) AS high FROM {EV} WHERE timestamp_us >= 1700000000000000 AND timestamp_us < 1720000000000000 GROUP BY tenant")
+def database_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir).query("SELECT tenant, count(*) AS n, max(value) AS high FROM events WHERE timestamp_us >= 1700000000000000 AND timestamp_us < 1720000000000000 GROUP BY tenant")
+
+
+@register(f"SELECT 'events' AS name, CAST(4 AS DECIMAL(20,0)) AS shards, CAST({90 * DAY_US} AS BIGINT) AS window_us, CAST(1 AS DECIMAL(20,0)) AS created_sequence")
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark)
+    db.create_table("events", {"shards": 4, "window_us": 90 * DAY_US})
+    return db.query("SELECT * FROM ts_tables()")
+
+
+@register("SELECT 'events' AS table_name, CAST(5 AS BIGINT) AS late_after_us, CAST(NULL AS BIGINT) AS retention_us, CAST(NULL AS BIGINT) AS archive_after_us, CAST(NULL AS BIGINT) AS rollup_retention_us, CAST(NULL AS BIGINT) AS idempotency_window_us, CAST(NULL AS BIGINT) AS idempotency_floor_us")
+def catalog_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark)
+    db.create_table("events")
+    db.query("CALL ts_set_policy('events', '{\"late_after_us\": 5}')")
+    return db.query("SELECT * FROM ts_policies()")
+
+
+@register(f"SELECT 'daily' AS name, 'events' AS source, CAST({DAY_US} AS BIGINT) AS width_us, CAST(2 AS DECIMAL(20,0)) AS created_sequence")
+def catalog_continuous_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark)
+    db.create_table("events")
+    db.query(f"CALL ts_create_continuous_aggregate('daily', 'events', {DAY_US})")
+    return db.query("SELECT * FROM ts_continuous_aggregates()")
+
+
+@register("SELECT name, kind, CAST(10 AS BIGINT) AS interval_us, true AS paused FROM (VALUES ('cp', 'checkpoint')) t(name, kind)")
+def catalog_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark)
+    db.query("CALL ts_create_job('cp', 'checkpoint', 10)")
+    db.query("CALL ts_pause_job('cp')")
+    return db.query("SELECT name, kind, interval_us, paused FROM ts_jobs() WHERE name = 'cp'")
+
+
+@register("SELECT CAST(1 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS sequence, true AS healthy")
+def catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = database(spark)
+    db.create_table("events")
+    return db.query("SELECT CAST(tables AS BIGINT) AS tables, CAST(sequence AS BIGINT) AS sequence, healthy FROM ts_status()")
+
+
 # -- statements that both engines read alike ------------------------------------------------------------------------
 
 
