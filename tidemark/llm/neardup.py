@@ -152,11 +152,11 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """u, root: the group of each distinct text's hash u, for rows (u, text) that stand for one text each u or repeat it."""
+    """u, root: the group of each distinct text's hash u, for rows (u, k, text) that may repeat a text under several keys k."""
     total = docs.count()
     bits, tables = table_plan(total)
     words = -(-bits * tables // 64)
-    sigs = cut(signatures(docs, words).groupBy("u").agg(F.first("sig").alias("sig")))
+    sigs = cut(signatures(docs.select("u", "text"), words).groupBy("u").agg(F.first("sig").alias("sig")))
     pairs = candidates(table_keys(sigs, bits, tables), bits)
     one = sigs.select(F.col("u").alias("a"), F.col("sig").alias("one"))
     two = sigs.select(F.col("u").alias("b"), F.col("sig").alias("two"))
@@ -169,7 +169,10 @@ def groups(docs: DataFrame) -> DataFrame:
     open_pairs = open_pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     open_pairs = cut(open_pairs)
     wanted = open_pairs.select(F.col("a").alias("u")).unionAll(open_pairs.select(F.col("b").alias("u"))).distinct()
-    sets = cut(shingle_sets(docs.join(wanted, "u", "left_semi")).groupBy("u").agg(F.first("items").alias("items")))
+    # the row with the least key speaks for its text: keyed by both, copies of one text don't meet in one task
+    speakers = docs.groupBy("u").agg(F.min("k").alias("k")).join(wanted, "u")
+    sets = shingle_sets(docs.join(speakers, ["u", "k"], "left_semi").select("u", "text"))
+    sets = cut(sets.groupBy("u").agg(F.first("items").alias("items")))
     proved = similar(open_pairs, sets)
     stars = tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(stars.unionAll(proved)).select(F.col("node").alias("u"), "root")
@@ -179,11 +182,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs that stay, with all their columns."""
     body = id_text(docs, id_col, text_col)
     own = free_names(docs, 2)
-    u = F.xxhash64("text")
-    tied = groups(body.select(u.alias("u"), "text"))
-    firsts = body.select(u.alias("u"), F.coalesce("doc_id", F.lit(NO_ID)).alias("first")).groupBy("u").agg(F.min("first").alias("first"))
+    keyed = body.select(F.xxhash64("text").alias("u"), F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "text")
+    tied = groups(keyed)
+    firsts = keyed.groupBy("u").agg(F.min("k").alias("first"))
     named = firsts.join(tied, "u", "left").withColumn("root", F.coalesce("root", "u"))
     stay = named.groupBy("root").agg(F.min(F.struct("first", "u")).alias("least")).select(F.col("least.first").alias(own[0]), F.col("least.u").alias(own[1]))
     name, text = (F.col(f"`{c}`") for c in (id_col, text_col))
-    keyed = docs.withColumn(own[0], F.coalesce(name.cast("long"), F.lit(NO_ID))).withColumn(own[1], F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    return keyed.join(stay, own).dropDuplicates(own).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(own[0], F.coalesce(name.cast("long"), F.lit(NO_ID))).withColumn(own[1], F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
+    return rows.join(stay, own).dropDuplicates(own).select(*[F.col(f"`{c}`") for c in docs.columns])
