@@ -112,6 +112,41 @@ def test_near_copies_are_found(spark):
     assert all(met >= 1 - neardup.MISSED for met in [1 - (1 - sum(math.comb(b, k) * neardup.bit_rate() ** k * (1 - neardup.bit_rate()) ** (b - k) for k in range(3))) ** t for b, t in map(neardup.table_plan, (10, 10**6, 10**10))])
 
 
+def kept_by_brute_force(texts):
+    """Numbers of the texts that stay: the least of each component."""
+    sets = [shingles(t) for t in texts]
+    number = {}
+    held = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+    flags = np.zeros((len(sets), len(number)), np.float32)
+    for i, h in enumerate(held):
+        flags[i, h] = 1
+    common, n = flags @ flags.T, flags.sum(1)
+    pairs = np.argwhere(np.triu(common >= 0.8 * (n[:, None] + n[None] - common), 1))
+    return {i for i, r in enumerate(roots(len(texts), [(int(b), int(a)) for a, b in pairs])) if i == r}
+
+
+def kept_texts(spark, texts):
+    return {r.doc_id for r in neardup.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_near_copies_in_a_family_of_similar_texts(spark):
+    rnd = np.random.default_rng(3)
+    template = [f"t{x}" for x in rnd.integers(0, 50_000, 300)]
+
+    def changed(words, n, name):
+        out = list(words)
+        for k in rnd.choice(300, n, replace=False):
+            out[k] = f"{name}x{k}"
+        return out
+
+    family = [changed(template, 5, f"f{i}") for i in range(2000)]
+    family += [changed(family[i], 3, f"c{i}") for i in range(0, 2000, 10)]
+    texts = [" ".join(family[i]) for i in rnd.permutation(len(family))]
+    expected = kept_by_brute_force(texts)
+    assert 1000 < len(expected) <= 2000
+    assert kept_texts(spark, texts) == expected
+
+
 # -- repeated bytes and words
 
 

@@ -8,8 +8,10 @@ less); a pair of texts is a candidate if one of these differs in at most two bit
 so many that a pair at the threshold is found with probability 0.97 or more.
 
 Texts of one short hash are tied to one of them, and those that meet at a variant to one another in a
-chain, so a candidate row per text and table is made however many are alike.  Candidates are verified: all bits together first, then, unless
-these leave no doubt, the shingle sets themselves.
+chain, so a candidate row per text and table is made however many are alike.  A candidate may fail where another text of the
+same hash wouldn't, so the SimHashes only come first: each text's closest candidate is verified, and what holds is tied.
+Then texts that share a band of ``BAND`` MinHashes of their five-word shingles are compared, all with all that aren't tied yet, in tiles; pairs are
+never rows.  These pairs are verified on the shingle sets themselves.
 
 Defined results: a null text is an empty one; texts of fewer than five words have one shingle, the whole; texts
 without words are alike; of each group the row with the least id stays (null ids last; of repeated rows one); an empty table gives
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.durable import cut
+from tidemark.llm.embeddings import forest
 from tidemark.llm.frames import batch_of, free_names, id_text, map_batches, utf8_slices
-from tidemark.llm.windows import NO_ID, mix
+from tidemark.llm.windows import NO_ID, in_groups, mix, starts_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -38,6 +41,11 @@ FEATURE_WORDS = 2
 MISSED = 0.03
 #: Differing bits in a hundred: under SURE the similarity is beyond doubt, over NEVER it can't be reached.
 SURE, NEVER = 4, 22
+#: MinHashes to a band, and bands: a pair at the threshold shares none with a probability of a millionth, however the texts differ.
+BAND = 6
+BANDS = math.ceil(math.log(1e-6) / math.log(1 - SIMILARITY**BAND))
+#: Rows of a tile in which texts of one band are compared.
+TILE = 512
 
 
 def bit_rate() -> float:
@@ -57,20 +65,28 @@ def table_plan(n: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISSED) / math.log(1 - met))
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of width words of the text with A-Z in lower case."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of the text with A-Z in lower case."""
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.array([digest(w) for w in words], np.uint64)
-    n = max(len(words) - width + 1, 1)
+    return np.array([digest(w) for w in text.lower().split()], np.uint64)
+
+
+def runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of the runs of width words."""
+    if not len(hashes):
+        return hashes
+    n = max(len(hashes) - width + 1, 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(width, len(words))):
+    for k in range(min(width, len(hashes))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
     return np.unique(out)
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of the runs of width words of the text with A-Z in lower case."""
+    return runs(word_hashes(text), width)
+
+
 def signature(features: np.ndarray, words: int) -> np.ndarray:
     """64 * words bits, each the majority over the features' bits under a seed of its own."""
     out = np.zeros(words, np.uint64)
@@ -83,15 +99,30 @@ def signature(features: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def band_keys(items: np.ndarray) -> np.ndarray:
+    """A hash for each band: of its number and its MinHashes of the items."""
+    numbers = np.arange(BANDS * BAND, dtype=np.uint64)
+    factors = mix((numbers + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(items), 256):
+        least = np.minimum(least, (items[at : at + 256, None] * factors).min(axis=0))
+    out = mix(numbers[:BANDS] + np.uint64(1))
+    for k in range(BAND):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + least[k * BANDS : (k + 1) * BANDS])
+    return out
+
+
 def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """u, sig of the texts of rows (u, text)."""
+    """u, sig, bands of the texts of rows (u, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = utf8_slices(batch.column("text"))
-        sigs = [signature(shingle_set(raw[at[i] : at[i + 1]].tobytes(), FEATURE_WORDS), words).view(np.int64) for i in range(batch.num_rows)]
-        return batch_of(u=batch.column("u"), sig=pa.array(sigs, pa.list_(pa.int64())))
+        hashes = [word_hashes(raw[at[i] : at[i + 1]].tobytes()) for i in range(batch.num_rows)]
+        sigs = [signature(runs(h, FEATURE_WORDS), words).view(np.int64) for h in hashes]
+        bands = [band_keys(runs(h, WORDS)).view(np.int64) for h in hashes]
+        return batch_of(u=batch.column("u"), sig=pa.array(sigs, pa.list_(pa.int64())), bands=pa.array(bands, pa.list_(pa.int64())))
 
-    return map_batches(rows, run, "u long, sig array<long>")
+    return map_batches(rows, run, "u long, sig array<long>, bands array<long>")
 
 
 def table_keys(sigs: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -151,31 +182,94 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "u long, items binary")
 
 
+def shared_bands(sigs: DataFrame) -> DataFrame:
+    """u, key: the texts of each band that several share; of bands with the same texts one."""
+    rows = sigs.select("u", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u))").alias("x"), F.sum(F.xxhash64(F.lit(7), "u").cast("decimal(38,0)")).alias("s")).where("n > 1")
+    return rows.join(shared.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def open_tiles(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """u, root, block, tile, one, two: the rows of bands that hold several roots, in each pair of tiles that they belong to."""
+    named = members.join(tied.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    rows = named.join(several.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "u"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other"))
+    return rows.select("u", "root", F.xxhash64("key", "one", "two").alias("block"), "tile", "one", "two")
+
+
+def alike(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For rows left and right of items (sets): which have the similarity."""
+    sizes = np.array([len(x) for x in items])
+    names, flat, seen = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(items)), sizes)
+    some = seen[flat] > 1
+    order = np.argsort(flat[some], kind="stable")
+    owner, column = owner[some][order], (np.cumsum(seen > 1) - 1)[flat[some][order]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((seen > 1).sum()), 1024):
+        a, b = np.searchsorted(column, [at, at + 1024])
+        held = np.zeros((len(items), 1024), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        common += held[left] @ held[right].T
+    total = sizes[left][:, None] + sizes[right][None] - common.astype(np.float64)
+    return common >= SIMILARITY * total
+
+
+def tile_links(rows: DataFrame) -> DataFrame:
+    """a, b: links that tie what each block of rows (open_tiles with items, sorted by block) ties beyond its roots."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_groups(batches, "block", 512):
+            columns = {c: batch.column(c).to_numpy() for c in ("u", "root", "block", "tile", "one", "two")}
+            heads = np.flatnonzero(starts_of(columns["block"]))
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for at, stop in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
+                root, tile = columns["root"][at:stop], columns["tile"][at:stop]
+                if (root == root[0]).all():
+                    continue
+                left, right = np.flatnonzero(tile == columns["one"][at]), np.flatnonzero(tile == columns["two"][at])
+                if not len(left) or not len(right):
+                    continue
+                items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items").slice(at, stop - at)]
+                i, j = np.nonzero(alike(items, left, right) & (root[left][:, None] != root[right][None]))
+                u = columns["u"][at:stop]
+                tied = forest(len(u), left[i], right[j])
+                some = np.flatnonzero(tied != np.arange(len(u)))
+                out.append((u[some], u[tied[some]]))
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield batch_of(a=a, b=b)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """u, root: the group of each distinct text's hash u, for rows (u, k, text) that may repeat a text under several keys k."""
     total = docs.count()
     bits, tables = table_plan(total)
     words = -(-bits * tables // 64)
-    sigs = cut(signatures(docs.select("u", "text"), words).groupBy("u").agg(F.first("sig").alias("sig")))
-    pairs = candidates(table_keys(sigs, bits, tables), bits)
+    sigs = cut(signatures(docs.select("u", "text"), words).groupBy("u").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    pairs = candidates(table_keys(sigs.select("u", "sig"), bits, tables), bits)
     one = sigs.select(F.col("u").alias("a"), F.col("sig").alias("one"))
     two = sigs.select(F.col("u").alias("b"), F.col("sig").alias("two"))
-    apart = pairs.join(one, "a").join(two, "b").select("a", "b", differing("one", "two").alias("bits"))
-    near = cut(apart.where(F.col("bits") * 100 <= NEVER * 64 * words))
-    sure = near.where(F.col("bits") * 100 <= SURE * 64 * words).select("a", "b")
-    tied = cut(components(sure))
-    name = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_pairs = near.join(name("a"), "a", "left").join(name("b"), "b", "left")
-    open_pairs = open_pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    open_pairs = cut(open_pairs)
-    wanted = open_pairs.select(F.col("a").alias("u")).unionAll(open_pairs.select(F.col("b").alias("u"))).distinct()
+    apart = pairs.join(one, "a").join(two, "b").select("a", "b", differing("one", "two").alias("bits")).where(F.col("bits") * 100 <= NEVER * 64 * words)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    closest = apart.select("bits", ends.alias("e")).groupBy("e.u").agg(F.min(F.struct("bits", "e.v")).alias("least")).select("u", "least.v", "least.bits")
+    near = cut(closest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "bits").distinct())
+    members = cut(shared_bands(sigs))
+    wanted = near.select(F.col("a").alias("u")).unionAll(near.select(F.col("b").alias("u"))).unionAll(members.select("u")).distinct()
     # the row with the least key speaks for its text: keyed by both, copies of one text don't meet in one task
     speakers = docs.groupBy("u").agg(F.min("k").alias("k")).join(wanted, "u")
     sets = shingle_sets(docs.join(speakers, ["u", "k"], "left_semi").select("u", "text"))
     sets = cut(sets.groupBy("u").agg(F.first("items").alias("items")))
-    proved = similar(open_pairs, sets)
+    sure = F.col("bits") * 100 <= SURE * 64 * words
+    tied = cut(components(similar(near.where(~sure).select("a", "b"), sets).unionAll(near.where(sure).select("a", "b"))))
+    tiles = open_tiles(members, tied).join(sets, "u").repartition("block").sortWithinPartitions("block")
     stars = tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionAll(proved)).select(F.col("node").alias("u"), "root")
+    return components(stars.unionAll(tile_links(tiles))).select(F.col("node").alias("u"), "root")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
