@@ -147,6 +147,14 @@ def test_near_copies_in_a_family_of_similar_texts(spark):
     assert kept_texts(spark, texts) == expected
 
 
+def test_texts_of_few_words_are_told_apart_by_shingles(spark):
+    rnd = np.random.default_rng(4)
+    texts = [" ".join(f"d{x}" for x in rnd.integers(0, 20, 4000)) for _ in range(6)]
+    texts += [f"{texts[0]} " + " ".join(f"n{x}" for x in range(500))]
+    assert kept_by_brute_force(texts) == set(range(6))
+    assert kept_texts(spark, texts) == set(range(6))
+
+
 # -- repeated bytes and words
 
 

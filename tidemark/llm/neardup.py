@@ -11,7 +11,7 @@ Texts of one short hash are tied to one of them, and those that meet at a varian
 chain, so a candidate row per text and table is made however many are alike.  A candidate may fail where another text of the
 same hash wouldn't, so the SimHashes only come first: each text's closest candidate is verified, and what holds is tied.
 Then texts that share a band of ``BAND`` MinHashes of their five-word shingles are compared, all with all that aren't tied yet, in tiles; pairs are
-never rows.  These pairs are verified on the shingle sets themselves.
+never rows.  Every link is verified on the shingle sets themselves; bits neither accept nor reject a pair.
 
 Defined results: a null text is an empty one; texts of fewer than five words have one shingle, the whole; texts
 without words are alike; of each group the row with the least id stays (null ids last; of repeated rows one); an empty table gives
@@ -39,8 +39,6 @@ WORDS = 5
 SIMILARITY = 0.8
 FEATURE_WORDS = 2
 MISSED = 0.03
-#: Differing bits in a hundred: under SURE the similarity is beyond doubt, over NEVER it can't be reached.
-SURE, NEVER = 4, 22
 #: MinHashes to a band, and bands: a pair at the threshold shares none with a probability of a millionth, however the texts differ.
 BAND = 6
 BANDS = math.ceil(math.log(1e-6) / math.log(1 - SIMILARITY**BAND))
@@ -255,18 +253,17 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = candidates(table_keys(sigs.select("u", "sig"), bits, tables), bits)
     one = sigs.select(F.col("u").alias("a"), F.col("sig").alias("one"))
     two = sigs.select(F.col("u").alias("b"), F.col("sig").alias("two"))
-    apart = pairs.join(one, "a").join(two, "b").select("a", "b", differing("one", "two").alias("bits")).where(F.col("bits") * 100 <= NEVER * 64 * words)
+    apart = pairs.join(one, "a").join(two, "b").select("a", "b", differing("one", "two").alias("bits"))
     ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    closest = apart.select("bits", ends.alias("e")).groupBy("e.u").agg(F.min(F.struct("bits", "e.v")).alias("least")).select("u", "least.v", "least.bits")
-    near = cut(closest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "bits").distinct())
+    closest = apart.select("bits", ends.alias("e")).groupBy("e.u").agg(F.min(F.struct("bits", "e.v")).alias("least")).select("u", "least.v")
+    near = cut(closest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
     members = cut(shared_bands(sigs))
     wanted = near.select(F.col("a").alias("u")).unionAll(near.select(F.col("b").alias("u"))).unionAll(members.select("u")).distinct()
     # the row with the least key speaks for its text: keyed by both, copies of one text don't meet in one task
     speakers = docs.groupBy("u").agg(F.min("k").alias("k")).join(wanted, "u")
     sets = shingle_sets(docs.join(speakers, ["u", "k"], "left_semi").select("u", "text"))
     sets = cut(sets.groupBy("u").agg(F.first("items").alias("items")))
-    sure = F.col("bits") * 100 <= SURE * 64 * words
-    tied = cut(components(similar(near.where(~sure).select("a", "b"), sets).unionAll(near.where(sure).select("a", "b"))))
+    tied = cut(components(similar(near, sets)))
     tiles = open_tiles(members, tied).join(sets, "u").repartition("block").sortWithinPartitions("block")
     stars = tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(stars.unionAll(tile_links(tiles))).select(F.col("node").alias("u"), "root")
