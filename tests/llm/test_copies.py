@@ -155,6 +155,19 @@ def test_texts_of_few_words_are_told_apart_by_shingles(spark):
     assert kept_texts(spark, texts) == set(range(6))
 
 
+def test_near_copies_with_a_section_more_or_less(spark):
+    rnd = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rnd.integers(0, 50_000, n)]
+    texts = [words(300) for _ in range(150)]
+    for i in range(150):
+        n, at = int(rnd.integers(45, 70)), int(rnd.integers(10, 200))
+        texts.append([texts[i] + words(n), texts[i][: 300 - n * 4 // 5], texts[i][:at] + words(n) + texts[i][at:]][i % 3])
+    texts = [" ".join(t) for t in texts]
+    expected = kept_by_brute_force(texts)
+    assert len(expected) < 200
+    assert kept_texts(spark, texts) == expected
+
+
 # -- repeated bytes and words
 
 
