@@ -286,6 +286,19 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_near_vectors_of_a_rarer_length(spark):
+    rnd = np.random.default_rng(6)
+    short = rnd.normal(size=(20, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rnd.normal(size=(200, 32)))]
+    rows += [(1000 + i, v.tolist(), 0) for i, v in enumerate(np.concatenate([short, short + rnd.normal(size=short.shape) * 0.1]))]
+    n, names = plain_links(rows)
+    assert sum(n[200:]) >= 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    for part in (df, df.orderBy("vec_id").repartitionByRange(4, "vec_id")):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(part).collect()}
+        assert all(found[i] == (k, name) for (i, _, _), k, name in zip(rows[200:], n[200:], names[200:], strict=True))
+
+
 def test_recall_on_the_shared_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]

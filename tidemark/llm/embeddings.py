@@ -78,19 +78,17 @@ def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def listed(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """LISTS: a row for each class and list it stands in.  Vectors of another length than the pivots' share list -1."""
+    """LISTS: a row for each class and list it stands in.  Vectors of another length than the pivots' share list -1, where all are compared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("embedding")
             sizes = np.diff(data.offsets.to_numpy())
             alike = np.flatnonzero(sizes == pivots.shape[1])
-            near = np.full((len(sizes), 1), -1)
+            near = np.full((len(sizes), min(PREFIX, len(pivots))), -1)
             if len(alike):
                 rows = unit(np.stack([data[int(i)].values.to_numpy() for i in alike]))
-                found = nearest(rows, pivots)
-                near = np.full((len(sizes), found.shape[1]), -1)
-                near[alike] = found
+                near[alike] = nearest(rows, pivots)
             width = np.where(sizes == pivots.shape[1], min(LISTED, near.shape[1]), 1)
             owner = np.repeat(np.arange(len(sizes)), width)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width)
@@ -120,11 +118,12 @@ def tiled(lists: DataFrame) -> DataFrame:
 
 def block_links(near: np.ndarray, vectors: np.ndarray, pivot: int, second: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i < j) of a block that count in this list; cross: only pairs of different tiles."""
-    names, flat = np.unique(near, return_inverse=True)
-    held = np.zeros((len(near), len(names)), np.float32)
-    held[np.repeat(np.arange(len(near)), near.shape[1]), flat.ravel()] = 1
-    shared = held @ held.T
-    found = (shared >= min(MIN_SHARED, near.shape[1])) & (vectors @ vectors.T >= THRESHOLD)
+    found = vectors @ vectors.T >= THRESHOLD
+    if pivot >= 0:
+        names, flat = np.unique(near, return_inverse=True)
+        held = np.zeros((len(near), len(names)), np.float32)
+        held[np.repeat(np.arange(len(near)), near.shape[1]), flat.ravel()] = 1
+        found &= held @ held.T >= min(MIN_SHARED, near.shape[1])
     if cross:
         found &= second[:, None] != second[None]
     i, j = np.nonzero(np.triu(found, 1))
