@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter, defaultdict
 
@@ -108,8 +107,7 @@ def test_near_copies_are_found(spark):
         rows.append((2 * i + 1, " ".join(text)))
     kept = neardup.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
     ids = {r.doc_id for r in kept.collect()}
-    assert all(2 * i in ids for i in range(150)) and 300 - len(ids) >= 0.97 * copies
-    assert all(met >= 1 - neardup.MISSED for met in [1 - (1 - sum(math.comb(b, k) * neardup.bit_rate() ** k * (1 - neardup.bit_rate()) ** (b - k) for k in range(3))) ** t for b, t in map(neardup.table_plan, (10, 10**6, 10**10))])
+    assert all(2 * i in ids for i in range(150)) and 300 - len(ids) >= copies
 
 
 def kept_by_brute_force(texts):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,12 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
+#: Bytes of an Arrow batch, about: a batch ends with the row that passes them.
+BATCH_BYTES = 8 << 20
+#: Rows of a side that may be broadcast: some 50 MB with four numbers each.
+BROADCAST_ROWS = 1_000_000
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches to BATCH_ROWS rows; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keeps the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES; smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(name)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
+def small_side(side: DataFrame) -> DataFrame:
+    """A side of a join, of a few numbers a row, that was cut from its lineage: broadcast if its rows, counted here, are few enough, else shuffled."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("shuffle_merge")
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,6 +59,28 @@ def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at.astype(np.int64)
 
 
+def released() -> None:
+    """Gives free memory back to the machine: a worker lives on after its task, and what it holds adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """run over the Arrow batches of each partition, small ones; a task that ends gives its memory back."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(whole, schema)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """f for each Arrow batch; the rows of a batch are independent."""
 
@@ -56,8 +90,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
             if out is not None and out.num_rows:
                 yield out
 
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def batch_of(**columns: object) -> pa.RecordBatch:

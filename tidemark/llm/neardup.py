@@ -1,21 +1,16 @@
-"""Near-duplicate texts: Jaccard similarity of their sets of five-word shingles, by SimHash balls.
+"""Near-duplicate texts: Jaccard similarity of their sets of five-word shingles, SimHash balls first, MinHash bands for the rest.
 
-Texts of that similarity differ in several bits of one SimHash, beyond any radius whose balls could be emitted.  So
-each text gets several short SimHashes (of its set of word pairs, which a changed word harms
-less); a pair of texts is a candidate if one of these differs in at most two bits.  As in
-``simhash``, each distinct short hash emits itself and its one-bit neighbours, and rows meet by variant.
-``table_plan`` says how many hashes of how many bits: longer ones for more texts, so that chance meetings stay rare, and
-so many that a pair at the threshold is found with probability 0.97 or more.
+1. Texts whose 64-bit SimHashes (of five-word shingles) are within two bits meet by ball hashing, as in ``simhash``.
+2. At the threshold about ten of 64 bits differ, beyond any radius whose balls could be emitted.  So texts that share a band of ``BAND``
+   MinHashes of their shingles are candidates too: first each text with that least member of its bands with which it shares most.
+3. What holds is tied; then all texts of a band that still holds several groups are compared in tiles; pairs are never rows.
 
-Texts of one short hash are tied to one of them, and those that meet at a variant to one another in a
-chain, so a candidate row per text and table is made however many are alike.  A candidate may fail where another text of the
-same hash wouldn't, so the SimHashes only come first: each text's closest candidate is verified, and what holds is tied.
-Then texts that share a band of ``BAND`` MinHashes of their five-word shingles are compared, all with all that aren't tied yet, in tiles; pairs are
-never rows.  Every link is verified on the shingle sets themselves; bits neither accept nor reject a pair.
+Every link is verified on the shingle sets; hashes neither accept nor reject a pair that has met.  A pair at the threshold meets in no band with a
+probability of a millionth, however the texts differ.  Texts are told apart by 128 bits.
 
 Defined results: a null text is an empty one; texts of fewer than five words have one shingle, the whole; texts
 without words are alike; of each group the row with the least id stays (null ids last; of repeated rows one); an empty table gives
-no rows; all columns of the input stay as they are.
+no rows; very long texts are handled whole; all columns of the input, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -26,41 +21,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.durable import cut
 from tidemark.llm.embeddings import forest
-from tidemark.llm.frames import batch_of, free_names, id_text, map_batches, utf8_slices
+from tidemark.llm.frames import batch_of, free_names, id_text, map_batches, mapped, small_side, utf8_slices
+from tidemark.llm.simhash import fingerprint, links
 from tidemark.llm.windows import NO_ID, in_groups, mix, starts_of
 
 WORDS = 5
 SIMILARITY = 0.8
-FEATURE_WORDS = 2
-MISSED = 0.03
 #: MinHashes to a band, and bands: a pair at the threshold shares none with a probability of a millionth, however the texts differ.
 BAND = 6
 BANDS = math.ceil(math.log(1e-6) / math.log(1 - SIMILARITY**BAND))
-#: Rows of a tile in which texts of one band are compared.
+#: Rows and shingles of a tile in which texts of one band are compared.
 TILE = 512
-
-
-def bit_rate() -> float:
-    """Share of SimHash bits that differ for two texts at the threshold.
-
-    With a share e of words changed, sets of w-word shingles have the similarity (1 - we) / (1 + we), and the cosine 1 - we.
-    """
-    e = (1 - SIMILARITY) / (1 + SIMILARITY) / WORDS
-    return math.acos(1 - FEATURE_WORDS * e) / math.pi
-
-
-def table_plan(n: int) -> tuple[int, int]:
-    """(bits, tables) for n distinct texts."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))) + 14, 32), 48)
-    p = bit_rate()
-    met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return bits, math.ceil(math.log(MISSED) / math.log(1 - met))
+TILE_ITEMS = 1 << 19
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -70,31 +48,19 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of width words."""
+    """Hashes of the runs of width words, repeats included; of fewer words one, of none none."""
     if not len(hashes):
         return hashes
     n = max(len(hashes) - width + 1, 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(width, len(hashes))):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n])
-    return np.unique(out)
+    return out
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Distinct hashes of the runs of width words of the text with A-Z in lower case."""
-    return runs(word_hashes(text), width)
-
-
-def signature(features: np.ndarray, words: int) -> np.ndarray:
-    """64 * words bits, each the majority over the features' bits under a seed of its own."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words if len(features) else 0):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(features), 1 << 14):
-            raw = mix(features[at : at + (1 << 14)] + np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1))).view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(features), bitorder="little").view("<u8")[0]
-    return out
+    """Distinct hashes of the runs of width words of the text with A-Z in lower case, sorted."""
+    return np.unique(runs(word_hashes(text), width))
 
 
 def band_keys(items: np.ndarray) -> np.ndarray:
@@ -110,47 +76,47 @@ def band_keys(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """u, sig, bands of the texts of rows (u, text)."""
+def signatures(rows: DataFrame) -> DataFrame:
+    """h1, h2, size, fp, bands of the texts of rows (h1, h2, text), equal texts of a batch once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = utf8_slices(batch.column("text"))
-        hashes = [word_hashes(raw[at[i] : at[i + 1]].tobytes()) for i in range(batch.num_rows)]
-        sigs = [signature(runs(h, FEATURE_WORDS), words).view(np.int64) for h in hashes]
-        bands = [band_keys(runs(h, WORDS)).view(np.int64) for h in hashes]
-        return batch_of(u=batch.column("u"), sig=pa.array(sigs, pa.list_(pa.int64())), bands=pa.array(bands, pa.list_(pa.int64())))
-
-    return map_batches(rows, run, "u long, sig array<long>, bands array<long>")
-
-
-def table_keys(sigs: DataFrame, bits: int, tables: int) -> DataFrame:
-    """u, key: the short hashes of each signature, the table's number above its bits."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = np.stack([s.values.to_numpy() for s in batch.column("sig")]).astype("<i8")
-        flags = np.unpackbits(raw.view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")[:, : bits * tables]
-        wide = np.zeros((len(raw), tables, 64), np.uint8)
-        wide[:, :, :bits] = flags.reshape(len(raw), tables, bits)
-        keys = np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0] | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))
-        owner = np.repeat(np.arange(len(raw)), tables)
-        return batch_of(u=batch.column("u").take(pa.array(owner)), key=keys.ravel().view(np.int64))
+        names = np.stack([batch.column(c).to_numpy() for c in ("h1", "h2")], axis=1)
+        _, which = np.unique(names, axis=0, return_index=True)
+        sizes, fps, bands = [], [], []
+        for i in which.tolist():
+            found = runs(word_hashes(raw[at[i] : at[i + 1]].tobytes()), WORDS)
+            fps.append(fingerprint(found))
+            found = np.unique(found)
+            sizes.append(len(found))
+            bands.append(band_keys(found).view(np.int64))
+        return batch_of(
+            h1=names[which, 0], h2=names[which, 1], size=pa.array(sizes, pa.int64()), fp=np.array(fps, np.uint64).view(np.int64), bands=pa.array(bands, pa.list_(pa.int64()))
+        )
+
+    return map_batches(rows, run, "h1 long, h2 long, size long, fp long, bands array<long>")
+
+
+def ball_pairs(sigs: DataFrame) -> DataFrame:
+    """a, b: texts (u) of one fingerprint, or of fingerprints that the balls tie."""
+    heads = sigs.groupBy("fp").agg(F.min("u").alias("head"), F.count("*").alias("n"))
+    same = sigs.join(heads.where("n > 1"), "fp").where("u <> head").select(F.col("head").alias("a"), F.col("u").alias("b"))
+    met = links(heads.select("fp"))
+    one, two = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"u{x}")) for x in ("a", "b"))
+    return same.unionAll(met.join(one, "a").join(two, "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")))
 
-    return map_batches(sigs, run, "u long, key long")
 
-
-def candidates(keys: DataFrame, bits: int) -> DataFrame:
-    """a, b (a < b): distinct candidate pairs."""
-    heads = keys.groupBy("key").agg(F.min("u").alias("head"), F.count("*").alias("n"))
-    same = keys.join(heads.where("n > 1"), "key").where("u <> head").select(F.col("head").alias("a"), F.col("u").alias("b"))
-    ball = heads.select("head", F.explode(F.expr(f"transform(sequence(0, {bits}), i -> if(i = {bits}, key, key ^ shiftleft(1L, i)))")).alias("variant"))
-    by_variant = Window.partitionBy("variant").orderBy("head")
-    met = ball.select(F.lag("head").over(by_variant).alias("a"), F.col("head").alias("b")).where("a is not null and a <> b")
-    both = same.unionAll(met)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def shared_bands(sigs: DataFrame) -> DataFrame:
+    """key, u, size, head: the texts of each band that several share, and the least of them."""
+    rows = sigs.select("u", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("u").alias("head"), F.max("u").alias("top")).where("head <> top").select("key", "head")
+    return rows.join(shared, "key").join(sigs.select("u", "size"), "u")
 
 
-def differing(left: str, right: str) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def best_pairs(members: DataFrame) -> DataFrame:
+    """a, b: each text and that head of its bands with which it shares most."""
+    shared = members.where("u <> head").groupBy("u", "head").agg(F.count("*").alias("n"))
+    return shared.groupBy("u").agg(F.max(F.struct("n", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("u").alias("b"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,16 +128,18 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                one, two = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("one", "two"))
+                one, two = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("one", "two"))
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 total = len(one) + len(two) - common
                 keep.append(not total or common >= SIMILARITY * total)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
+    """u, items of the texts of rows (u, text)."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, at = utf8_slices(batch.column("text"))
         items = [shingle_set(raw[at[i] : at[i + 1]].tobytes(), WORDS).tobytes() for i in range(batch.num_rows)]
@@ -180,18 +148,17 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "u long, items binary")
 
 
-def shared_bands(sigs: DataFrame) -> DataFrame:
-    """u, key: the texts of each band that several share; of bands with the same texts one."""
-    rows = sigs.select("u", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u))").alias("x"), F.sum(F.xxhash64(F.lit(7), "u").cast("decimal(38,0)")).alias("s")).where("n > 1")
-    return rows.join(shared.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key")
-
-
 def open_tiles(members: DataFrame, tied: DataFrame) -> DataFrame:
-    """u, root, block, tile, one, two: the rows of bands that hold several roots, in each pair of tiles that they belong to."""
+    """u, root, block, tile, one, two: the rows of bands that hold several roots, in each pair of tiles that they belong to.
+
+    Of bands with the same texts one is enough.
+    """
     named = members.join(tied.select(F.col("node").alias("u"), "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
-    rows = named.join(several.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key")
+    marks = [F.expr("bit_xor(xxhash64(u))").alias("x"), F.sum(F.xxhash64(F.lit(7), "u").cast("decimal(38,0)")).alias("s")]
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size"), *marks).where("low <> high")
+    one = several.groupBy("n", "size", "x", "s").agg(F.min("key").alias("key"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_ITEMS)).cast("int")
+    rows = named.join(one.select("key", tiles.alias("tiles")), "key")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "u"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumn("one", F.least("tile", "other")).withColumn("two", F.greatest("tile", "other"))
@@ -241,43 +208,57 @@ def tile_links(rows: DataFrame) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield batch_of(a=a, b=b)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return mapped(rows, run, "a long, b long")
+
+
+def text_hashes(text: str | Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """u, root: the group of each distinct text's hash u, for rows (u, k, text) that may repeat a text under several keys k."""
-    total = docs.count()
-    bits, tables = table_plan(total)
-    words = -(-bits * tables // 64)
-    sigs = cut(signatures(docs.select("u", "text"), words).groupBy("u").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    pairs = candidates(table_keys(sigs.select("u", "sig"), bits, tables), bits)
-    one = sigs.select(F.col("u").alias("a"), F.col("sig").alias("one"))
-    two = sigs.select(F.col("u").alias("b"), F.col("sig").alias("two"))
-    apart = pairs.join(one, "a").join(two, "b").select("a", "b", differing("one", "two").alias("bits"))
-    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    closest = apart.select("bits", ends.alias("e")).groupBy("e.u").agg(F.min(F.struct("bits", "e.v")).alias("least")).select("u", "least.v")
-    near = cut(closest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    """h1, h2, root: the group of each distinct text of rows (h1, h2, k, text) that isn't alone; k tells rows of a text apart."""
+    found = signatures(docs.select("h1", "h2", "text")).groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("size", "fp", "bands")])
+    sigs = cut(found.withColumn("u", F.monotonically_increasing_id()))
     members = cut(shared_bands(sigs))
-    wanted = near.select(F.col("a").alias("u")).unionAll(near.select(F.col("b").alias("u"))).unionAll(members.select("u")).distinct()
-    # the row with the least key speaks for its text: keyed by both, copies of one text don't meet in one task
-    speakers = docs.groupBy("u").agg(F.min("k").alias("k")).join(wanted, "u")
-    sets = shingle_sets(docs.join(speakers, ["u", "k"], "left_semi").select("u", "text"))
-    sets = cut(sets.groupBy("u").agg(F.first("items").alias("items")))
-    tied = cut(components(similar(near, sets)))
+    pairs = ball_pairs(sigs.select("u", "fp")).unionAll(best_pairs(members))
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("u")).unionAll(pairs.select(F.col("b").alias("u"))).unionAll(members.select("u")).distinct()
+    named = sigs.select("u", "h1", "h2").join(wanted, "u")
+    # the row with the least key speaks for its text: keyed by all three, copies of one text don't meet in one task
+    least = docs.groupBy("h1", "h2").agg(F.min("k").alias("k"))
+    speakers = cut(least.join(named, ["h1", "h2"]).select("u", "h1", "h2", "k"))
+    texts = docs.join(small_side(speakers), ["h1", "h2", "k"]).select("u", "text")
+    sets = cut(shingle_sets(texts).groupBy("u").agg(F.first("items").alias("items")))
+    tied = cut(components(similar(pairs, sets)))
     tiles = open_tiles(members, tied).join(sets, "u").repartition("block").sortWithinPartitions("block")
     stars = tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionAll(tile_links(tiles))).select(F.col("node").alias("u"), "root")
+    whole = components(stars.unionAll(tile_links(tiles)))
+    return sigs.select("u", "h1", "h2").join(whole.select(F.col("node").alias("u"), "root"), "u").select("h1", "h2", "root")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    body = id_text(docs, id_col, text_col)
-    own = free_names(docs, 2)
-    keyed = body.select(F.xxhash64("text").alias("u"), F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "text")
-    tied = groups(keyed)
-    firsts = keyed.groupBy("u").agg(F.min("k").alias("first"))
-    named = firsts.join(tied, "u", "left").withColumn("root", F.coalesce("root", "u"))
-    stay = named.groupBy("root").agg(F.min(F.struct("first", "u")).alias("least")).select(F.col("least.first").alias(own[0]), F.col("least.u").alias(own[1]))
-    name, text = (F.col(f"`{c}`") for c in (id_col, text_col))
-    rows = docs.withColumn(own[0], F.coalesce(name.cast("long"), F.lit(NO_ID))).withColumn(own[1], F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))))
-    return rows.join(stay, own).dropDuplicates(own).select(*[F.col(f"`{c}`") for c in docs.columns])
+    h1, h2 = text_hashes("text")
+    keyed = id_text(docs, id_col, text_col).select(h1.alias("h1"), h2.alias("h2"), F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "text")
+    # by text and key first: copies of one text under many keys don't meet in one task
+    counts = keyed.groupBy("h1", "h2", "k").agg(F.count("*").alias("times"))
+    texts = counts.groupBy("h1", "h2").agg(F.min(F.struct("k", "times")).alias("least"), F.sum("times").alias("n")).select("h1", "h2", "least.*", "n")
+    named = texts.join(groups(keyed), ["h1", "h2"], "left")
+    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "h1", "h2")).alias("stays"))
+    marked = named.join(first, "root", "left")
+    stays = F.col("root").isNull() | (F.struct("k", "h1", "h2") == F.col("stays"))
+    # what has to be known of rows: of texts that go, and of texts with several rows
+    special = cut(marked.select("h1", "h2", "k", "times", "n", stays.alias("stays")).where("not stays or n > 1").drop("n"))
+    repeats = special.where("stays and times > 1").limit(1).count() > 0
+    own = dict(zip(("h1", "h2", "k", "s1", "s2", "sk", "stays", "times"), free_names(docs, 8), strict=True))
+    text, name = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    rows = docs.withColumns(dict(zip((own["h1"], own["h2"], own["k"]), (*text_hashes(text), F.coalesce(name, F.lit(NO_ID))), strict=True)))
+    sides = special.select(*[F.col(a).alias(own[b]) for a, b in (("h1", "s1"), ("h2", "s2"), ("k", "sk"), ("stays", "stays"), ("times", "times"))])
+    met = rows.join(small_side(sides), (F.col(own["h1"]) == F.col(own["s1"])) & (F.col(own["h2"]) == F.col(own["s2"])), "left")
+    met = met.where(F.col(own["stays"]).isNull() | (F.col(own["stays"]) & (F.col(own["k"]) == F.col(own["sk"]))))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not repeats:
+        return met.select(*columns)
+    several = F.coalesce(F.col(own["times"]) > 1, F.lit(False))
+    return met.where(~several).select(*columns).unionAll(met.where(several).dropDuplicates([own["h1"], own["h2"]]).select(*columns))
