@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.durable import cut
-from tidemark.llm.frames import batch_of
+from tidemark.llm.frames import batch_of, mapped
 from tidemark.llm.windows import in_groups, starts_of
 
 THRESHOLD = 0.93
@@ -102,7 +102,7 @@ def listed(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
                 vector=data.take(take),
             )
 
-    return classes.mapInArrow(run, LISTS)
+    return mapped(classes, run, LISTS)
 
 
 def tiled(lists: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def block_results(rows: DataFrame) -> DataFrame:
                 cid, links, root = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield batch_of(cid=cid, links=links, root=root)
 
-    return rows.mapInArrow(run, "cid long, links long, root long")
+    return mapped(rows, run, "cid long, links long, root long")
 
 
 def is_sound(vector: str, label: str) -> Column:

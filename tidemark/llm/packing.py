@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import batch_of, groups_of, id_text, utf8_slices
+from tidemark.llm.frames import batch_of, groups_of, id_text, mapped, utf8_slices
 from tidemark.llm.tokens import word_ids
 
 LIMIT = 4096
@@ -77,7 +77,7 @@ def pieces(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str =
             if owner:
                 yield batch_of(**out)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return mapped(id_text(df, id_col, text_col), run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class Rooms:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.durable import cut
-from tidemark.llm.frames import batch_of, groups_of, id_text, utf8_slices
+from tidemark.llm.frames import batch_of, groups_of, id_text, mapped, utf8_slices
 
 GIANT = 32_768
 CHUNK = 16_384
@@ -359,7 +359,7 @@ def small_texts(docs: DataFrame, path: str) -> DataFrame:
                 rows.append(result_of(pieces.whole(normal(text)), len(text), 1, pieces))
             yield result_batch(batch.column("doc_id"), rows)
 
-    return docs.mapInArrow(run, RESULT)
+    return mapped(docs, run, RESULT)
 
 
 def giant_texts(docs: DataFrame, path: str) -> DataFrame:
@@ -413,14 +413,14 @@ def giant_texts(docs: DataFrame, path: str) -> DataFrame:
             rows = [result_of(b"".join(p["ids"] for p in r["parts"]), r["n_chars"], len(r["parts"]), pieces) for r in batch.to_pylist()]
             yield result_batch(batch.column("doc_id"), rows)
 
-    chunks = cut(keyed.select("uid", "text").mapInArrow(split, "uid long, k int, around string, lo int, hi int, first boolean, final boolean").repartition("uid", "k"))
-    matrices = chunks.mapInArrow(transfer, "uid long, k int, ins array<int>, outs array<int>, open array<boolean>")
+    chunks = cut(mapped(keyed.select("uid", "text"), split, "uid long, k int, around string, lo int, hi int, first boolean, final boolean").repartition("uid", "k"))
+    matrices = mapped(chunks, transfer, "uid long, k int, ins array<int>, outs array<int>, open array<boolean>")
     gathered = matrices.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ins", "outs", "open"))).alias("parts"))
-    states = gathered.mapInArrow(choose, "uid long, k int, enter array<int>, leave array<int>")
-    found = chunks.join(states, ["uid", "k"]).mapInArrow(backtrace, "uid long, k int, ids binary")
+    states = mapped(gathered, choose, "uid long, k int, enter array<int>, leave array<int>")
+    found = mapped(chunks.join(states, ["uid", "k"]), backtrace, "uid long, k int, ids binary")
     whole = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     heads = keyed.select("uid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
-    return heads.join(whole, "uid").select("doc_id", "n_chars", "parts").mapInArrow(finish, RESULT)
+    return mapped(heads.join(whole, "uid").select("doc_id", "n_chars", "parts"), finish, RESULT)
 
 
 TRANSFER_TYPE = pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32())), ("open", pa.list_(pa.bool_()))])

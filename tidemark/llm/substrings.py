@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows
-from tidemark.llm.frames import batch_of, free_names, id_text, utf8_slices
+from tidemark.llm.frames import batch_of, free_names, id_text, mapped, utf8_slices
 
 WINDOW = 13
 GRAM = 4
@@ -108,7 +108,7 @@ def removed_words(joined: DataFrame, shape: windows.Shape, with_text: bool = Fal
             names = ("n_words", "n_removed", "kept_sha256") + (("kept",) if with_text else ())
             yield batch_of(m=batch.column("m"), t=batch.column("t"), **{k: pa.array([r[j] for r in rows]) for j, k in enumerate(names)})
 
-    return joined.mapInArrow(run, RESULT + (", kept string" if with_text else ""))
+    return mapped(joined, run, RESULT + (", kept string" if with_text else ""))
 
 
 def by_text(docs: DataFrame, window: int, gram: int, with_text: bool) -> tuple[windows.Classes, DataFrame]:

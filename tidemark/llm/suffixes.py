@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows
-from tidemark.llm.frames import batch_of, id_text, utf8_slices
+from tidemark.llm.frames import batch_of, id_text, mapped, utf8_slices
 
 WINDOW = 200
 GRAM = 40
@@ -117,7 +117,7 @@ def removed_bytes(joined: DataFrame, shape: windows.Shape) -> DataFrame:
             names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
             yield batch_of(m=batch.column("m"), t=batch.column("t"), **{k: pa.array([r[j] for r in rows]) for j, k in enumerate(names)})
 
-    return joined.mapInArrow(run, RESULT)
+    return mapped(joined, run, RESULT)
 
 
 def repeated_bytes(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

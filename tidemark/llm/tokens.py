@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker keeps: those met since the last turn, and as many from before it.  A bound on memory, not on results.
-KEPT_WORDS = 400_000
+#: Bytes of words and ids that a worker keeps: those met since the last turn, and as many from before it.  A bound on memory, not on results.
+KEPT_BYTES = 24 << 20
+#: What an entry takes besides.
+ENTRY_BYTES = 170
 #: Words over this length (bytes) aren't kept.
 KEPT_LENGTH = 64
 WORD_END = "</w>"
@@ -34,6 +36,7 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,13 +101,19 @@ class WordIds(dict):
     def learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't among those met lately; keeps the short ones."""
         known = {w: self.older[w] for w in new if w in self.older}
-        self.update(known)
+        self.keep(known)
         found = known | self.made(new - known.keys())
-        if len(self) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self.older = dict(self)
             self.clear()
+            self.held = 0
         return found
 
+    def keep(self, found: dict[bytes, bytes]) -> None:
+        short = {w: ids for w, ids in found.items() if len(w) <= KEPT_LENGTH}
+        self.update(short)
+        self.held += ENTRY_BYTES * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
+
     def made(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words."""
         parts = {}
@@ -116,7 +125,7 @@ class WordIds(dict):
         found = self.encoded(list({x for pair in parts.values() for x in pair if x not in known} | (new - parts.keys())))
         for w, pair in parts.items():
             found[w] = b"".join(found[x] if x in found else known[x] for x in pair)
-        self.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_LENGTH)
+        self.keep(found)
         return found
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import batch_of, utf8_slices
+from tidemark.llm.frames import batch_of, mapped, utf8_slices
 
 SAMPLE_TEXTS = 20_000
 HOT_TEXTS = 10
@@ -202,7 +202,7 @@ def anchors(texts: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
         if size:
             yield flushed()
 
-    return texts.mapInArrow(run, ROWS)
+    return mapped(texts, run, ROWS)
 
 
 def one_for_equal_neighbours(key: np.ndarray, rh: np.ndarray, a: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +270,7 @@ def resolve(rows: DataFrame, shape: Shape) -> DataFrame:
             if out.num_rows:
                 yield out
 
-    return rows.mapInArrow(run, FOUND)
+    return mapped(rows, run, FOUND)
 
 
 def starts_of(*columns: np.ndarray) -> np.ndarray:
@@ -349,7 +349,7 @@ def contents(joined: DataFrame, shape: Shape) -> DataFrame:
             if out["key"]:
                 yield batch_of(**{n: pa.array(v, pa.binary() if n == "content" else pa.int32() if n in ("l", "at") else pa.int64()) for n, v in out.items()})
 
-    return joined.mapInArrow(run, CONTENT)
+    return mapped(joined, run, CONTENT)
 
 
 def found_lists(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -384,7 +384,7 @@ def compare(content: DataFrame, kernel: Kernel) -> DataFrame:
             who = owner[hit[heads]]
             yield batch_of(m=m[who], t=t[who], a=a[who] + place[hit[heads]], l=np.diff(np.append(heads, len(hit))))
 
-    return content.mapInArrow(run, RANGES)
+    return mapped(content, run, RANGES)
 
 
 def hot_anchors(docs: DataFrame, shape: Shape) -> np.ndarray:
@@ -400,7 +400,7 @@ def hot_anchors(docs: DataFrame, shape: Shape) -> np.ndarray:
                 names, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield batch_of(key=signed(names), n=counts)
 
-    counted = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
+    counted = mapped(sample, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TEXTS)
     return np.sort(np.array([r["key"] for r in counted.select("key").collect()], np.int64).view(_U))
 
 
