@@ -237,3 +237,44 @@ def test_workload_against_a_plain_model(db):
     assert ru.broken(states).count() == 0
     again = Database(db.spark, db.store.root)
     assert again.sequence == db.sequence and again.rows("metrics").count() == len(expected)
+
+
+def test_literals_that_look_like_conditions_prune_nothing(db):
+    db.create_table("metrics", {"shards": 4, "window_us": 10, "rollup_widths_us": []})
+    odd = "x AND timestamp_us >= 99 AND y"
+    db.write("metrics", "a", [row(t, t, tenant=n) for t in range(0, 60, 10) for n in (odd, "a OR b", "NOT (c)", r"d\'e", "a")], 0)
+    db.checkpoint()
+    everything = db.rows("metrics").collect()
+    for where, keep in (
+        (f"tenant = '{odd}'", lambda r: r.tenant == odd),
+        (f"tenant = '{odd}' AND timestamp_us < 30", lambda r: r.tenant == odd and r.timestamp_us < 30),
+        ("tenant = 'a OR b' AND series = 'cpu'", lambda r: r.tenant == "a OR b"),
+        ("tenant = 'NOT (c)' AND timestamp_us > 20", lambda r: r.tenant == "NOT (c)" and r.timestamp_us > 20),
+        (r"tenant = 'd\''e'", lambda r: r.tenant == r"d\'e"),
+        ("((timestamp_us >= 50) AND (value > 1)) IS NULL", lambda r: False),
+        ("((timestamp_us >= 50) AND (value > 1)) IS NOT NULL", lambda r: True),
+        ("(timestamp_us >= 50 AND value > 1) = false", lambda r: not (r.timestamp_us >= 50 and r.value > 1)),
+        ("CASE WHEN timestamp_us >= 50 THEN true ELSE value < 20 END", lambda r: r.timestamp_us >= 50 or r.value < 20),
+        ("30 <= timestamp_us AND 40 > timestamp_us", lambda r: 30 <= r.timestamp_us < 40),
+        ("timestamp_us + 10 >= 50", lambda r: r.timestamp_us >= 40),
+        ("timestamp_us IN (10, 50)", lambda r: r.timestamp_us in (10, 50)),
+    ):
+        got = db.query(f"SELECT * FROM metrics WHERE {where}").collect()
+        assert sorted(got) == sorted(r for r in everything if keep(r)), where
+    renamed = db.query("SELECT timestamp_us FROM (SELECT value AS timestamp_us, timestamp_us AS t FROM metrics) WHERE timestamp_us >= 50")
+    assert renamed.count() == 5
+    both = db.query("SELECT count(*) AS n FROM metrics a JOIN metrics b ON a.tenant = b.tenant WHERE a.timestamp_us = 0 AND b.timestamp_us = 50")
+    assert both.first().n == 5 and len(both.inputFiles()) <= len(db.rows("metrics").inputFiles())
+
+
+def test_writes_do_not_read_history(db, spark):
+    db.create_table("metrics", {"rollup_widths_us": [10]})
+    for i in range(3):
+        db.write("metrics", f"r{i}", [row(i)], 0)
+    t = db.state["tables"]["metrics"]
+    assert len(t["deltas"]) == 3 and t["weight"] == 3.0 and [h["rows"] for h in t["hot"]] == [1, 1, 1]
+    assert db.rollups("metrics", start_us=100).count() == 0 and db.rollups("metrics", start_us=0, end_us=1).first()["count"] == 3
+    before = {n for n, _ in db.store.files("hot")}
+    with pytest.raises(Rejected):
+        db.write("metrics", "r9", [row(1), row(2, float("inf"))], 0)
+    assert {n for n, _ in db.store.files("hot")} == before

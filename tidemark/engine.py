@@ -14,23 +14,25 @@ from __future__ import annotations
 
 import copy
 import json
+import threading
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.exprs import tags_json
 from tidemark.model import MAX_WIDTHS, MEASUREMENT, MINUTE_US, ROLLUP_KEY, ROLLUP_STATE, STORED, Policy, Rejected, TableConfig, check_name, check_request_id, row_problem
 from tidemark.operators import rollup as rollups
-from tidemark.plans.guard import check_query, is_call, parse_call, relations_called
+from tidemark.plans.guard import OWN_FUNCTIONS, Token, by_name_parts, check_plan, check_query, check_reads, is_call, parse_call, spark_text, translated
 from tidemark.plans.prune import Bounds, bounds_of, shard_of, wanted
 from tidemark.sources import segments as seg
 from tidemark.sources.files import Store
+from tidemark.sources.output import json_rows
 
 STATE = StructType().add("width_us", "long").add("bucket_us", "long").add("tenant", "string").add("series", "string").add("tags", "string")
 for _name, _type in ROLLUP_STATE:
@@ -39,6 +41,8 @@ for _name, _type in ROLLUP_STATE:
 CLOCK_SKEW_US = 300_000_000
 JOB_KINDS = ("checkpoint", "compact", "ship", "maintain", "vacuum_remote")
 MAINTENANCE = "maintenance"
+#: No bucket's sum can pass the largest number while the sizes of all values of a table add up to less.
+SAFE_WEIGHT = 1e308
 MAX_ATTEMPTS, BACKOFF_US, MAX_ERROR = 5, 1_000_000, 2_048
 
 CATALOG: dict[str, str] = {
@@ -51,6 +55,17 @@ CATALOG: dict[str, str] = {
 }
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows that a commit has written: a folder, their number, least and greatest time, and bytes."""
+
+    file: str
+    rows: int
+    min_us: int
+    max_us: int
+    bytes: int
+
+
 class Database:
     """Tables below a folder.  Times come from the caller, so that every rule can be tested and repeated."""
 
@@ -142,14 +157,15 @@ class Database:
 
     def write_group(self, requests: list[tuple[str, str, DataFrame | Iterable[Any]]], now_us: int) -> list[dict[str, Any] | Rejected]:
         """Batches under one sequence: each is accepted or refused on its own, ordinals run on over the accepted ones."""
-        state, results, accepted = self._draft(), [], {}
+        state, results = self._draft(), []
+        accepted: dict[str, list[Part]] = {}
         sequence = state["sequence"] + 1
         ordinal = 0
         for table, request_id, rows in requests:
             try:
-                receipt, stored, places = self._admit(state, table, request_id, rows, now_us, sequence, ordinal, accepted.get(table, []))
-                if stored is not None:
-                    accepted.setdefault(table, []).append(stored)
+                receipt, part, places = self._admit(state, table, request_id, rows, now_us, sequence, ordinal, accepted.get(table, []))
+                if part is not None:
+                    accepted.setdefault(table, []).append(part)
                     ordinal += places
                 results.append(receipt)
             except Rejected as refused:
@@ -157,7 +173,7 @@ class Database:
         if accepted:
             state["sequence"] = sequence
             for table, parts in accepted.items():
-                self._add_commit(self._table(table, state), table, sequence, parts)
+                self._add_commit(self._table(table, state), table, parts)
             self._publish(state)
         return results
 
@@ -171,25 +187,39 @@ class Database:
         schema = _nullable(StructType([*MEASUREMENT.fields, *StructType().add("place", "long").fields]))
         return self.spark.createDataFrame([(*r, i) for i, r in enumerate(listed)], schema)
 
-    def _admit(self, state: dict, table: str, request_id: str, rows: Any, now_us: int, sequence: int, ordinal: int, same_group: list[DataFrame]) -> tuple[dict[str, Any], DataFrame | None, int]:
+    def _admit(self, state: dict, table: str, request_id: str, rows: Any, now_us: int, sequence: int, ordinal: int, same_group: list[Part]) -> tuple[dict[str, Any], Part | None, int]:
+        """The receipt; what was stored, and its ordinals.  Rows are written in the one pass that checks them; of a refused batch the file goes."""
         check_request_id(request_id)
         t = self._table(table, state)
         rows = rows if isinstance(rows, DataFrame) else list(rows)
-        frame = self._frame(rows).cache()
+        if not isinstance(rows, DataFrame) and len(rows) > self.max_batch_rows:
+            raise Rejected("the batch has too many rows")
+        frame = self._frame(rows)
+        row = F.struct(F.col("timestamp_us"), F.col("tenant"), F.col("series"), F.col("value"), tags_json(F.col("tags")).alias("tags"), *([] if isinstance(rows, DataFrame) else [F.col("place")]))
+        checks = [
+            F.count(F.lit(1)).alias("rows"),
+            F.min("timestamp_us").alias("least"),
+            F.max("timestamp_us").alias("most"),
+            F.max("place").alias("places"),
+            F.min(row_problem()).alias("problem"),
+            F.sum(F.abs("value")).alias("weight"),
+            F.bit_xor(F.xxhash64(row)).alias("x"),
+            F.sum(F.xxhash64(F.lit(1), row).cast("decimal(38,0)")).alias("s"),
+        ]
+        if request_id in t["receipts"]:
+            checked, name = frame.agg(*checks).first().asDict(), None
+        else:
+            seen = Observation()
+            stored = frame.observe(seen, *checks).select(
+                "timestamp_us", "tenant", "series", "value", tags_json(F.col("tags")).alias("tags"),
+                F.lit(sequence).cast("bigint").alias("sequence"), (F.col("place") + ordinal).alias("ordinal"),
+            )
+            name = f"hot/{table}/{sequence:020d}-{uuid.uuid4().hex[:8]}"
+            stored.write.option("compression", "zstd").parquet(self.store.at(name))
+            checked = seen.get
         try:
-            row = F.struct(F.col("timestamp_us"), F.col("tenant"), F.col("series"), F.col("value"), tags_json(F.col("tags")).alias("tags"), *([] if isinstance(rows, DataFrame) else [F.col("place")]))
-            checked = frame.agg(
-                F.count("*").alias("rows"),
-                F.min("timestamp_us").alias("least"),
-                F.max("place").alias("places"),
-                F.min(row_problem()).alias("problem"),
-                F.bit_xor(F.xxhash64(row)).alias("x"),
-                F.sum(F.xxhash64(F.lit(1), row).cast("decimal(38,0)")).alias("s"),
-            ).first()
             if not checked["rows"]:
                 raise Rejected("the batch is empty")
-            if not isinstance(rows, DataFrame) and checked["rows"] > self.max_batch_rows:
-                raise Rejected("the batch has too many rows")
             if checked["problem"] is not None:
                 raise Rejected(f"a row's {checked['problem']} is invalid")
             digest = f"{checked['rows']}:{checked['x']}:{checked['s']}"
@@ -203,18 +233,18 @@ class Database:
                 raise Rejected("a row is too late")
             if t["raw_cutoff_us"] is not None and checked["least"] < t["raw_cutoff_us"]:
                 raise Rejected("a row is older than what is kept")
-            stored = frame.select(
-                "timestamp_us", "tenant", "series", "value", tags_json(F.col("tags")).alias("tags"),
-                F.lit(sequence).cast("bigint").alias("sequence"), (F.col("place") + ordinal).alias("ordinal"),
-            )
-            self._check_sums(t, stored, same_group)
-            name = f"staged/{uuid.uuid4().hex}"
-            stored.write.option("compression", "zstd").parquet(self.store.at(name))
-        finally:
-            frame.unpersist()
+            part = Part(name, checked["rows"], checked["least"], checked["most"], sum(b for _, b in self.store.files(name)))
+            weight = t.get("weight", 0.0) + checked["weight"]
+            if not weight < SAFE_WEIGHT:
+                self._check_sums(t, part, same_group)
+            t["weight"] = min(weight, SAFE_WEIGHT)
+        except Rejected:
+            if name is not None:
+                self.store.delete(name)
+            raise
         t["receipts"][request_id] = {"sequence": sequence, "rows": checked["rows"], "digest": digest, "issued_us": issued}
         receipt = {"sequence": sequence, "rows": checked["rows"], "duplicate": False}
-        return receipt, self.spark.read.schema(STORED).parquet(self.store.at(name)), checked["places"] + 1
+        return receipt, part, checked["places"] + 1
 
     def _issued(self, t: dict[str, Any], request_id: str, now_us: int) -> int | None:
         """The time in a timed id, once the table asks for one."""
@@ -231,44 +261,53 @@ class Database:
             raise Rejected("the request id is from the future")
         return issued
 
-    def _check_sums(self, t: dict[str, Any], stored: DataFrame, same_group: list[DataFrame]) -> None:
-        """Refuses rows that would make a rollup's sum infinite, before anything is written."""
+    def _part_states(self, t: dict[str, Any], parts: list[Part]) -> DataFrame:
+        return rollups.rollup(seg.read_files(self.spark, [self.store.at(p.file) for p in parts]), t["widths"], t["rollup_cutoff_us"])
+
+    def _check_sums(self, t: dict[str, Any], part: Part, same_group: list[Part]) -> None:
+        """Refuses rows that would make a rollup's sum infinite.  Needed only once the sum of all values' sizes is near the largest number."""
         if not t["widths"]:
             return
-        delta = rollups.rollup(stored, t["widths"], t["rollup_cutoff_us"])
-        others = [rollups.rollup(s, t["widths"], t["rollup_cutoff_us"]) for s in same_group]
-        touched = self._states(t).join(delta.select(*ROLLUP_KEY), list(ROLLUP_KEY), "left_semi")
-        merged = touched.select(*STATE.names).unionByName(delta)
-        for other in others:
-            merged = merged.unionByName(other)
-        if rollups.not_finite(rollups.merge(merged)).limit(1).count():
+        delta = self._part_states(t, [*same_group, part])
+        reach = max(t["widths"])
+        touched = self._states(t, part.min_us - reach, max(p.max_us for p in [*same_group, part])).join(delta.select(*ROLLUP_KEY), list(ROLLUP_KEY), "left_semi")
+        if rollups.not_finite(rollups.merge(touched.select(*STATE.names).unionByName(delta))).limit(1).count():
             raise Rejected("a rollup's sum is no longer finite")
 
-    def _add_commit(self, t: dict[str, Any], table: str, sequence: int, parts: list[DataFrame]) -> None:
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        name = f"hot/{table}/{sequence:020d}-{uuid.uuid4().hex[:8]}"
-        rows.write.option("compression", "zstd").parquet(self.store.at(name))
-        found = seg.read_files(self.spark, [self.store.at(name)]).agg(F.count("*").alias("n"), F.min("timestamp_us").alias("lo"), F.max("timestamp_us").alias("hi")).first()
-        t["hot"].append({"file": name, "shard": None, "window": None, "rows": found["n"], "min_us": found["lo"], "max_us": found["hi"], "bytes": sum(b for _, b in self.store.files(name))})
+    def _add_commit(self, t: dict[str, Any], table: str, parts: list[Part]) -> None:
+        t["hot"] += [{"file": p.file, "shard": None, "window": None, "rows": p.rows, "min_us": p.min_us, "max_us": p.max_us, "bytes": p.bytes} for p in parts]
         if t["widths"]:
-            self._add_states(t, table, rollups.rollup(seg.read_files(self.spark, [self.store.at(name)]), t["widths"], t["rollup_cutoff_us"]))
+            self._add_states(t, table, self._part_states(t, parts), min(p.min_us for p in parts), max(p.max_us for p in parts))
 
-    def _add_states(self, t: dict[str, Any], table: str, states: DataFrame, *, replace: bool = False) -> None:
+    def _add_states(self, t: dict[str, Any], table: str, states: DataFrame, min_us: int, max_us: int, *, replace: bool = False) -> None:
+        """A delta of rows from min_us to max_us.  Partitions follow size, not width, so one width can fill many tasks."""
         name = f"rollup/{table}/{uuid.uuid4().hex}"
-        states.select(*STATE.names).repartition("width_us").sortWithinPartitions(*ROLLUP_KEY).write.partitionBy("width_us").option("compression", "zstd").parquet(self.store.at(name))
-        t["deltas"] = [name] if replace else [*t["deltas"], name]
-
-    def _states(self, t: dict[str, Any]) -> DataFrame:
-        """All states, which may repeat keys."""
-        if not t["deltas"]:
+        dealt = states.select(*STATE.names).hint("rebalance", "width_us").sortWithinPartitions(*ROLLUP_KEY)
+        dealt.write.partitionBy("width_us").option("compression", "zstd").parquet(self.store.at(name))
+        delta = {"file": name, "min_us": min_us, "max_us": max_us}
+        t["deltas"] = [delta] if replace else [*t["deltas"], delta]
+
+    def _merge_states(self, t: dict[str, Any], table: str, states: DataFrame) -> None:
+        """States, which hold all that is kept, as the only delta."""
+        if t["deltas"]:
+            self._add_states(t, table, states, min(d["min_us"] for d in t["deltas"]), max(d["max_us"] for d in t["deltas"]), replace=True)
+
+    def _states(self, t: dict[str, Any], start_us: int | None = None, end_us: int | None = None) -> DataFrame:
+        """States, which may repeat keys: all, or those of buckets from start_us to end_us."""
+        deltas = t["deltas"]
+        if start_us is not None or end_us is not None:
+            reach = max(t["widths"], default=0)
+            low, high = rollups.LOW if start_us is None else start_us, rollups.HIGH if end_us is None else end_us
+            deltas = [d for d in deltas if d["min_us"] - reach < high and d["max_us"] >= low]
+        if not deltas:
             return self.spark.createDataFrame([], STATE)
-        parts = [self.spark.read.schema(STATE).parquet(self.store.at(n)).select(*STATE.names) for n in t["deltas"]]
+        parts = [self.spark.read.schema(STATE).parquet(self.store.at(d["file"])).select(*STATE.names) for d in deltas]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        return out
+        if start_us is not None:
+            out = out.where(F.col("bucket_us") >= start_us)
+        return out if end_us is None else out.where(F.col("bucket_us") <= end_us)
 
     # -- reads ----------------------------------------------------------------------------------------------------
 
@@ -299,11 +338,9 @@ class Database:
         """The rollup relation, by width, tenant, series and start <= bucket < end."""
         if start_us is not None and end_us is not None and start_us > end_us:
             raise Rejected("the range ends before it starts")
-        out = self._states(self._table(table))
+        out = self._states(self._table(table), start_us, None if end_us is None else end_us - 1)
         for name, value in (("width_us", width_us), ("tenant", tenant), ("series", series)):
             out = out if value is None else out.where(F.col(name) == value)
-        out = out if start_us is None else out.where(F.col("bucket_us") >= start_us)
-        out = out if end_us is None else out.where(F.col("bucket_us") < end_us)
         return rollups.view(rollups.merge(out))
 
     def catalog(self, name: str, now_us: int = 0) -> DataFrame:
@@ -334,29 +371,97 @@ class Database:
         return self.catalog("ts_status").first().asDict()
 
     def query(self, sql: str, now_us: int = 0) -> DataFrame:
-        """Rows of one reading statement over tables, ``<table>__rollup``, aggregates and catalog relations; or of a CALL."""
+        """Rows of one reading statement over tables, ``<table>__rollup``, aggregates and catalog relations; of a CALL; or a plan, of EXPLAIN."""
         if is_call(sql):
             return self.spark.createDataFrame([(self.call(sql, now_us),)], "sequence bigint")
-        text = relations_called(check_query(sql), set(CATALOG))
-        session = self.spark.newSession()
-        session.conf.set("spark.sql.runSQLOnFiles", "false")
-        session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-        session.conf.set("spark.sql.session.timeZone", "UTC")
-        words = text.lower()
-        tables = [n for n in self.state["tables"] if n in words or any(a in words and d["source"] == n for a, d in self.state["aggregates"].items())]
+        found = check_query(sql)
+        if found[0][1].upper() == "EXPLAIN":
+            return self._explained(found[1:], now_us)
+        return self._queried(found, now_us)
+
+    def _explained(self, found: list[Token], now_us: int) -> DataFrame:
+        """The plan as one text: Spark's, or with FORMAT JSON as JSON."""
+        mode = "simple"
+        while found and found[0][1].upper() not in ("SELECT", "WITH"):
+            word = found[0][1].upper()
+            if found[0] == ("sign", "(") and ("sign", ")") in found:
+                options = [t.upper() for _, t in found[1 : found.index(("sign", ")"))]]
+                mode = "json" if options[:2] == ["FORMAT", "JSON"] else mode
+                found = found[found.index(("sign", ")")) + 1 :]
+                continue
+            if word not in ("ANALYZE", "FORMATTED", "EXTENDED", "COST"):
+                raise Rejected(f"EXPLAIN {word} is not allowed")
+            mode = {"ANALYZE": "formatted"}.get(word, word.lower())
+            found = found[1:]
+        execution = self._queried(found, now_us)._jdf.queryExecution()
+        text = execution.executedPlan().toJSON() if mode == "json" else execution.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+        return self.spark.createDataFrame([(text,)], "plan string")
+
+    def _queried(self, found: list[Token], now_us: int) -> DataFrame:
+        if parts := by_name_parts(found):
+            left, all_rows, right = parts
+            both = self._queried(left, now_us).unionByName(self._queried(right, now_us), allowMissingColumns=True)
+            return both if all_rows else both.distinct()
+        found = translated(found, set(CATALOG))
+        text = spark_text(found)
+        words = {t.lower() for k, t in found if k in ("word", "name")}
+        sources = {a: d["source"] for a, d in self.state["aggregates"].items() if a in words}
+        tables = [n for n in self.state["tables"] if n in words or f"{n}__rollup" in words or n in sources.values()]
+        catalogs = [n for n in CATALOG if n in words]
+        session = self._session()
+        for name in words & OWN_FUNCTIONS.keys():
+            session.sql(f"CREATE TEMPORARY FUNCTION {name}{OWN_FUNCTIONS[name]}")
+        check_plan(session, text, {*tables, *(f"{n}__rollup" for n in tables), *sources, *catalogs})
         for name in tables:
             _view(session, self.rows(name), name)
-            _view(session, self.rollups(name), f"{name}__rollup")
-        for name, a in self.state["aggregates"].items():
-            if a["source"] in tables:
-                _view(session, rollups.named(self.rollups(a["source"], width_us=a["width_us"]), a["width_us"]), name)
-        for name in CATALOG:
+            if f"{name}__rollup" in words or name in sources.values():
+                _view(session, self.rollups(name), f"{name}__rollup")
+        for name, source in sources.items():
+            width = self.state["aggregates"][name]["width_us"]
+            _view(session, rollups.named(self.rollups(source, width_us=width), width), name)
+        for name in catalogs:
             _view(session, self.catalog(name, now_us), name)
         df = session.sql(text)
-        pruned = [(n, b) for n in tables for b in [bounds_of(df, "ordinal")] if b != Bounds()] if len(tables) == 1 and "__rollup" not in words else []
-        for name, bounds in pruned:
-            _view(session, self.rows(name, bounds), name)
-        return session.sql(text) if pruned else df
+        check_reads(df)
+        raw = [n for n in tables if n in words]
+        bounds = bounds_of(df, "ordinal") if len(raw) == 1 else Bounds()
+        if bounds == Bounds():
+            return df
+        _view(session, self.rows(raw[0], bounds), raw[0])
+        return session.sql(text)
+
+    def _session(self) -> SparkSession:
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.runSQLOnFiles", "false")
+        session.conf.set("spark.sql.session.timeZone", "UTC")
+        return session
+
+    def fetch(self, sql: str, now_us: int = 0, *, max_rows: int = 10_000, max_bytes: int = 16 << 20, timeout_s: float = 30.0) -> list[dict[str, Any]]:
+        """A statement's rows as JSON values, within limits; a statement over time is cancelled."""
+        context, group = self.spark.sparkContext, f"query-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout_s, stop)
+        context.setJobGroup(group, "a statement with a time limit", interruptOnCancel=True)
+        timer.start()
+        try:
+            rows = json_rows(self.query(sql, now_us), max_rows)
+        except Exception:
+            if late.is_set():
+                raise Rejected("the statement took too long") from None
+            raise
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+        if late.is_set():
+            raise Rejected("the statement took too long")
+        if len(json.dumps(rows, ensure_ascii=False).encode()) > max_bytes:
+            raise Rejected("the result has too many bytes")
+        return rows
 
     # -- continuous aggregates ------------------------------------------------------------------------------------
 
@@ -381,7 +486,9 @@ class Database:
             states = rollups.rollup(self.rows(source), [width_us], t["rollup_cutoff_us"])
             if rollups.not_finite(states).limit(1).count():
                 raise Rejected("a rollup's sum is not finite")
-            self._add_states(t, source, states)
+            kept = [*t["hot"], *t["segments"]]
+            if kept:
+                self._add_states(t, source, states, min(s["min_us"] for s in kept), max(s["max_us"] for s in kept))
             t["widths"].append(width_us)
         self._publish(state)
         return state["sequence"]
@@ -399,7 +506,7 @@ class Database:
         state["sequence"] += 1
         if not shared and width not in t["created_with"]["rollup_widths_us"]:
             t["widths"].remove(width)
-            self._add_states(t, gone["source"], rollups.merge(self._states(t).where(F.col("width_us") != width)), replace=True)
+            self._merge_states(t, gone["source"], rollups.merge(self._states(t).where(F.col("width_us") != width)))
         self._publish(state)
         return state["sequence"]
 
@@ -416,7 +523,7 @@ class Database:
                     rows = rows.where(F.col("timestamp_us") >= t["raw_cutoff_us"])
                 t["segments"] += self._segments(name, t, rows)
                 t["hot"] = []
-                self._add_states(t, name, rollups.merge(self._states(t)), replace=True)
+                self._merge_states(t, name, rollups.merge(self._states(t)))
                 done += 1
         if done:
             state["checkpoint_sequence"] = state["sequence"]
@@ -433,7 +540,7 @@ class Database:
         found = seg.describe(self.spark, self.store.root, list(sizes)).collect()
         out = []
         for r in found:
-            file = next(n for n in sizes if r["file"].endswith(n))
+            file = f"{name}/{r['file'].split(f'/{name}/', 1)[1]}"
             out.append({"file": file, "shard": r["shard"], "window": r["window"], "rows": r["rows"], "min_us": r["min_us"], "max_us": r["max_us"], "bytes": sizes[file]})
         return sorted(out, key=lambda s: s["file"])
 
@@ -455,7 +562,7 @@ class Database:
                 kept = states.where(F.col("bucket_us") + F.col("width_us") > cutoff)
                 gone = states.count() - kept.count()
                 if gone:
-                    self._add_states(t, name, kept, replace=True)
+                    self._merge_states(t, name, kept)
                 states.unpersist()
                 report["expired_rollups"] += gone
                 t["rollup_cutoff_us"] = cutoff
@@ -523,7 +630,7 @@ class Database:
     def _named_files(self) -> list[str]:
         names: list[str] = []
         for t in self.state["tables"].values():
-            for folder in [*[h["file"] for h in t["hot"]], *t["deltas"]]:
+            for folder in [*[h["file"] for h in t["hot"]], *[d["file"] for d in t["deltas"]]]:
                 names += [n for n, _ in self.store.files(folder)]
             names += [s["file"] for s in t["segments"] if not s.get("archive")]
         return names

@@ -17,8 +17,8 @@ def placed(rows: DataFrame, shards: int, window_us: int) -> DataFrame:
 
 
 def write_segments(rows: DataFrame, path: str, shards: int, window_us: int, segment_rows: int) -> None:
-    """One shuffle by (shard, window); AQE splits and joins its partitions, files have segment_rows rows at most."""
-    dealt = placed(rows.select(*STORED.names), shards, window_us).repartition("shard", "window").sortWithinPartitions("shard", "window", *SORT)
+    """One shuffle by (shard, window), whose partitions AQE splits and joins by size, so a hot hour fills many tasks; files have segment_rows rows at most."""
+    dealt = placed(rows.select(*STORED.names), shards, window_us).hint("rebalance", "shard", "window").sortWithinPartitions("shard", "window", *SORT)
     dealt.write.partitionBy("shard", "window").option("maxRecordsPerFile", segment_rows).option("compression", "zstd").mode("overwrite").parquet(path)
 
 
