@@ -284,17 +284,51 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_near_vectors_of_a_rarer_length(spark):
+@pytest.mark.parametrize("partitions", [1, 12])
+def test_vectors_of_mixed_lengths(spark, partitions):
+    """Links of rare lengths are exact, whatever the partitions; those of common lengths too at so few pivots."""
     rnd = np.random.default_rng(6)
-    short = rnd.normal(size=(20, 16))
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(rnd.normal(size=(200, 32)))]
-    rows += [(1000 + i, v.tolist(), 0) for i, v in enumerate(np.concatenate([short, short + rnd.normal(size=short.shape) * 0.1]))]
+    rows = []
+    for size, n in ((16, 200), (3, 4), (2, 3), (32, 90), (5, 10)):
+        base = rnd.normal(size=(n, size))
+        rows += [(len(rows) + i, v.tolist(), i % 2) for i, v in enumerate(np.concatenate([base, base + rnd.normal(size=base.shape) * 0.05]))]
+    rows += [(5000 + i, [1.0, 1.0, 1.0 + i / 1000], 0) for i in range(4)]
     n, names = plain_links(rows)
-    assert sum(n[200:]) >= 40
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
-    for part in (df, df.orderBy("vec_id").repartitionByRange(4, "vec_id")):
-        found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(part).collect()}
-        assert all(found[i] == (k, name) for (i, _, _), k, name in zip(rows[200:], n[200:], names[200:], strict=True))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(partitions)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()}
+    assert sum(n) > 300 and found == {i: (k, name) for (i, _, _), k, name in zip(rows, n, names, strict=True)}
+
+
+def test_long_lists_are_dealt_by_second_pivots(spark, monkeypatch):
+    """The same links whether lists are long or short."""
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(12, 24))
+    data = np.concatenate([b + rnd.normal(size=(60, 24)) * 0.35 for b in base])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(data)], "vec_id long, embedding array<float>, label int")
+    whole = sorted(embeddings.near_vectors(df).collect())
+    monkeypatch.setattr(embeddings, "TILE", 5)
+    assert sorted(embeddings.near_vectors(df).collect()) == whole and sum(r.n_links for r in whole) > 500
+
+
+def test_shared_counts():
+    near = np.array([[1, 2, 3], [3, 2, 9], [7, 8, 9], [1, 2, 3]], np.int32)
+    assert np.triu(embeddings.shared_counts(near), 1).tolist() == [[0, 2, 0, 3], [0, 0, 1, 2], [0, 0, 0, 0], [0, 0, 0, 0]]
+
+
+@pytest.mark.parametrize(("rows", "pivots"), [(2000, 32), (8000, 512), (8000, 4096)])
+def test_recall_at_several_numbers_of_pivots(spark, monkeypatch, rows, pivots):
+    """Planted pairs of cosines from 0.931 to 0.97."""
+    monkeypatch.setattr(embeddings, "MIN_PIVOTS", pivots)
+    rnd = np.random.default_rng(9)
+    one = embeddings.unit(rnd.normal(size=(rows // 2, 64)))
+    side = rnd.normal(size=one.shape)
+    side = embeddings.unit(side - (side * one).sum(1, keepdims=True) * one)
+    cosine = rnd.uniform(0.931, 0.97, (rows // 2, 1))
+    two = cosine * one + np.sqrt(1 - cosine**2) * side
+    data = np.concatenate([one, two])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(data)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in embeddings.near_vectors(df).collect())
+    assert 0.95 * rows <= found <= rows
 
 
 def test_recall_on_the_shared_vectors(spark):
