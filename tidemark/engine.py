@@ -72,6 +72,7 @@ class Database:
     def __init__(self, spark: SparkSession, root: str, *, segment_rows: int = 1_000_000, compact_min_segments: int = 4, max_batch_rows: int = 10_000) -> None:
         self.spark, self.store = spark, Store(spark, root)
         self.segment_rows, self.compact_min_segments, self.max_batch_rows = segment_rows, compact_min_segments, max_batch_rows
+        self.running: set[str] = set()
         versions = [int(n.split(".")[0]) for n in self.store.names("manifest") if n.endswith(".json")]
         if versions:
             self.version = max(versions)
@@ -323,8 +324,12 @@ class Database:
         """Where a file is: in an archive, or here."""
         return f"{s['archive']}/{s['file']}" if s.get("archive") else self.store.at(s["file"])
 
-    def scan(self, table: str, start_us: int | None = None, end_us: int | None = None, tenant: str | None = None, series: str | None = None) -> DataFrame:
-        """Rows with start <= time < end of a tenant and series, in total order."""
+    def segments(self, table: str) -> list[dict[str, Any]]:
+        """What the manifest says of a table's segments."""
+        return copy.deepcopy(self._table(table)["segments"])
+
+    def scan(self, table: str, start_us: int | None = None, end_us: int | None = None, tenant: str | None = None, series: str | None = None, *, ordered: bool = True) -> DataFrame:
+        """Rows with start <= time < end of a tenant and series, in total order unless that isn't needed."""
         if start_us is not None and end_us is not None and start_us > end_us:
             raise Rejected("the range ends before it starts")
         out = self.rows(table, Bounds(start_us, end_us, tenant, series))
@@ -332,7 +337,7 @@ class Database:
             out = out if value is None else out.where(F.col(name) == value)
         out = out if start_us is None else out.where(F.col("timestamp_us") >= start_us)
         out = out if end_us is None else out.where(F.col("timestamp_us") < end_us)
-        return out.orderBy(*seg.SORT)
+        return out.orderBy(*seg.SORT) if ordered else out
 
     def rollups(self, table: str, *, width_us: int | None = None, tenant: str | None = None, series: str | None = None, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
         """The rollup relation, by width, tenant, series and start <= bucket < end."""
@@ -358,14 +363,18 @@ class Database:
 
     def _ts_jobs(self, now_us: int) -> list[tuple]:
         return [
-            (n, j["kind"], j["interval_us"], j["paused"], j["next_run_us"], False, _d(j["attempts"]), None if j["run_id"] is None else _d(j["run_id"]), j["success"], j["error"])
+            (n, j["kind"], j["interval_us"], j["paused"], j["next_run_us"], n in self.running, _d(j["attempts"]), None if j["run_id"] is None else _d(j["run_id"]), j["success"], j["error"])
             for n, j in sorted(self.state["jobs"].items())
         ]
 
     def _ts_status(self, now_us: int) -> list[tuple]:
         s, hot = self.state, [h for t in self.state["tables"].values() for h in t["hot"]]
-        counts = [s["sequence"], s["checkpoint_sequence"], s["remote_sequence"], s["sequence"] - s["remote_sequence"], sum(h["rows"] for h in hot), sum(h["bytes"] for h in hot), 0, len(json.dumps(s)), len(s["tables"]), len(s["aggregates"]), len(s["jobs"])]
-        return [(s["id"], *map(_d, counts), True)]
+        counts = [s["sequence"], s["checkpoint_sequence"], s["remote_sequence"], s["sequence"] - s["remote_sequence"], sum(h["rows"] for h in hot), sum(h["bytes"] for h in hot), self.store.size("manifest"), len(json.dumps(s)), len(s["tables"]), len(s["aggregates"]), len(s["jobs"])]
+        return [(s["id"], *map(_d, counts), self.is_head())]
+
+    def is_head(self) -> bool:
+        """Whether nobody else has published since."""
+        return not self.store.exists(f"manifest/{self.version + 1:012d}.json")
 
     def status(self) -> dict[str, Any]:
         return self.catalog("ts_status").first().asDict()
@@ -721,11 +730,14 @@ class Database:
     def run_job_now(self, name: str, now_us: int, remote_root: str | None = None) -> bool:
         """Runs a job, paused or not.  After a failure it is tried again after a wait that doubles, up to its interval."""
         job = _get(self.state["jobs"], name)
+        self.running.add(name)
         try:
             self._run(job["kind"], now_us, remote_root)
             error = None
         except Exception as failed:  # noqa: BLE001 - whatever it is, the job's record keeps it
             error = str(failed)[:MAX_ERROR] or type(failed).__name__
+        finally:
+            self.running.discard(name)
         attempts = 0 if error is None else job["attempts"] + 1
         wait = job["interval_us"]
         if error is not None and attempts < MAX_ATTEMPTS:

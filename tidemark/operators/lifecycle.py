@@ -1,4 +1,4 @@
-"""Admission and lifecycle rules as plans over frames: what the database decides for a batch, for any number of them."""
+"""Admission rules as plans over frames: what the database decides for a batch, for any number of them."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.model import row_problem
 
 
-def expire(rows: DataFrame, cutoff: DataFrame) -> DataFrame:
-    """Rows at or after the cutoff (a frame of one row)."""
-    return rows.join(F.broadcast(cutoff), F.col("timestamp_us") >= F.col("cutoff")).drop("cutoff")
-
-
 def admit(requests: DataFrame) -> DataFrame:
     """request, copy, digest with outcome: the first of a request is accepted, equal repeats are duplicates, others conflict."""
     by = Window.partitionBy("request").orderBy("copy")
@@ -31,14 +26,3 @@ def timed_ids(ids: DataFrame, floor_us: Column, latest_us: Column) -> DataFrame:
 def row_checks(rows: DataFrame) -> DataFrame:
     """Measurements with what is wrong with them, or none."""
     return rows.withColumn("problem", F.coalesce(row_problem(), F.lit("none")))
-
-
-def compaction_plan(files: DataFrame, segment_rows: int, least_files: int) -> DataFrame:
-    """(shard, window) groups of small files that one rewrite makes fewer."""
-    small = files.where(F.col("rows") < segment_rows).groupBy("shard", "window_us").agg(F.count("*").alias("files"), F.sum("rows").cast("bigint").alias("rows"))
-    return small.where((F.col("files") >= least_files) & (F.ceil(F.col("rows") / segment_rows) < F.col("files")))
-
-
-def archive_candidates(files: DataFrame, before: DataFrame) -> DataFrame:
-    """Files whose rows are all older than a time (a frame of one row)."""
-    return files.join(F.broadcast(before), F.col("max_us") < F.col("before")).drop("before")

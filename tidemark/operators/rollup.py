@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import is_finite, window_start
@@ -18,14 +18,14 @@ from tidemark.model import ROLLUP_KEY
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def rollup(rows: DataFrame, widths_us: Iterable[int], after_us: int | None = None) -> DataFrame:
-    """States of stored rows; buckets that end at after_us or before are left out."""
+def rollup(rows: DataFrame, widths_us: Iterable[int], after_us: int | None = None, by: Iterable[str] = ()) -> DataFrame:
+    """States of stored rows; buckets that end at after_us or before are left out.  by: columns whose values are kept apart, as batches are."""
     wide = rows.withColumn("width_us", F.explode(F.array(*[F.lit(w).cast("bigint") for w in widths_us])))
     wide = wide.withColumn("bucket_us", window_start(F.col("timestamp_us"), F.col("width_us")))
     if after_us is not None:
         wide = wide.where(F.col("bucket_us") + F.col("width_us") > after_us)
     return (
-        wide.groupBy(*ROLLUP_KEY)
+        wide.groupBy(*by, *ROLLUP_KEY)
         .agg(
             F.count("*").alias("count"),
             F.sum("value").alias("sum"),
@@ -35,7 +35,7 @@ def rollup(rows: DataFrame, widths_us: Iterable[int], after_us: int | None = Non
             F.max(F.struct("timestamp_us", "sequence", "ordinal", "value")).alias("hi"),
         )
         .select(
-            *ROLLUP_KEY, "count", "sum", "min", "max",
+            *by, *ROLLUP_KEY, "count", "sum", "min", "max",
             F.col("lo.value").alias("first"), F.col("hi.value").alias("last"),
             F.col("lo.timestamp_us").alias("first_timestamp_us"), F.col("hi.timestamp_us").alias("last_timestamp_us"),
             F.col("lo.sequence").alias("first_sequence"), F.col("lo.ordinal").alias("first_ordinal"),
@@ -91,9 +91,9 @@ def not_finite(states: DataFrame) -> DataFrame:
     return states.where(~is_finite(F.col("sum")))
 
 
-def broken(states: DataFrame) -> DataFrame:
-    """States that break what every state obeys; empty for sound ones."""
-    ok = (
+def is_sound() -> Column:
+    """What every state obeys."""
+    return (
         (F.col("count") > 0)
         & F.col("first").between(F.col("min"), F.col("max"))
         & F.col("last").between(F.col("min"), F.col("max"))
@@ -103,4 +103,8 @@ def broken(states: DataFrame) -> DataFrame:
         & F.col("first_timestamp_us").between(F.col("bucket_us"), F.col("bucket_us") + F.col("width_us") - 1)
         & F.col("last_timestamp_us").between(F.col("bucket_us"), F.col("bucket_us") + F.col("width_us") - 1)
     )
-    return states.where(~ok)
+
+
+def broken(states: DataFrame) -> DataFrame:
+    """States that break what every state obeys; empty for sound ones."""
+    return states.where(~is_sound())

@@ -6,6 +6,7 @@ rounded; integers are cast, since the engines' result types differ.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,12 +16,11 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import Database
 from tidemark.functions.exprs import shard_for, window_start
-from tidemark.model import DAY_US, HOUR_US, MINUTE_US
+from tidemark.model import DAY_US, HOUR_US, MINUTE_US, Rejected
 from tidemark.operators import rollup as ru
 from tidemark.operators.joins import asof_join, band_join
-from tidemark.operators.lifecycle import admit, archive_candidates, compaction_plan, expire, row_checks, timed_ids
+from tidemark.operators.lifecycle import admit, row_checks, timed_ids
 from tidemark.sources.adapters import event_rows, ship_rows, table
-from tidemark.sources.segments import SORT, descriptors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,13 @@ SH = (
     "l_orderkey + 1 AS sequence, CAST(l_linenumber AS BIGINT) AS ordinal FROM lineitem)"
 )
 CENTS = "decimal(18,2)"
+#: A third and two thirds of the events' month.
+THIRD, TWO_THIRDS = 1704931200000000, 1705795200000000
+
+
+SHARDS = 4
+#: Rows as one load stores them: tags canonical, the sequence after the table's own.
+LOADED = f"(SELECT * EXCLUDE (sequence, tags), '{{\"k\":\"' || json_extract_string(tags, '$.k') || '\"}}' AS tags, CAST(2 AS BIGINT) AS sequence FROM {EV})"
 
 
 def floor_to(x: str, width: int | str) -> str:
@@ -78,6 +85,9 @@ def rollup_sql(rows: str, width: int | str, extra: str = "") -> str:
 
 OHLC = "bucket_us, tenant, series, count, sum, round(sum / count, 6) AS average, first AS open, max AS high, min AS low, last AS close"
 
+#: For sums of doubles, which come in any order.
+OHLC2 = OHLC.replace("round(sum / count, 6)", "round(sum / count, 4)")
+
 
 def ohlc(states: DataFrame) -> DataFrame:
     v = ru.view(states)
@@ -87,12 +97,10 @@ def ohlc(states: DataFrame) -> DataFrame:
 # -- the five shapes of the benchmark -----------------------------------------------------------------------------
 
 
-@register(f"SELECT timestamp_us, value FROM {EV} WHERE tenant = 'click' AND series = 'user_7' AND timestamp_us >= (SELECT max(timestamp_us) - 30 * {DAY_US} FROM {EV})")
+@register(f"SELECT timestamp_us, value FROM {EV} WHERE tenant = 'click' AND series = 'user_7' AND timestamp_us >= {TWO_THIRDS}")
 def recent_series_time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_rows(spark, sf_dir)
-    newest = rows.agg((F.max("timestamp_us") - 30 * DAY_US).alias("since"))
-    one = rows.where((F.col("tenant") == "click") & (F.col("series") == "user_7"))
-    return one.join(F.broadcast(newest), F.col("timestamp_us") >= F.col("since")).select("timestamp_us", "value")
+    """Through the database: the files of one shard and the last windows."""
+    return loaded(spark, sf_dir).scan("events", start_us=TWO_THIRDS, tenant="click", series="user_7", ordered=False).select("timestamp_us", "value")
 
 
 @register(f"SELECT count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {EV}")
@@ -105,9 +113,11 @@ def cross_series_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_rows(spark, sf_dir).groupBy("tenant", "series").agg(F.count("*").alias("n"), cents("value").alias("total"), F.max("value").alias("high"))
 
 
-@register(f"SELECT {OHLC} FROM ({rollup_sql(EV, MINUTE_US)})")
+@register(f"SELECT {OHLC2} FROM ({rollup_sql(EV, MINUTE_US)})")
 def minute_continuous_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ohlc(as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [MINUTE_US])))
+    """From the states that the database keeps."""
+    v = loaded(spark, sf_dir).rollups("events", width_us=MINUTE_US)
+    return v.select("bucket_us", "tenant", "series", "count", F.round("sum", 2).alias("sum"), F.round("average", 4).alias("average"), "open", "high", "low", "close")
 
 
 @register(f"SELECT tenant, series, timestamp_us, value, rn FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY value DESC, timestamp_us, sequence, ordinal) AS rn FROM {EV}) WHERE rn <= 5")
@@ -135,10 +145,25 @@ def rollup_multi_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_double(ru.rollup(in_cents(event_rows(spark, sf_dir)), [HOUR_US, DAY_US, 7 * DAY_US]))
 
 
-@register(f"SELECT tenant, {floor_to('timestamp_us', DAY_US)} AS bucket_us, count(*) AS count, sum(value) AS sum, min(value) AS min, max(value) AS max, min(timestamp_us) AS first_timestamp_us, max(timestamp_us) AS last_timestamp_us FROM {SH} GROUP BY ALL")
+#: Times of whole hours, so that many rows of a bucket are first and last at once: sequence and ordinal decide.
+TIED = f"(SELECT {floor_to('timestamp_us', HOUR_US)} AS timestamp_us, tenant, 'all' AS series, value, '{{}}' AS tags, sequence, ordinal FROM {EV})"
+
+
+def tied_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir)
+    return rows.withColumns({"timestamp_us": window_start(F.col("timestamp_us"), HOUR_US), "series": F.lit("all"), "tags": F.lit("{}")})
+
+
+@register(rollup_sql(TIED, HOUR_US))
 def rollup_many_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ship_rows(spark, sf_dir).withColumn("series", F.lit("all"))
-    return ru.rollup(rows, [DAY_US]).select("tenant", "bucket_us", "count", "sum", "min", "max", "first_timestamp_us", "last_timestamp_us")
+    return as_double(ru.rollup(in_cents(tied_rows(spark, sf_dir)), [HOUR_US]))
+
+
+@register(rollup_sql(TIED, DAY_US))
+def rollup_ties_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties across states that are merged: batches that share buckets and times."""
+    rows = in_cents(tied_rows(spark, sf_dir)).withColumn("batch", F.pmod(F.col("sequence"), F.lit(3)))
+    return as_double(ru.merge(ru.rollup(rows, [DAY_US], by=["batch"]).drop("batch")))
 
 
 @register(f"SELECT {OHLC} FROM ({rollup_sql(EV, DAY_US)})")
@@ -159,7 +184,10 @@ def rollup_reaggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(f"SELECT count(*) AS raw_rows, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS raw_sum, count(*) AS rolled_rows, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS rolled_sum FROM {EV}")
+@register(
+    f"SELECT * FROM (SELECT count(*) AS raw_rows, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS raw_sum FROM {EV}) a CROSS JOIN "
+    f"(SELECT CAST(sum(count) AS BIGINT) AS rolled_rows, CAST(sum(CAST(sum AS DECIMAL(18,2))) AS DOUBLE) AS rolled_sum FROM ({rollup_sql(EV, HOUR_US)})) b"
+)
 def raw_vs_rollup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = in_cents(event_rows(spark, sf_dir))
     raw = rows.agg(F.count("*").alias("raw_rows"), F.sum("value").cast("double").alias("raw_sum"))
@@ -170,45 +198,45 @@ def raw_vs_rollup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(rollup_sql(EV, HOUR_US))
 def rollup_incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches that don't follow time, each rolled up alone, then merged."""
-    rows = in_cents(event_rows(spark, sf_dir))
-    parts = [ru.rollup(rows.where(F.pmod(F.xxhash64("sequence", "ordinal"), F.lit(4)) == i), [HOUR_US]) for i in range(4)]
-    states = parts[0]
-    for part in parts[1:]:
-        states = states.unionByName(part)
-    return as_double(ru.merge(states))
-
+    rows = in_cents(event_rows(spark, sf_dir)).withColumn("batch", F.pmod(F.xxhash64("sequence", "ordinal"), F.lit(4)))
+    return as_double(ru.merge(ru.rollup(rows, [HOUR_US], by=["batch"]).drop("batch")))
 
-CUT = f"(SELECT min(timestamp_us) + 200 * {DAY_US} FROM {EV})"
 
-
-@register(rollup_sql(EV, DAY_US, f"WHERE timestamp_us >= {CUT}"))
+@register(f"SELECT bucket_us, tenant, series, count, sum, min, max, first, last, first_timestamp_us, last_timestamp_us FROM ({rollup_sql(EV, DAY_US, f'WHERE timestamp_us >= {THIRD}')})")
 def rollup_backfill_after_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = in_cents(event_rows(spark, sf_dir))
-    return as_double(ru.rollup(expire(rows, rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("cutoff"))), [DAY_US]))
+    """A width that is added after old rows have gone: states of the rows that are kept."""
+    db = new_database(spark, sf_dir, "backfill", {"rollup_widths_us": [], "policy": {"retention_us": TWO_THIRDS - THIRD}})
+    db.maintain(TWO_THIRDS)
+    db.create_continuous_aggregate("daily", "events", DAY_US)
+    v = db.rollups("events", width_us=DAY_US)
+    return v.select("bucket_us", "tenant", "series", "count", F.round("sum", 2).alias("sum"), "min", "max", "first", "last", "first_timestamp_us", "last_timestamp_us")
 
 
-@register(f"SELECT * FROM ({rollup_sql(EV, DAY_US)}) WHERE bucket_us + width_us > {CUT}")
+@register(f"SELECT bucket_us, tenant, series, count, min, max, first, last FROM ({rollup_sql(EV, DAY_US)}) WHERE bucket_us + width_us > {THIRD}")
 def rollup_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_rows(spark, sf_dir)
-    cutoff = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("cutoff"))
-    states = as_double(ru.rollup(in_cents(rows), [DAY_US]))
-    return states.join(F.broadcast(cutoff), F.col("bucket_us") + F.col("width_us") > F.col("cutoff")).drop("cutoff")
+    db = new_database(spark, sf_dir, "rollup_retention", {"rollup_widths_us": [DAY_US], "policy": {"rollup_retention_us": TWO_THIRDS - THIRD}})
+    db.maintain(TWO_THIRDS)
+    return db.rollups("events").select("bucket_us", "tenant", "series", "count", "min", "max", "first", "last")
+
+
+SOUND = (
+    "count > 0 AND first BETWEEN min AND max AND last BETWEEN min AND max AND first_timestamp_us <= last_timestamp_us AND (count > 1 OR first = last) "
+    "AND first_timestamp_us BETWEEN bucket_us AND bucket_us + width_us - 1 AND last_timestamp_us BETWEEN bucket_us AND bucket_us + width_us - 1"
+)
 
 
-@register("SELECT CAST(0 AS BIGINT) AS broken")
+@register(" UNION ALL ".join(f"(SELECT width_us, count(*) AS states, count(*) FILTER (WHERE NOT ({SOUND})) AS broken FROM ({rollup_sql(EV, w)}) GROUP BY width_us)" for w in (MINUTE_US, DAY_US)))
 def rollup_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ru.broken(ru.rollup(event_rows(spark, sf_dir), [MINUTE_US, DAY_US])).agg(F.count("*").alias("broken"))
+    states = ru.rollup(event_rows(spark, sf_dir), [MINUTE_US, DAY_US])
+    return states.groupBy("width_us").agg(F.count("*").alias("states"), F.count(F.when(~ru.is_sound(), 1)).alias("broken"))
 
 
 # -- scans, segments, lifecycle -----------------------------------------------------------------------------------
 
 
-@register(f"SELECT * FROM {EV} WHERE tenant = 'view' AND timestamp_us >= {CUT} AND timestamp_us < {CUT} + 20 * {DAY_US}")
+@register(f"SELECT timestamp_us, tenant, series, value, tags, sequence FROM {LOADED} WHERE tenant = 'view' AND timestamp_us >= {THIRD} AND timestamp_us < {TWO_THIRDS}")
 def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_rows(spark, sf_dir)
-    low = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("low"))
-    inside = (F.col("timestamp_us") >= F.col("low")) & (F.col("timestamp_us") < F.col("low") + 20 * DAY_US)
-    return rows.where("tenant = 'view'").join(F.broadcast(low), inside).drop("low").orderBy(*SORT)
+    return loaded(spark, sf_dir).scan("events", start_us=THIRD, end_us=TWO_THIRDS, tenant="view").drop("ordinal")
 
 
 #: One step of the shard hash on two 32-bit halves, over ASCII characters; the products stay below 2**63.
@@ -239,37 +267,57 @@ def event_window_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.groupBy("window_us").agg(F.count("*").alias("n"))
 
 
-@register(f"SELECT window_us, CAST(sum(1) AS BIGINT) AS rows, min(t) AS min_us, max(t) AS max_us FROM (SELECT {floor_to('timestamp_us', 30 * DAY_US)} AS window_us, timestamp_us AS t FROM {EV}) GROUP BY window_us")
-def segment_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = descriptors(event_rows(spark, sf_dir), 8, 30 * DAY_US)
-    return found.groupBy(F.col("window").alias("window_us")).agg(F.sum("rows").cast("bigint").alias("rows"), F.min("min_us").alias("min_us"), F.max("max_us").alias("max_us"))
+def segment_sql(window_us: int) -> str:
+    """Rows of each shard and window, of which segments of a window hold some."""
+    shards = f"(SELECT tenant, series, CAST({fnv_sql('tenant', 'series', SHARDS)} AS BIGINT) AS shard FROM (SELECT DISTINCT tenant, series FROM {EV}))"
+    return (
+        f"SELECT shard, {floor_to('timestamp_us', window_us)} AS window_us, count(*) AS rows, min(timestamp_us) AS min_us, max(timestamp_us) AS max_us FROM {EV} JOIN {shards} USING (tenant, series) GROUP BY ALL"
+    )
 
 
-SEGMENTS = f"(SELECT tenant AS shard, {floor_to('timestamp_us', 30 * DAY_US)} AS window_us, sequence % 7 AS file, count(*) AS rows, min(timestamp_us) AS min_us, max(timestamp_us) AS max_us FROM {EV} GROUP BY ALL)"
+def segment_rows(spark: SparkSession, segments: list[dict]) -> DataFrame:
+    """Segments of a manifest as rows, those of a shard and window as one."""
+    rows = [(s["shard"], s["window"], s["rows"], s["min_us"], s["max_us"]) for s in segments]
+    found = spark.createDataFrame(rows, "shard long, window_us long, n long, lo long, hi long")
+    return found.groupBy("shard", "window_us").agg(F.sum("n").alias("rows"), F.min("lo").alias("min_us"), F.max("hi").alias("max_us"))
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven files for each tenant and month, as if seven commits had written them."""
-    rows = event_rows(spark, sf_dir)
-    keys = [F.col("tenant").alias("shard"), window_start(F.col("timestamp_us"), 30 * DAY_US).alias("window_us"), (F.col("sequence") % 7).alias("file")]
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("min_us"), F.max("timestamp_us").alias("max_us"))
+@register(segment_sql(5 * DAY_US))
+def segment_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the database has written, by its manifest."""
+    return segment_rows(spark, loaded(spark, sf_dir).segments("events"))
 
 
-@register(f"SELECT shard, window_us, count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows FROM {SEGMENTS} WHERE rows < 1000 GROUP BY ALL HAVING count(*) >= 4 AND ceil(sum(rows) / 1000.0) < count(*)")
-def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction_plan(_files(spark, sf_dir), 1000, 4)
+@register(f"SELECT * FROM ({segment_sql(5 * DAY_US)}) WHERE max_us < {TWO_THIRDS}")
+def archive_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that the database would move; here a window's newest row decides, since one checkpoint wrote them."""
+    db = new_database(spark, sf_dir, "archive", {"rollup_widths_us": [], "policy": {"archive_after_us": DAY_US}})
+    db.checkpoint()
+    old = set(db.archive_candidates("events", TWO_THIRDS + DAY_US))
+    return segment_rows(spark, [s for s in db.segments("events") if s["file"] in old])
 
 
-@register(f"SELECT shard, window_us, file FROM {SEGMENTS} WHERE max_us < (SELECT max(timestamp_us) - 100 * {DAY_US} FROM {EV})")
-def archive_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    return archive_candidates(files, files.agg((F.max("max_us") - 100 * DAY_US).alias("before"))).select("shard", "window_us", "file")
+@register(
+    f"SELECT shard, window_us, CAST(sum(1) AS BIGINT) AS files, CAST(sum(rows) AS BIGINT) AS rows FROM (SELECT {floor_to('timestamp_us', 5 * DAY_US)} AS window_us, "
+    f"shard, sequence % 3 AS part, count(*) AS rows FROM {EV} JOIN (SELECT tenant, series, CAST({fnv_sql('tenant', 'series', SHARDS)} AS BIGINT) AS shard FROM (SELECT DISTINCT tenant, series FROM {EV})) USING (tenant, series) GROUP BY ALL) "
+    "GROUP BY ALL HAVING count(*) >= 3"
+)
+def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of small segments that three checkpoints have left."""
+    db = database(spark, compact_min_segments=3)
+    db.create_table("events", {"shards": SHARDS, "window_us": 5 * DAY_US, "rollup_widths_us": []})
+    for part in range(3):
+        db.write("events", f"part{part}", measured_rows(spark, sf_dir).where(F.col("sequence") % 3 == part).drop("sequence", "ordinal").coalesce(1), 0)
+        db.checkpoint()
+    found = [(g[0]["shard"], g[0]["window"], len(g), sum(s["rows"] for s in g)) for g in db.compaction_groups("events")]
+    return spark.createDataFrame(found, "shard long, window_us long, files long, rows long")
 
 
-@register(f"SELECT * FROM {EV} WHERE timestamp_us >= {CUT}")
+@register(f"SELECT timestamp_us, tenant, series, value FROM {EV} WHERE timestamp_us >= {THIRD}")
 def retention_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_rows(spark, sf_dir)
-    return expire(rows, rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("cutoff")))
+    db = new_database(spark, sf_dir, "retention", {"rollup_widths_us": [], "policy": {"retention_us": TWO_THIRDS - THIRD}})
+    db.maintain(TWO_THIRDS)
+    return db.rows("events").select("timestamp_us", "tenant", "series", "value")
 
 
 # -- admission --------------------------------------------------------------------------------------------------------
@@ -298,23 +346,48 @@ def dedupe_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit(_requests(spark, sf_dir)).select("request", "copy", "outcome")
 
 
-@register(f"SELECT sequence AS request, count(*) AS rows, min(timestamp_us) >= {CUT} AS admitted FROM {EV} GROUP BY sequence")
+@register(f"SELECT sequence AS request, count(*) AS rows, min(timestamp_us) >= {THIRD} AS admitted FROM {EV} GROUP BY sequence")
 def lateness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole batches, by their oldest row."""
-    rows = event_rows(spark, sf_dir)
-    gate = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("gate"))
-    batches = rows.groupBy(F.col("sequence").alias("request")).agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("least"))
-    return batches.join(F.broadcast(gate)).select("request", "rows", (F.col("least") >= F.col("gate")).alias("admitted"))
+    batches = event_rows(spark, sf_dir).groupBy(F.col("sequence").alias("request")).agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("least"))
+    return batches.select("request", "rows", (F.col("least") >= THIRD).alias("admitted"))
 
 
 @register(
-    f"SELECT sequence AS request, CASE WHEN least < {CUT} THEN 'expired' WHEN least > {CUT} + 100 * {DAY_US} THEN 'future' ELSE 'valid' END AS outcome FROM (SELECT sequence, min(timestamp_us) AS least FROM {EV} GROUP BY sequence)"
+    f"SELECT sequence AS request, CASE WHEN least < {THIRD} THEN 'expired' WHEN least > {TWO_THIRDS} THEN 'future' ELSE 'valid' END AS outcome FROM (SELECT sequence, min(timestamp_us) AS least FROM {EV} GROUP BY sequence) "
+    f"UNION ALL SELECT -sequence, 'malformed' FROM {EV} GROUP BY sequence"
 )
 def timed_id_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
-    bounds = rows.agg((F.min("timestamp_us") + 200 * DAY_US).alias("floor"))
     ids = rows.groupBy(F.col("sequence").alias("request")).agg(F.concat(F.lit("v1:"), F.min("timestamp_us").cast("string"), F.lit(":n")).alias("request_id"))
-    return timed_ids(ids.join(F.broadcast(bounds)), F.col("floor"), F.col("floor") + 100 * DAY_US).select("request", "outcome")
+    odd = ids.select((-F.col("request")).alias("request"), F.regexp_replace("request_id", "^v1", "v2").alias("request_id"))
+    return timed_ids(ids.unionByName(odd), F.lit(THIRD), F.lit(TWO_THIRDS)).select("request", "outcome")
+
+
+#: Six batches of five days each.
+BATCHES = f"(SELECT (timestamp_us - 1704067200000000) // {5 * DAY_US} AS batch, count(*) AS rows, min(timestamp_us) AS least FROM {EV} GROUP BY ALL)"
+
+
+@register(
+    f"SELECT batch, attempt, CASE WHEN least < {THIRD} THEN 'refused' WHEN attempt = 'first' THEN 'accepted' WHEN attempt = 'again' THEN 'duplicate' ELSE 'refused' END AS outcome, "
+    f"CASE WHEN least < {THIRD} OR attempt = 'other' THEN 0 ELSE rows END AS rows FROM {BATCHES} CROSS JOIN (VALUES ('first'), ('again'), ('other')) t(attempt)"
+)
+def database_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the database answers: each batch three times, at last with other rows under the same id."""
+    db = database(spark)
+    db.create_table("events", {"shards": SHARDS, "window_us": 5 * DAY_US, "rollup_widths_us": [], "policy": {"late_after_us": TWO_THIRDS - THIRD}})
+    rows, out = measured_rows(spark, sf_dir), []
+    for batch in range(6):
+        low = 1704067200000000 + batch * 5 * DAY_US
+        part = rows.where((F.col("timestamp_us") >= low) & (F.col("timestamp_us") < low + 5 * DAY_US)).drop("sequence", "ordinal")
+        for attempt in ("first", "again", "other"):
+            sent = part.withColumn("value", F.col("value") + 1) if attempt == "other" else part
+            try:
+                receipt = db.write("events", f"batch{batch}", sent, TWO_THIRDS)
+                out.append((batch, attempt, "duplicate" if receipt["duplicate"] else "accepted", receipt["rows"]))
+            except Rejected:
+                out.append((batch, attempt, "refused", 0))
+    return spark.createDataFrame(out, "batch long, attempt string, outcome string, rows long")
 
 
 @register(
@@ -354,76 +427,165 @@ def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the database, end to end ---------------------------------------------------------------------------------------
 
 
-def database(spark: SparkSession) -> Database:
-    """A new database in the folder that executors share, or one of this machine where there is none."""
+def database(spark: SparkSession, **settings: int) -> Database:
+    """A new database in the folder that executors share; in a folder of this machine only where executors run in this process."""
     context = spark.sparkContext
     shared = context._jsc.sc().getCheckpointDir()
-    base = shared.get() if shared.isDefined() else context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="database-")
-    return Database(spark, f"{base}/database-{uuid.uuid4().hex}")
+    base = shared.get() if shared.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that executors share")
+        base = tempfile.mkdtemp(prefix="database-")
+    return Database(spark, f"{base}/database-{uuid.uuid4().hex}", **settings)
 
 
-def loaded(spark: SparkSession, sf_dir: str) -> Database:
-    """The events as one batch, dealt into segments, with hourly and daily rollups."""
+def measured_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_rows(spark, sf_dir).withColumn("tags", F.from_json("tags", "map<string,string>"))
+
+
+def new_database(spark: SparkSession, sf_dir: str, request: str, settings: dict) -> Database:
+    """The events as one batch of a new table."""
     db = database(spark)
-    db.create_table("events", {"shards": 4, "window_us": 90 * DAY_US, "rollup_widths_us": [DAY_US]})
-    rows = event_rows(spark, sf_dir).withColumn("tags", F.from_json("tags", "map<string,string>"))
-    db.write("events", "load", rows, 0)
-    db.checkpoint()
-    db.create_continuous_aggregate("hourly", "events", HOUR_US)
+    db.create_table("events", {"shards": SHARDS, "window_us": 5 * DAY_US} | settings)
+    db.write("events", request, measured_rows(spark, sf_dir).drop("sequence", "ordinal"), 0)
     return db
 
 
-@register(f"SELECT timestamp_us, tenant, series, value FROM {EV} WHERE tenant = 'view' AND timestamp_us >= 1710000000000000")
+_LOADED: dict[tuple[str, str], Database] = {}
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> Database:
+    """The events dealt into segments, with rollups of a minute, an hour and a day; loaded once for all queries of an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _LOADED:
+        db = new_database(spark, sf_dir, "load", {"rollup_widths_us": [MINUTE_US, DAY_US]})
+        db.checkpoint()
+        db.create_continuous_aggregate("hourly", "events", HOUR_US)
+        _LOADED[key] = db
+    return _LOADED[key]
+
+
+@register(f"SELECT timestamp_us, tenant, series, value FROM {EV} WHERE tenant = 'view' AND timestamp_us >= {TWO_THIRDS}")
 def database_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded(spark, sf_dir).scan("events", start_us=1710000000000000, tenant="view").select("timestamp_us", "tenant", "series", "value")
+    return loaded(spark, sf_dir).scan("events", start_us=TWO_THIRDS, tenant="view").select("timestamp_us", "tenant", "series", "value")
 
 
-@register(f"SELECT bucket_us, tenant, series, count, min, max, first, last FROM ({rollup_sql(EV, HOUR_US)})")
+@register(f"SELECT bucket_us, tenant, series, tags, count, sum, average, min, max, first, last, first_timestamp_us, last_timestamp_us FROM (SELECT *, round(sum / count, 4) AS average FROM ({rollup_sql(LOADED, HOUR_US)}))")
 def database_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded(spark, sf_dir).query("SELECT bucket_us, tenant, series, count, min, max, first, last FROM hourly")
+    return loaded(spark, sf_dir).query(
+        "SELECT bucket_us, tenant, series, tags, count, round(sum, 2) AS sum, round(average, 4) AS average, min, max, first, last, first_timestamp_us, last_timestamp_us FROM hourly"
+    )
 
 
-@register(f"SELECT tenant, count(*) AS n, max(value) AS high FROM {EV} WHERE timestamp_us >= 1700000000000000 AND timestamp_us < 1720000000000000 GROUP BY tenant")
+@register(f"SELECT tenant, count(*) AS n, max(value) AS high FROM {EV} WHERE timestamp_us >= {THIRD} AND timestamp_us < {TWO_THIRDS} GROUP BY tenant")
 def database_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded(spark, sf_dir).query("SELECT tenant, count(*) AS n, max(value) AS high FROM events WHERE timestamp_us >= 1700000000000000 AND timestamp_us < 1720000000000000 GROUP BY tenant")
+    return loaded(spark, sf_dir).query(f"SELECT tenant, count(*) AS n, max(value) AS high FROM events WHERE timestamp_us >= {THIRD} AND timestamp_us < {TWO_THIRDS} GROUP BY tenant")
+
+
+#: Predicates by which files may be pruned, or mustn't be.
+PREDICATES = {
+    "range": f"timestamp_us >= {THIRD} AND timestamp_us < {TWO_THIRDS}",
+    "between": f"timestamp_us BETWEEN {THIRD} AND {TWO_THIRDS}",
+    "turned": f"{THIRD} <= timestamp_us AND {TWO_THIRDS} > timestamp_us",
+    "series": f"tenant = 'view' AND series = 'user_7' AND timestamp_us > {THIRD}",
+    "or": f"timestamp_us < {THIRD} OR timestamp_us >= {TWO_THIRDS}",
+    "not": f"NOT (timestamp_us > {THIRD})",
+    "words": f"(tenant = 'x AND timestamp_us >= {TWO_THIRDS} AND y' OR timestamp_us < {THIRD})",
+    "null": f"((timestamp_us >= {TWO_THIRDS}) AND (value > 1)) IS NOT NULL AND tenant = 'view'",
+    "case": f"CASE WHEN timestamp_us >= {TWO_THIRDS} THEN tenant = 'click' ELSE tenant = 'view' END",
+    "computed": f"timestamp_us + 1 > {TWO_THIRDS}",
+    "in": "tenant IN ('view', 'click') AND series IN ('user_7', 'user_9')",
+}
+
+
+def _predicate(name: str, where: str) -> None:
+    text = f"SELECT timestamp_us, tenant, series, value FROM {{}} WHERE {where}"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return loaded(spark, sf_dir).query(text.format("events"))
+
+    QUERIES[f"database_where_{name}"] = run
+    ORACLES[f"database_where_{name}"] = text.format(EV)
 
 
-@register(f"SELECT 'events' AS name, CAST(4 AS DECIMAL(20,0)) AS shards, CAST({90 * DAY_US} AS BIGINT) AS window_us, CAST(1 AS DECIMAL(20,0)) AS created_sequence")
+for _name, _where in PREDICATES.items():
+    _predicate(_name, _where)
+
+
+@register(f"SELECT timestamp_us, rn FROM (SELECT timestamp_us, row_number() OVER (ORDER BY timestamp_us) AS rn FROM {EV} WHERE tenant = 'click' AND series = 'user_7') WHERE timestamp_us >= {THIRD}")
+def database_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter over a window prunes no files below it."""
+    inner = "SELECT timestamp_us, CAST(row_number() OVER (ORDER BY timestamp_us) AS BIGINT) AS rn FROM events WHERE tenant = 'click' AND series = 'user_7'"
+    return loaded(spark, sf_dir).query(f"SELECT timestamp_us, rn FROM ({inner}) WHERE timestamp_us >= {THIRD}")
+
+
+@register(
+    f"SELECT tenant, epoch_us(time_bucket(INTERVAL '6 hours', make_timestamp(timestamp_us))) AS bucket_us, arg_min(value, timestamp_us) AS f, strftime(max(make_timestamp(timestamp_us)), '%Y-%m-%d %H:%M:%S') AS newest, "
+    f"date_diff('day', min(make_timestamp(timestamp_us)), make_timestamp({TWO_THIRDS})) AS days, approx_count_distinct(tenant) AS kinds FROM {EV} WHERE timestamp_us < {TWO_THIRDS} GROUP BY ALL"
+)
+def database_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the users' dialect."""
+    time = "to_timestamp(timestamp_us / 1000000)"
+    return loaded(spark, sf_dir).query(
+        f"SELECT tenant, epoch_us(time_bucket(INTERVAL '6' HOUR, {time})) AS bucket_us, arg_min(value, timestamp_us) AS f, strftime(max({time}), '%Y-%m-%d %H:%M:%S') AS newest, "
+        f"date_diff('day', min({time}), to_timestamp({TWO_THIRDS // 1_000_000})) AS days, approx_count_distinct(tenant) AS kinds FROM events WHERE timestamp_us < {TWO_THIRDS} GROUP BY tenant, epoch_us(time_bucket(INTERVAL '6' HOUR, {time}))"
+    )
+
+
+@register(f"SELECT tenant, NULL AS series, count(*) AS n FROM {EV} GROUP BY tenant UNION ALL BY NAME SELECT count(*) AS n, series FROM {EV} GROUP BY series")
+def database_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir).query("SELECT tenant, count(*) AS n FROM events GROUP BY tenant UNION ALL BY NAME SELECT count(*) AS n, series FROM events GROUP BY series")
+
+
+@register(f"SELECT 'events' AS name, CAST(4 AS DECIMAL(20,0)) AS shards, CAST({5 * DAY_US} AS BIGINT) AS window_us, CAST(1 AS DECIMAL(20,0)) AS created_sequence")
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = database(spark)
-    db.create_table("events", {"shards": 4, "window_us": 90 * DAY_US})
-    return db.query("SELECT * FROM ts_tables()")
+    return loaded(spark, sf_dir).query("SELECT * FROM ts_tables()")
 
 
-@register("SELECT 'events' AS table_name, CAST(5 AS BIGINT) AS late_after_us, CAST(NULL AS BIGINT) AS retention_us, CAST(NULL AS BIGINT) AS archive_after_us, CAST(NULL AS BIGINT) AS rollup_retention_us, CAST(NULL AS BIGINT) AS idempotency_window_us, CAST(NULL AS BIGINT) AS idempotency_floor_us")
+@register(
+    "SELECT * FROM (VALUES ('events', CAST(5 AS BIGINT), CAST(NULL AS BIGINT), CAST(7 AS BIGINT), CAST(NULL AS BIGINT), CAST(50 AS BIGINT), CAST(150 AS BIGINT)), "
+    "('other', NULL, NULL, NULL, NULL, NULL, NULL)) t(table_name, late_after_us, retention_us, archive_after_us, rollup_retention_us, idempotency_window_us, idempotency_floor_us)"
+)
 def catalog_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark)
     db.create_table("events")
-    db.query("CALL ts_set_policy('events', '{\"late_after_us\": 5}')")
+    db.create_table("other")
+    db.query("CALL ts_set_policy('events', '{\"late_after_us\": 5, \"archive_after_us\": 7, \"idempotency_window_us\": 50}')", now_us=200)
     return db.query("SELECT * FROM ts_policies()")
 
 
-@register(f"SELECT 'daily' AS name, 'events' AS source, CAST({DAY_US} AS BIGINT) AS width_us, CAST(2 AS DECIMAL(20,0)) AS created_sequence")
+@register(f"SELECT * FROM (VALUES ('daily', 'events', CAST({DAY_US} AS BIGINT), CAST(3 AS DECIMAL(20,0))), ('hourly', 'events', CAST({HOUR_US} AS BIGINT), CAST(2 AS DECIMAL(20,0)))) t(name, source, width_us, created_sequence)")
 def catalog_continuous_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = database(spark)
     db.create_table("events")
-    db.query(f"CALL ts_create_continuous_aggregate('daily', 'events', {DAY_US})")
+    for name, width in (("hourly", HOUR_US), ("daily", DAY_US), ("gone", MINUTE_US)):
+        db.query(f"CALL ts_create_continuous_aggregate('{name}', 'events', {width})")
+    db.query("CALL ts_drop_continuous_aggregate('gone')")
     return db.query("SELECT * FROM ts_continuous_aggregates()")
 
 
-@register("SELECT name, kind, CAST(10 AS BIGINT) AS interval_us, true AS paused FROM (VALUES ('cp', 'checkpoint')) t(name, kind)")
+@register(
+    "SELECT * FROM (VALUES ('bad', 'ship', CAST(60000000 AS BIGINT), false, CAST(1000020 AS BIGINT), false, 1, 1, false), ('cp', 'checkpoint', 10, true, 10, false, 0, NULL, NULL), "
+    "('good', 'checkpoint', 10, false, 30, false, 0, 1, true)) t(name, kind, interval_us, paused, next_run_us, running, attempts, latest_run_id, latest_success)"
+)
 def catalog_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that has succeeded, one that has failed, one paused."""
     db = database(spark)
-    db.query("CALL ts_create_job('cp', 'checkpoint', 10)")
+    for name, kind, interval in (("cp", "checkpoint", 10), ("good", "checkpoint", 10), ("bad", "ship", 60_000_000)):
+        db.query(f"CALL ts_create_job('{name}', '{kind}', {interval})")
     db.query("CALL ts_pause_job('cp')")
-    return db.query("SELECT name, kind, interval_us, paused FROM ts_jobs() WHERE name = 'cp'")
+    for name in ("good", "bad"):
+        db.query(f"CALL ts_run_job('{name}')", now_us=20)
+    return db.query(
+        "SELECT name, kind, interval_us, paused, next_run_us, running, CAST(attempts AS INT) AS attempts, CAST(latest_run_id AS INT) AS latest_run_id, latest_success FROM ts_jobs() WHERE name <> 'maintenance'"
+    )
 
 
-@register("SELECT CAST(1 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS sequence, true AS healthy")
+@register(f"SELECT CAST(1 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS sequence, CAST(0 AS BIGINT) AS checkpoint_sequence, CAST(0 AS BIGINT) AS remote_sequence, CAST(2 AS BIGINT) AS unshipped_batches, count(*) AS hot_rows, count(*) > 0 AS has_bytes, true AS healthy FROM {EV}")
 def catalog_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = database(spark)
-    db.create_table("events")
-    return db.query("SELECT CAST(tables AS BIGINT) AS tables, CAST(sequence AS BIGINT) AS sequence, healthy FROM ts_status()")
+    db = new_database(spark, sf_dir, "status", {"rollup_widths_us": []})
+    names = ("tables", "sequence", "checkpoint_sequence", "remote_sequence", "unshipped_batches", "hot_rows")
+    return db.query(f"SELECT {', '.join(f'CAST({n} AS BIGINT) AS {n}' for n in names)}, hot_bytes > 0 AND metadata_bytes > 0 AND wal_bytes > 0 AS has_bytes, healthy FROM ts_status()")
 
 
 # -- statements that both engines read alike ------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -32,20 +33,38 @@ class Store:
             stream.close()
 
     def put_new(self, name: str, text: str) -> bool:
-        """Writes a file whole, under its name only once it is complete; False if the name is taken."""
+        """Creates a file under its own name, which the store refuses if it is taken (create without overwrite); False then.
+
+        Local folders and HDFS would show the file while it is written, so there a whole file is linked to the name by a rename that doesn't overwrite.
+        """
         if self.exists(name):
             return False
+        if self._fs.getScheme() not in ("file", "hdfs", "viewfs"):
+            try:
+                self._write(name, text)
+            except Py4JJavaError as failed:
+                if "exist" in str(failed.java_exception).lower():
+                    return False
+                raise
+            return True
         part = f"{name}.{uuid.uuid4().hex}.tmp"
-        stream = self._fs.create(self._path(part), False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
+        self._write(part, text)
         if self._fs.rename(self._path(part), self._path(name)):
             return True
         self.delete(part)
         return False
 
+    def _write(self, name: str, text: str) -> None:
+        stream = self._fs.create(self._path(name), False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def size(self, name: str) -> int:
+        """Bytes below a folder."""
+        return self._fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0
+
     def names(self, name: str) -> list[str]:
         """Entries of a folder."""
         if not self.exists(name):

@@ -35,8 +35,3 @@ def describe(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     found = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("min_us"), F.max("timestamp_us").alias("max_us"))
     part = lambda key: F.regexp_extract("file", f"/{key}=(-?[0-9]+)/", 1).cast("bigint")
     return found.select("file", part("shard").alias("shard"), part("window").alias("window"), "rows", "min_us", "max_us")
-
-
-def descriptors(rows: DataFrame, shards: int, window_us: int) -> DataFrame:
-    """What segments of rows would be: rows, least and greatest time for each shard and window."""
-    return placed(rows, shards, window_us).groupBy("shard", "window").agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("min_us"), F.max("timestamp_us").alias("max_us"))

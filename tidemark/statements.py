@@ -14,7 +14,7 @@ statement("filter_like", "SELECT DISTINCT series FROM {ev} WHERE series LIKE 'us
 statement("filter_nocase", "SELECT count(*) AS n FROM {ev} WHERE tenant COLLATE UTF8_LCASE = 'CLICK'", "SELECT count(*) AS n FROM {ev} WHERE tenant COLLATE NOCASE = 'CLICK'")
 statement("filter_binary", "SELECT count(*) AS n FROM {ev} WHERE tenant = 'Click'")
 statement("filter_distinct_from", "SELECT count(*) AS n FROM {ev} WHERE nullif(tenant, 'click') IS DISTINCT FROM 'view' AND (value > 5) IS TRUE AND nullif(tenant, 'x') IS NOT NULL")
-statement("filter_time_range", f"SELECT timestamp_us FROM {{ev}} WHERE timestamp_us >= 1710000000000000 AND timestamp_us < 1710000000000000 + 10 * {D}")
+statement("filter_time_range", f"SELECT timestamp_us FROM {{ev}} WHERE timestamp_us >= 1704931200000000 AND timestamp_us < 1704931200000000 + 10 * {D}")
 statement("case_cast", "SELECT timestamp_us, CASE WHEN value > 50 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS band, CAST(round(value) AS BIGINT) AS whole, CAST(timestamp_us AS STRING) AS text FROM {ev}", "SELECT timestamp_us, CASE WHEN value > 50 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS band, CAST(round(value) AS BIGINT) AS whole, CAST(timestamp_us AS VARCHAR) AS text FROM {ev}")
 statement("scalar_functions", "SELECT timestamp_us, abs(-value) AS a, coalesce(nullif(tenant, 'click'), 'none') AS c, round(sin(value), 6) AS s, repeat(tenant, 2) AS r, lower(upper(tenant)) AS l, CAST(length(series) AS BIGINT) AS n, CAST(floor(value) AS DOUBLE) AS f, CAST(ceil(value) AS DOUBLE) AS ce, round(value, 1) AS ro, md5(series) AS m, startswith(series, 'user_1') AS st FROM {ev}", "SELECT timestamp_us, abs(-value) AS a, coalesce(nullif(tenant, 'click'), 'none') AS c, round(sin(value), 6) AS s, repeat(tenant, 2) AS r, lower(upper(tenant)) AS l, CAST(length(series) AS BIGINT) AS n, CAST(floor(value) AS DOUBLE) AS f, CAST(ceil(value) AS DOUBLE) AS ce, round(value, 1) AS ro, md5(series) AS m, starts_with(series, 'user_1') AS st FROM {ev}")
 statement("string_functions", "SELECT DISTINCT series, substr(series, 6) AS id, trim('  ' || tenant || ' ') AS t, CAST(position('_' IN series) AS BIGINT) AS p, split(series, '_')[1] AS part, regexp_replace(series, '[0-9]+', '#') AS masked FROM {ev}", "SELECT DISTINCT series, substr(series, 6) AS id, trim('  ' || tenant || ' ') AS t, CAST(position('_' IN series) AS BIGINT) AS p, split_part(series, '_', 2) AS part, regexp_replace(series, '[0-9]+', '#', 'g') AS masked FROM {ev}")
@@ -30,9 +30,9 @@ statement("range_rows", "SELECT CAST(id AS BIGINT) AS i FROM range(100) WHERE id
 statement("join_inner_using", "SELECT o_orderkey, c_name, o_totalprice FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'", tables="orders customer")
 statement("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey", tables="orders customer")
 statement("join_right", "SELECT n_name, s_suppkey FROM {supplier} RIGHT JOIN {nation} ON s_nationkey = n_nationkey", tables="supplier nation")
-statement("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey < 50) c FULL JOIN (SELECT * FROM {supplier} WHERE s_suppkey > 20) s ON c_custkey = s_suppkey", tables="customer supplier")
+statement("join_full", "SELECT c_custkey, s_suppkey, s_name FROM {customer} FULL JOIN {supplier} ON c_custkey = s_suppkey * 200", tables="customer supplier")
 statement("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 100000)", tables="orders customer")
-statement("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", tables="orders customer")
+statement("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)", tables="orders customer")
 statement("join_cross_single_rows", "SELECT a.n AS events, b.n AS orders FROM (SELECT count(*) AS n FROM {events}) a CROSS JOIN (SELECT count(*) AS n FROM {orders}) b", tables="events orders")
 statement("join_self", "SELECT a.timestamp_us, a.series, b.tenant AS other FROM {ev} a JOIN {ev} b ON a.sequence = b.sequence AND a.ordinal + 1 = b.ordinal")
 statement("join_star", "SELECT r_name, n_name, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, n_name", tables="lineitem supplier nation region")
@@ -43,7 +43,7 @@ statement("join_lateral", "SELECT n_name, x.top FROM {nation}, LATERAL (SELECT m
 statement("group_having", "SELECT series, count(*) AS n FROM {ev} GROUP BY series HAVING count(*) > 5")
 statement("group_distinct", "SELECT tenant, count(DISTINCT series) AS users, count(DISTINCT sequence) AS commits FROM {ev} GROUP BY tenant")
 statement("group_filter", "SELECT tenant, count(*) FILTER (WHERE value > 50) AS high, CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE value <= 50) AS DOUBLE) AS low_sum FROM {ev} GROUP BY tenant")
-statement("group_string_agg", "SELECT tenant, string_agg(series, ',') WITHIN GROUP (ORDER BY series) AS names FROM (SELECT DISTINCT tenant, series FROM {ev} WHERE series < 'user_2') GROUP BY tenant", "SELECT tenant, string_agg(series, ',' ORDER BY series) AS names FROM (SELECT DISTINCT tenant, series FROM {ev} WHERE series < 'user_2') GROUP BY tenant")
+statement("group_string_agg", "SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, ',') WITHIN GROUP (ORDER BY l_returnflag || l_linenumber) AS parts FROM {lineitem} GROUP BY l_orderkey", "SELECT l_orderkey, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_returnflag || l_linenumber) AS parts FROM {lineitem} GROUP BY l_orderkey", tables="lineitem")
 statement("group_all", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM {lineitem} GROUP BY ALL", tables="lineitem")
 statement("grouping_sets", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS g, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", tables="lineitem")
 statement("group_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", tables="lineitem")
@@ -66,14 +66,14 @@ statement("window_qualify", "SELECT * FROM (SELECT tenant, series, value, CAST(r
 statement("top_k", "SELECT timestamp_us, value FROM {ev} ORDER BY value DESC NULLS LAST, timestamp_us LIMIT 20")
 statement("limit_offset", "SELECT timestamp_us FROM {ev} ORDER BY 1 LIMIT 10 OFFSET 35")
 statement("limit_in_derived_table", "SELECT tenant, count(*) AS n FROM (SELECT * FROM {ev} ORDER BY timestamp_us LIMIT 100) WHERE value > 10 GROUP BY tenant")
-statement("filter_over_window", "SELECT timestamp_us, rn FROM (SELECT timestamp_us, CAST(row_number() OVER (ORDER BY timestamp_us) AS BIGINT) AS rn FROM (SELECT * FROM {ev} WHERE tenant = 'click' AND series = 'user_7')) WHERE timestamp_us >= 1710000000000000")
+statement("filter_over_window", "SELECT timestamp_us, rn FROM (SELECT timestamp_us, CAST(row_number() OVER (ORDER BY timestamp_us) AS BIGINT) AS rn FROM (SELECT * FROM {ev} WHERE tenant = 'click' AND series = 'user_7')) WHERE timestamp_us >= 1704931200000000")
 statement("distinct_rows", "SELECT DISTINCT tenant, series FROM {ev}")
 statement("union_all", "SELECT series FROM {ev} WHERE value > 90 UNION ALL SELECT series FROM {ev} WHERE value < 5")
 statement("union_distinct", "SELECT n_name AS name FROM {nation} UNION SELECT r_name FROM {region}", tables="nation region")
 statement("intersect_all", "SELECT series FROM {ev} WHERE tenant = 'click' INTERSECT ALL SELECT series FROM {ev} WHERE tenant = 'view'")
 statement("intersect_distinct", "SELECT series FROM {ev} WHERE tenant = 'click' INTERSECT SELECT series FROM {ev} WHERE tenant = 'view'")
 statement("except_all", "SELECT series FROM {ev} WHERE tenant = 'click' EXCEPT ALL SELECT series FROM {ev} WHERE tenant = 'view'")
-statement("except_distinct", "SELECT series FROM {ev} EXCEPT SELECT series FROM {ev} WHERE tenant = 'view'")
+statement("except_distinct", "SELECT series, tenant FROM {ev} WHERE value > 5 EXCEPT SELECT series, tenant FROM {ev} WHERE value > 80")
 statement("cte_chain", "WITH a AS (SELECT tenant, series, count(*) AS n FROM {ev} GROUP BY tenant, series), b AS (SELECT tenant, max(n) AS n FROM a GROUP BY tenant) SELECT a.* FROM a JOIN b USING (tenant, n)", "WITH a AS (SELECT tenant, series, count(*) AS n FROM {ev} GROUP BY tenant, series), b AS (SELECT tenant, max(n) AS n FROM a GROUP BY tenant) SELECT a.* FROM a JOIN b USING (tenant, n)")
 statement("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT CAST(n AS BIGINT) AS n FROM t")
 statement("scalar_subquery", "SELECT timestamp_us, value FROM {ev} WHERE value = (SELECT max(value) FROM {ev})")
@@ -83,3 +83,9 @@ statement("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity
 statement("star_except", "SELECT * EXCEPT (tags, sequence) FROM {ev}", "SELECT * EXCLUDE (tags, sequence) FROM {ev}")
 statement("explain_text", "EXPLAIN SELECT count(*) FROM {ev}", "")
 statement("sampled", "SELECT * FROM {nation} TABLESAMPLE (50 PERCENT) REPEATABLE (7)", "", tables="nation")
+statement("join_using", "SELECT o_custkey, o_orderkey, c_name FROM {orders} JOIN (SELECT c_custkey AS o_custkey, c_name FROM {customer}) USING (o_custkey)", tables="orders customer")
+statement("join_theta_only", "SELECT a.r_name AS one, b.n_name AS two FROM {region} a JOIN {nation} b ON a.r_name < b.n_name", tables="region nation")
+statement("group_first_last", "SELECT tenant, min_by(value, struct(timestamp_us, ordinal)) AS f, max_by(value, struct(timestamp_us, ordinal)) AS l, mode(tenant) AS m, approx_count_distinct(tenant) AS a FROM {ev} GROUP BY tenant", "SELECT tenant, arg_min(value, (timestamp_us, ordinal)) AS f, arg_max(value, (timestamp_us, ordinal)) AS l, mode(tenant) AS m, approx_count_distinct(tenant) AS a FROM {ev} GROUP BY tenant")
+statement("array_lambdas", "SELECT tenant, transform(sequence(1, 3), x -> x * 2) AS t, filter(sequence(1, 5), x -> x % 2 = 1) AS f, aggregate(sequence(1, 4), 0, (a, x) -> a + x) AS s, CAST(size(array_distinct(array_agg(series))) AS BIGINT) AS n FROM {ev} GROUP BY tenant", "SELECT tenant, list_transform([1, 2, 3], lambda x: x * 2) AS t, list_filter([1, 2, 3, 4, 5], lambda x: x % 2 = 1) AS f, CAST(list_sum([1, 2, 3, 4]) AS INT) AS s, CAST(len(list_distinct(array_agg(series))) AS BIGINT) AS n FROM {ev} GROUP BY tenant")
+statement("maps", "SELECT DISTINCT tenant, map(tenant, 1, 'x', 2)['x'] AS x, map(tenant, 1, 'x', 2)[tenant] AS own, CAST(size(map_keys(map(tenant, 1, 'x', 2))) AS BIGINT) AS n FROM {ev}", "SELECT DISTINCT tenant, map([tenant, 'x'], [1, 2])['x'] AS x, map([tenant, 'x'], [1, 2])[tenant] AS own, CAST(len(map_keys(map([tenant, 'x'], [1, 2]))) AS BIGINT) AS n FROM {ev}")
+statement("intervals", "SELECT timestamp_us, unix_micros(timestamp_micros(timestamp_us) + INTERVAL 36 HOURS) AS later_us, CAST(datediff(DATE '2024-02-01', CAST(timestamp_micros(timestamp_us) AS DATE)) AS BIGINT) AS days, date_format(timestamp_micros(timestamp_us), 'yyyy-MM-dd HH:mm') AS text FROM {ev}", "SELECT timestamp_us, epoch_us(make_timestamp(timestamp_us) + INTERVAL 36 HOURS) AS later_us, date_diff('day', CAST(make_timestamp(timestamp_us) AS DATE), DATE '2024-02-01') AS days, strftime(make_timestamp(timestamp_us), '%Y-%m-%d %H:%M') AS text FROM {ev}")
