@@ -129,13 +129,48 @@ def test_without_labels(spark, frame, none):
     assert toxicity.score(none, toxicity.fit(none, empty)).count() == 0
 
 
-def test_label_model_finds_the_good_voters():
+def counted(votes):
+    """Sets of votes and how many rows have each."""
+    sets, counts = np.unique(votes, axis=0, return_counts=True)
+    return sets.astype(float), counts.astype(float)
+
+
+def test_label_model_estimates_planted_voters_without_labels():
     rnd = np.random.default_rng(0)
-    y = rnd.random(2000) < 0.2
-    good = np.stack([y & (rnd.random(2000) < 0.6) for _ in range(3)], 1)
-    bad = (rnd.random((2000, 2)) < 0.1)
-    q = toxicity.label_model(np.concatenate([good, bad], 1).astype(float), np.where(rnd.random(2000) < 0.03, ~y, y).astype(float))
-    assert ((q > 0.5) == y).mean() > 0.97
+    n, on_one, on_zero = 60_000, [0.6, 0.5, 0.7, 0.4], [0.02, 0.01, 0.05, 0.03]
+    y = rnd.random(n) < 0.2
+    votes = np.stack([np.where(y, rnd.random(n) < a, rnd.random(n) < b) for a, b in zip(on_one, on_zero, strict=True)], 1)
+    echo = np.where(rnd.random(n) < 0.9, votes[:, 0], np.where(y, rnd.random(n) < 0.6, rnd.random(n) < 0.02))
+    found = toxicity.label_model(*counted(np.column_stack([votes, echo])))
+    assert abs(found.prior - 0.2) < 0.04
+    assert np.allclose(found.on_one[:4], on_one, atol=0.1) and np.allclose(found.on_zero[:4], on_zero, atol=0.03)
+    assert found.related[0, 4] > 0.7 and found.related[1, 2] < 0.15 and found.related[0, 1] < 0.15
+    sets, counts = counted(np.column_stack([votes, y]))
+    q = toxicity.label_model(sets[:, :4], counts).posterior
+    assert (((q > 0.5) == (sets[:, 4] > 0)) * counts).sum() / n > 0.93
+
+
+def test_the_training_rows_are_the_same_each_time(spark, monkeypatch):
+    """Equal texts with other labels count as the largest; repeated ids keep to the bound."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {k % 7}") for k, i in enumerate(ids)] + [(ids[0], f"other {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] + [(ids[1], 0), (None, 1), (ids[2], None)], "doc_id long, toxic int")
+    want = {}
+    truth = {i: k % 2 for k, i in enumerate(ids)}
+    for i, t in rows:
+        want[t] = max(want.get(t, 0), truth[i])
+    assert {(r.text, r.toxic) for r in toxicity.training_rows(docs, labels).collect()} == set(want.items())
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 30)
+    few = [sorted(map(tuple, toxicity.training_rows(docs.repartition(n), labels).collect())) for n in (1, 7)]
+    assert few[0] == few[1] and len(few[0]) <= 30
+
+
+def test_sets_of_votes_beyond_the_bound_stand_for_the_others(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PATTERN_ROWS", 6)
+    patterns = spark.createDataFrame([([], 1000)] + [([i], 10) for i in range(10)], "hits array<int>, n long")
+    votes, counts = toxicity.votes_of(patterns, 10)
+    assert len(counts) == 6 and counts.sum() == 1100 and counts[votes.sum(1) == 0] == [1000]
 
 
 # -- the pipeline
