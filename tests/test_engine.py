@@ -129,7 +129,7 @@ def test_compaction_archive_and_garbage(spark, tmp_path):
         db.checkpoint()
     assert len(db.compaction_groups("metrics")) == 1 and len(db.archive_candidates("metrics", 1000)) == 3
     assert db.compact() == 1 and db.compact() == 0
-    assert times(db) == [0, 1, 2] and db.collect_garbage() > 0 and times(db) == [0, 1, 2]
+    assert times(db) == [0, 1, 2] and db.collect_garbage() == 0 and db.collect_garbage(0) > 0 and times(db) == [0, 1, 2]
 
 
 def test_archived_segments_stay_readable(db, tmp_path):
@@ -137,7 +137,7 @@ def test_archived_segments_stay_readable(db, tmp_path):
     db.write("metrics", "a", [row(t) for t in (0, 15, 990)], 0)
     db.checkpoint()
     assert db.archive(1000, str(tmp_path / "old")) == 2 and db.archive(1000, str(tmp_path / "old")) == 0
-    assert db.collect_garbage() >= 2 and times(db) == [0, 15, 990]
+    assert db.collect_garbage(0) >= 2 and times(db) == [0, 15, 990]
 
 
 def test_ship_and_restore(spark, db, tmp_path):
@@ -278,3 +278,38 @@ def test_writes_do_not_read_history(db, spark):
     with pytest.raises(Rejected):
         db.write("metrics", "r9", [row(1), row(2, float("inf"))], 0)
     assert {n for n, _ in db.store.files("hot")} == before
+
+
+def test_maintenance_with_a_remote_store(spark, db, tmp_path):
+    remote = str(tmp_path / "remote")
+    db.create_table("metrics", {"shards": 1, "window_us": 10, "policy": {"archive_after_us": 100}})
+    db.write("metrics", "a", [row(t) for t in (0, 15, 990)], 0)
+    report = db.maintain(1000, remote)
+    assert (report["checkpointed"], report["evicted_files"], report["shipped_sequence"]) == (1, 2, db.sequence)
+    assert times(db) == [0, 15, 990] and db.status()["remote_sequence"] == db.status()["sequence"]
+    assert db.vacuum_remote(remote, 0) >= 0 and times(db) == [0, 15, 990]
+    assert Database.restore(spark, remote, str(tmp_path / "copy")).scan("metrics").count() == 3
+    counters = db.performance()
+    assert (counters["batches"], counters["rows"], counters["checkpoints"], counters["archived_files"]) == (1, 3, 1, 2)
+    assert "tidemark_sequence " in db.metrics() and "tidemark_healthy 1" in db.metrics()
+
+
+def test_remote_lock(db, tmp_path):
+    remote = str(tmp_path / "remote")
+    db.create_table("metrics")
+    store = type(db.store)(db.spark, remote)
+    assert store.put_new("lock.json", json.dumps({"kind": "ship", "owner": "other", "token": "t"}))
+    for operation in (db.ship, db.vacuum_remote):
+        with pytest.raises(Rejected, match="locked"):
+            operation(remote)
+    with pytest.raises(Rejected):
+        db.recover_remote_lock(remote, "wrong")
+    assert db.recover_remote_lock(remote, "t") and not db.recover_remote_lock(remote, "t")
+    assert db.ship(remote) == db.sequence and not store.exists("lock.json")
+
+
+def test_status_of_a_writer_that_was_overtaken(spark, db):
+    other = Database(spark, db.store.root)
+    assert db.status()["healthy"] and other.status()["healthy"]
+    db.create_table("metrics")
+    assert db.status()["healthy"] and not other.status()["healthy"] and db.status()["wal_bytes"] > 0

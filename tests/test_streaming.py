@@ -3,11 +3,13 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import cli
 from tidemark.engine import Database
 from tidemark.model import Rejected
 from tidemark.operators import rollup as ru
+from tidemark.operators.joins import asof_join, band_join
 from tidemark.sources.adapters import event_rows
 from tidemark.sources.output import json_rows
 from tidemark.streaming.ingest import into_table, json_stream, rollup_deltas
@@ -74,3 +76,34 @@ def test_commands(spark, tmp_path):
     assert cli.run(spark, [*root, "rollups", "metrics", "--width", "60000000"])[0]["count"] == 2
     assert cli.run(spark, [*root, "ship", "--remote", str(tmp_path / "r")])["sequence"] == 2
     assert cli.run(spark, ["--root", str(tmp_path / "copy"), "restore", "--remote", str(tmp_path / "r")])["tables"] == 1
+
+
+def test_queue_flushes_by_itself(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.create_table("t", {"rollup_widths_us": []})
+    queue = Ingestor(db, lambda: 0, linger_s=0.05)
+    queue.start()
+    futures = [queue.submit("t", f"r{i}", [{"timestamp_us": i, "tenant": "a", "series": "b", "value": 1.0}]) for i in range(5)]
+    assert all(f.result(timeout=60)["rows"] == 1 for f in futures)
+    queue.shutdown()
+    assert db.rows("t").count() == 5 and queue.stats.groups < 5
+    with pytest.raises(Rejected):
+        queue.submit("t", "late", [])
+
+
+def test_queue_is_bounded_by_bytes(spark, tmp_path):
+    queue = Ingestor(Database(spark, str(tmp_path / "db")), lambda: 0, queue_bytes=100)
+    queue.submit("t", "a", [{"tenant": "x" * 200}])  # one request is taken whatever its size
+    with pytest.raises(Rejected, match="full"):
+        queue.submit("t", "b", [{"tenant": "x"}])
+
+
+def test_joins_whatever_the_columns_are_called(spark):
+    left = spark.createDataFrame([(1, 10, "l"), (1, 30, "m"), (None, 10, "n"), (2, None, "o")], "k int, _at int, own_0 string")
+    right = spark.createDataFrame([(1, 5, "a"), (1, 30, "b"), (1, None, "c"), (None, 1, "d")], "k int, _side int, _right string")
+    got = asof_join(left, right, ["k"], "_at", "_side", ["_right"]).collect()
+    assert sorted((r.own_0, r._right) for r in got) == [("l", "a"), ("m", "b"), ("n", None), ("o", None)]
+    met = band_join(left, right.withColumnRenamed("_right", "_bucket"), ["k"], F.col("_at"), F.col("_side"), 5).collect()
+    assert sorted((r.own_0, r._bucket) for r in met) == [("l", "a"), ("m", "b")]
+    with pytest.raises(Rejected):
+        asof_join(left, right.withColumnRenamed("_right", "own_0"), ["k"], "_at", "_side", ["own_0"])

@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(a if settings.pop("place", False) else f"--{a}", **settings)
 
     for name in ("init", "status", "checkpoint", "maintain", "compact", "remote-head"):
-        command(name, **({"remote": {"required": True}} if name == "remote-head" else {}))
+        command(name, **({"remote": {"required": name == "remote-head"}} if name in ("maintain", "remote-head") else {}))
     command("create", table={"place": True}, config={"help": "a JSON file of settings"})
     command("write", document={"place": True, "help": "a JSON file {table, request_id, rows}"})
     command("query", sql={"place": True})
@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     command("rollups", table={"place": True}, width={"type": int}, start={"type": int}, end={"type": int}, tenant={}, series={})
     for name in ("ship", "restore", "vacuum-remote"):
         command(name, remote={"required": True})
+    command("recover-remote-lock", remote={"required": True}, token={"required": True})
+    command("metrics")
     return top
 
 
@@ -54,7 +56,7 @@ def run(spark: SparkSession, argv: list[str]) -> Any:
             document = json.loads(Path(a.document).read_text())
             return db.write(document["table"], document["request_id"], document["rows"], now)
         case "query":
-            return rows(db.query(a.sql, now))
+            return db.fetch(a.sql, now)
         case "scan":
             return rows(db.scan(a.table, a.start, a.end, a.tenant, a.series))
         case "rollups":
@@ -62,13 +64,17 @@ def run(spark: SparkSession, argv: list[str]) -> Any:
         case "checkpoint":
             return {"tables": db.checkpoint()}
         case "maintain":
-            return db.maintain(now)
+            return db.maintain(now, a.remote)
         case "compact":
             return {"groups": db.compact()}
         case "ship":
             return {"sequence": db.ship(a.remote)}
         case "vacuum-remote":
             return {"deleted": db.vacuum_remote(a.remote)}
+        case "recover-remote-lock":
+            return {"recovered": db.recover_remote_lock(a.remote, a.token)}
+        case "metrics":
+            return db.metrics()
         case "remote-head":
             return Database(spark, a.remote).status()
 

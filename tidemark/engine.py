@@ -16,7 +16,8 @@ import copy
 import json
 import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from decimal import Decimal
 from typing import Any
@@ -41,6 +42,8 @@ for _name, _type in ROLLUP_STATE:
 CLOCK_SKEW_US = 300_000_000
 JOB_KINDS = ("checkpoint", "compact", "ship", "maintain", "vacuum_remote")
 MAINTENANCE = "maintenance"
+REMOTE_LOCK = "lock.json"
+GARBAGE_AGE_S = 3600.0
 #: No bucket's sum can pass the largest number while the sizes of all values of a table add up to less.
 SAFE_WEIGHT = 1e308
 MAX_ATTEMPTS, BACKOFF_US, MAX_ERROR = 5, 1_000_000, 2_048
@@ -73,6 +76,7 @@ class Database:
         self.spark, self.store = spark, Store(spark, root)
         self.segment_rows, self.compact_min_segments, self.max_batch_rows = segment_rows, compact_min_segments, max_batch_rows
         self.running: set[str] = set()
+        self.counters = dict.fromkeys(("batches", "rows", "duplicates", "refused", "queries", "checkpoints", "compactions", "shipped_files", "archived_files", "deleted_files"), 0)
         versions = [int(n.split(".")[0]) for n in self.store.names("manifest") if n.endswith(".json")]
         if versions:
             self.version = max(versions)
@@ -169,13 +173,18 @@ class Database:
                     accepted.setdefault(table, []).append(part)
                     ordinal += places
                 results.append(receipt)
+                self.counters["duplicates"] += receipt["duplicate"]
             except Rejected as refused:
                 results.append(refused)
+                self.counters["refused"] += 1
         if accepted:
             state["sequence"] = sequence
             for table, parts in accepted.items():
                 self._add_commit(self._table(table, state), table, parts)
             self._publish(state)
+            for parts in accepted.values():
+                self.counters["batches"] += len(parts)
+                self.counters["rows"] += sum(p.rows for p in parts)
         return results
 
     def _frame(self, rows: DataFrame | Iterable[Any]) -> DataFrame:
@@ -383,6 +392,7 @@ class Database:
         """Rows of one reading statement over tables, ``<table>__rollup``, aggregates and catalog relations; of a CALL; or a plan, of EXPLAIN."""
         if is_call(sql):
             return self.spark.createDataFrame([(self.call(sql, now_us),)], "sequence bigint")
+        self.counters["queries"] += 1
         found = check_query(sql)
         if found[0][1].upper() == "EXPLAIN":
             return self._explained(found[1:], now_us)
@@ -537,6 +547,7 @@ class Database:
         if done:
             state["checkpoint_sequence"] = state["sequence"]
             self._publish(state)
+            self.counters["checkpoints"] += 1
         return done
 
     def _segments(self, table: str, t: dict[str, Any], rows: DataFrame) -> list[dict[str, Any]]:
@@ -553,9 +564,12 @@ class Database:
             out.append({"file": file, "shard": r["shard"], "window": r["window"], "rows": r["rows"], "min_us": r["min_us"], "max_us": r["max_us"], "bytes": sizes[file]})
         return sorted(out, key=lambda s: s["file"])
 
-    def maintain(self, now_us: int) -> dict[str, int]:
-        """Floors, checkpoint, retention of rows and rollups, and one round of compaction.  Cutoffs never go back."""
-        report = {"checkpointed": self.checkpoint(), "expired_rows": 0, "expired_rollups": 0, "compacted": 0}
+    def maintain(self, now_us: int, remote_root: str | None = None) -> dict[str, int | None]:
+        """Floors, checkpoint, retention of rows and rollups, one round of compaction; with a remote store then ship, archive and vacuum; garbage last.
+
+        Cutoffs never go back.
+        """
+        report: dict[str, Any] = {"checkpointed": self.checkpoint(), "expired_rows": 0, "expired_rollups": 0, "compacted": 0, "shipped_sequence": None, "evicted_files": 0, "vacuumed_files": 0, "reclaimed_files": 0}
         state = self._draft()
         for name, t in state["tables"].items():
             t["floor_us"] = _floor(t, now_us)
@@ -578,6 +592,11 @@ class Database:
         if state != self.state:
             self._publish(state)
         report["compacted"] = self.compact()
+        if remote_root is not None:
+            report["shipped_sequence"] = self.ship(remote_root)
+            report["evicted_files"] = self.archive(now_us, remote_root)
+            report["vacuumed_files"] = self.vacuum_remote(remote_root)
+        report["reclaimed_files"] = self.collect_garbage()
         return report
 
     def _expire_rows(self, name: str, t: dict[str, Any], cutoff: int) -> int:
@@ -614,6 +633,7 @@ class Database:
                 done += len(groups)
         if done:
             self._publish(state)
+            self.counters["compactions"] += done
         return done
 
     def archive_candidates(self, table: str, now_us: int) -> list[str]:
@@ -629,11 +649,12 @@ class Database:
             old = set(self.archive_candidates(name, now_us))
             for s in t["segments"]:
                 if s["file"] in old and not s.get("archive"):
-                    self.store.copy_to(s["file"], remote)
+                    remote.copied_from(self.store, [s["file"]])
                     s["archive"] = remote.root
                     moved += 1
         if moved:
             self._publish(state)
+            self.counters["archived_files"] += moved
         return moved
 
     def _named_files(self) -> list[str]:
@@ -644,16 +665,39 @@ class Database:
             names += [s["file"] for s in t["segments"] if not s.get("archive")]
         return names
 
+    @contextmanager
+    def _remote_lock(self, remote: Store, kind: str) -> Iterator[None]:
+        """One operation on a remote store at a time, whoever does it; a lock that a dead owner has left is named in the refusal."""
+        token = uuid.uuid4().hex
+        if not remote.put_new(REMOTE_LOCK, json.dumps({"kind": kind, "owner": self.state["id"], "token": token})):
+            raise Rejected(f"the remote store is locked: {remote.read(REMOTE_LOCK)}")
+        try:
+            yield
+        finally:
+            if remote.exists(REMOTE_LOCK) and json.loads(remote.read(REMOTE_LOCK))["token"] == token:
+                remote.delete(REMOTE_LOCK)
+
+    def recover_remote_lock(self, remote_root: str, token: str) -> bool:
+        """Removes the lock with this token, of an owner that is known to be dead; an operation that wakes up later finds the head moved or its lock gone."""
+        remote = Store(self.spark, remote_root)
+        if not remote.exists(REMOTE_LOCK):
+            return False
+        if json.loads(remote.read(REMOTE_LOCK))["token"] != token:
+            raise Rejected("the remote lock has another token")
+        remote.delete(REMOTE_LOCK)
+        return True
+
     def ship(self, remote_root: str) -> int:
         """Copies what the manifest names, then sets the remote head if nobody else has; the sequence shipped."""
         remote = Store(self.spark, remote_root)
-        for name in self._named_files():
-            self.store.copy_to(name, remote)
-        state = self._draft()
-        state["remote_sequence"] = state["sequence"]
-        if not remote.put_new(f"manifest/{self.version + 1:012d}.json", json.dumps(state)):
-            raise Rejected("the remote head has moved")
-        self._publish(state)
+        with self._remote_lock(remote, "ship"):
+            copied = remote.copied_from(self.store, self._named_files())
+            state = self._draft()
+            state["remote_sequence"] = state["sequence"]
+            if not remote.put_new(f"manifest/{self.version + 1:012d}.json", json.dumps(state)):
+                raise Rejected("the remote head has moved")
+            self.counters["shipped_files"] += copied
+            self._publish(state)
         return state["sequence"]
 
     @classmethod
@@ -666,24 +710,44 @@ class Database:
         if not heads:
             raise Rejected("nothing to restore")
         source = cls(spark, remote_root, **settings)
-        for name in source._named_files():
-            remote.copy_to(name, local)
+        local.copied_from(remote, source._named_files())
         remote.copy_to(f"manifest/{max(heads)}", local)
         return cls(spark, root, **settings)
 
-    def collect_garbage(self) -> int:
-        """Deletes data files that the manifest doesn't name; only while nobody reads older manifests."""
+    def collect_garbage(self, older_than_s: float = GARBAGE_AGE_S) -> int:
+        """Deletes data files that the manifest doesn't name and that are older than that: commits in flight, and readers of a manifest just replaced, keep theirs."""
         named, gone = set(self._named_files()), 0
-        for folder in ("hot", "segments", "rollup", "staged"):
-            for name, _ in self.store.files(folder):
+        for folder in ("hot", "segments", "rollup"):
+            for name, _ in self.store.files(folder, older_than_s):
                 if name not in named:
                     self.store.delete(name)
                     gone += 1
+        self.counters["deleted_files"] += gone
+        return gone
+
+    def vacuum_remote(self, remote_root: str, older_than_s: float = GARBAGE_AGE_S) -> int:
+        """Deletes old remote data files that neither the remote head nor this database's archived segments name."""
+        remote = Store(self.spark, remote_root)
+        with self._remote_lock(remote, "vacuum"):
+            head = Database(self.spark, remote_root)
+            kept = {s["file"] for t in self.state["tables"].values() for s in t["segments"]}
+            gone = 0
+            named = set(head._named_files()) | kept | {s["file"] for t in head.state["tables"].values() for s in t["segments"]}
+            for folder in ("hot", "segments", "rollup"):
+                for name, _ in remote.files(folder, older_than_s):
+                    if name not in named:
+                        remote.delete(name)
+                        gone += 1
         return gone
 
-    def vacuum_remote(self, remote_root: str) -> int:
-        """Deletes remote data files that the remote head doesn't name."""
-        return Database(self.spark, remote_root).collect_garbage()
+    def performance(self) -> dict[str, int]:
+        """What this object has done since it was opened."""
+        return dict(self.counters)
+
+    def metrics(self) -> str:
+        """The status and the counters as lines that scrapers of metrics read."""
+        numbers = {k: v for k, v in self.status().items() if k not in ("database_id", "healthy")} | {"healthy": int(self.is_head())} | self.counters
+        return "".join(f"tidemark_{k} {v}\n" for k, v in sorted(numbers.items()))
 
     # -- jobs -----------------------------------------------------------------------------------------------------
 
@@ -754,7 +818,7 @@ class Database:
         {
             "checkpoint": self.checkpoint,
             "compact": self.compact,
-            "maintain": lambda: self.maintain(now_us),
+            "maintain": lambda: self.maintain(now_us, remote_root),
             "ship": lambda: self.ship(str(remote_root)),
             "vacuum_remote": lambda: self.vacuum_remote(str(remote_root)),
         }[kind]()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+#: Files that are copied at once.
+COPIES = 16
+
+
 class Store:
     """A folder and what is below it."""
 
@@ -71,8 +77,8 @@ class Store:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)))
 
-    def files(self, name: str) -> list[tuple[str, int]]:
-        """Data files below a folder, as names below the root, with their bytes."""
+    def files(self, name: str, older_than_s: float = 0.0) -> list[tuple[str, int]]:
+        """Data files below a folder, as names below the root, with their bytes; only those written so long ago."""
         out: list[tuple[str, int]] = []
         if not self.exists(name):
             return out
@@ -81,18 +87,30 @@ class Store:
         while found.hasNext():
             s = found.next()
             path = s.getPath().toString()
-            if path.endswith(".parquet"):
+            if path.endswith(".parquet") and time.time() - s.getModificationTime() / 1000 >= older_than_s:
                 out.append((path[len(base) + 1 :], s.getLen()))
         return sorted(out)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
-    def copy_to(self, name: str, other: Store) -> None:
-        """A file, unless the other store has it."""
+    def copied_from(self, other: Store, names: list[str]) -> int:
+        """Copies files that this store doesn't have, some at a time; how many names there were.  A copy of another length than its source is refused."""
+        with ThreadPoolExecutor(COPIES) as pool:
+            for name, whole in zip(names, pool.map(lambda n: other.copy_to(n, self), names), strict=True):
+                if not whole:
+                    raise OSError(f"{name} was not copied whole")
+        return len(names)
+
+    def length(self, name: str) -> int:
+        return self._fs.getFileStatus(self._path(name)).getLen()
+
+    def copy_to(self, name: str, other: Store) -> bool:
+        """A file, unless the other store has it; whether it is whole there."""
         if not other.exists(name):
             part = f"{name}.{uuid.uuid4().hex}.tmp"
             conf = self._fs.getConf()
             self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(name), other._fs, other._path(part), False, conf)
             if not other._fs.rename(other._path(part), other._path(name)):
                 other.delete(part)
+        return other.length(name) == self.length(name)
