@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import shard_for, tags_json, window_start
+from tidemark.plans.prune import shard_of
 from tidemark.model import MEASUREMENT, Rejected, TableConfig, check_name, check_request_id, row_problem
 
 
@@ -22,6 +23,7 @@ def test_shards(spark):
     got = spark.createDataFrame(keys, "t string, s string, n int").select("t", "s", "n", shard_for(F.col("t"), F.col("s"), F.col("n")).alias("shard")).collect()
     assert [r.shard for r in got] == [fnv(*k) for k in keys]
     assert [r.shard for r in got][:3] == [2, 726, 234]
+    assert [shard_of(*k) for k in keys] == [fnv(*k) for k in keys]
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -289,12 +289,12 @@ class Database:
         if t["widths"]:
             self._add_states(t, table, self._part_states(t, parts), min(p.min_us for p in parts), max(p.max_us for p in parts))
 
-    def _add_states(self, t: dict[str, Any], table: str, states: DataFrame, min_us: int, max_us: int, *, replace: bool = False) -> None:
-        """A delta of rows from min_us to max_us.  Partitions follow size, not width, so one width can fill many tasks."""
+    def _add_states(self, t: dict[str, Any], table: str, states: DataFrame, min_us: int, max_us: int, *, widths: list[int] | None = None, replace: bool = False) -> None:
+        """A delta, of one state for each key, of rows from min_us to max_us.  Partitions follow size, not width, so one width can fill many tasks."""
         name = f"rollup/{table}/{uuid.uuid4().hex}"
         dealt = states.select(*STATE.names).hint("rebalance", "width_us").sortWithinPartitions(*ROLLUP_KEY)
         dealt.write.partitionBy("width_us").option("compression", "zstd").parquet(self.store.at(name))
-        delta = {"file": name, "min_us": min_us, "max_us": max_us}
+        delta = {"file": name, "min_us": min_us, "max_us": max_us, "widths": sorted(t["widths"] if widths is None else widths)}
         t["deltas"] = [delta] if replace else [*t["deltas"], delta]
 
     def _merge_states(self, t: dict[str, Any], table: str, states: DataFrame) -> None:
@@ -302,29 +302,31 @@ class Database:
         if t["deltas"]:
             self._add_states(t, table, states, min(d["min_us"] for d in t["deltas"]), max(d["max_us"] for d in t["deltas"]), replace=True)
 
-    def _states(self, t: dict[str, Any], start_us: int | None = None, end_us: int | None = None) -> DataFrame:
-        """States, which may repeat keys: all, or those of buckets from start_us to end_us."""
-        deltas = t["deltas"]
-        if start_us is not None or end_us is not None:
-            reach = max(t["widths"], default=0)
-            low, high = rollups.LOW if start_us is None else start_us, rollups.HIGH if end_us is None else end_us
-            deltas = [d for d in deltas if d["min_us"] - reach < high and d["max_us"] >= low]
+    def _deltas(self, t: dict[str, Any], start_us: int | None = None, end_us: int | None = None, width_us: int | None = None) -> list[dict[str, Any]]:
+        """Deltas that can hold states of a width, of buckets from start_us to end_us."""
+        reach = max(t["widths"], default=0)
+        low, high = rollups.LOW if start_us is None else start_us, rollups.HIGH if end_us is None else end_us
+        return [d for d in t["deltas"] if d["min_us"] - reach < high and d["max_us"] >= low and (width_us is None or width_us in d["widths"])]
+
+    def _states(self, t: dict[str, Any], start_us: int | None = None, end_us: int | None = None, width_us: int | None = None) -> DataFrame:
+        """States, which may repeat keys where several deltas hold them: all, or those of a width, of buckets from start_us to end_us."""
+        deltas = self._deltas(t, start_us, end_us, width_us)
         if not deltas:
             return self.spark.createDataFrame([], STATE)
         parts = [self.spark.read.schema(STATE).parquet(self.store.at(d["file"])).select(*STATE.names) for d in deltas]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
-        if start_us is not None:
-            out = out.where(F.col("bucket_us") >= start_us)
-        return out if end_us is None else out.where(F.col("bucket_us") <= end_us)
+        for wanted_rows in ([] if start_us is None else [F.col("bucket_us") >= start_us]) + ([] if end_us is None else [F.col("bucket_us") <= end_us]) + ([] if width_us is None else [F.col("width_us") == width_us]):
+            out = out.where(wanted_rows)
+        return out
 
     # -- reads ----------------------------------------------------------------------------------------------------
 
     def rows(self, table: str, bounds: Bounds = Bounds()) -> DataFrame:
         """Raw rows that are kept, from the files that bounds need."""
         t = self._table(table)
-        shard = shard_of(self.spark, bounds.tenant, bounds.series, t["shards"]) if bounds.tenant is not None and bounds.series is not None else None
+        shard = shard_of(bounds.tenant, bounds.series, t["shards"]) if bounds.tenant is not None and bounds.series is not None else None
         files = [self._place(s) for s in wanted([*t["hot"], *t["segments"]], bounds, shard)]
         out = seg.read_files(self.spark, files)
         return out if t["raw_cutoff_us"] is None else out.where(F.col("timestamp_us") >= t["raw_cutoff_us"])
@@ -352,10 +354,14 @@ class Database:
         """The rollup relation, by width, tenant, series and start <= bucket < end."""
         if start_us is not None and end_us is not None and start_us > end_us:
             raise Rejected("the range ends before it starts")
-        out = self._states(self._table(table), start_us, None if end_us is None else end_us - 1)
-        for name, value in (("width_us", width_us), ("tenant", tenant), ("series", series)):
+        t, last = self._table(table), None if end_us is None else end_us - 1
+        out = self._states(t, start_us, last, width_us)
+        for name, value in (("tenant", tenant), ("series", series)):
             out = out if value is None else out.where(F.col(name) == value)
-        return rollups.view(rollups.merge(out))
+        deltas = self._deltas(t, start_us, last, width_us)
+        alone = sum(len(d["widths"]) for d in deltas) == len({w for d in deltas for w in d["widths"]})
+        # keys repeat only where two deltas hold a width: else the states stand as they are, without a shuffle
+        return rollups.view(out if alone else rollups.merge(out))
 
     def catalog(self, name: str, now_us: int = 0) -> DataFrame:
         return self.spark.createDataFrame(getattr(self, f"_{name}")(now_us), CATALOG[name])
@@ -507,7 +513,7 @@ class Database:
                 raise Rejected("a rollup's sum is not finite")
             kept = [*t["hot"], *t["segments"]]
             if kept:
-                self._add_states(t, source, states, min(s["min_us"] for s in kept), max(s["max_us"] for s in kept))
+                self._add_states(t, source, states, min(s["min_us"] for s in kept), max(s["max_us"] for s in kept), widths=[width_us])
             t["widths"].append(width_us)
         self._publish(state)
         return state["sequence"]
