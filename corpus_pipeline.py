@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.  All but the last return the columns of documents; ``n_chars``
 follows the text.  Between stages the rows are written as Parquet and read again, which cuts lineage and
 leaves nothing to compute again when executors are lost.
+
+Defined results: a null text is an empty one to every stage and stays null where a stage keeps its row; a null id never trains, and comes after all
+others where ids decide; of equal texts, and of repeated rows, one row stays; texts of any length are handled whole; an empty table
+gives an empty one; other columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations

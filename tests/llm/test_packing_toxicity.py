@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import neardup, packing, secrets, substrings, toxicity
+from tidemark.llm.durable import stored
 from tidemark.llm.durable import cut
 from tidemark.llm.tokens import WordIds
 
@@ -226,3 +227,25 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_pipeline_on_nulls_empty_and_long_texts_and_repeats(spark, docs, tricky):
+    """Each stage on awkward rows: its columns stay, its decisions hold, and what is left is packed whole."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows, kinds = docs, docs.dtypes
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = rows.select("doc_id", "text").collect()
+        rows = stored(stage(spark, rows, sf_dir))
+        after = rows.select("doc_id", "text").collect()
+        assert rows.dtypes == kinds and len(after) <= len(before)
+        if name == "simhash_near_dedup":
+            texts = {r.text or "" for r in before}
+            assert len({r.text or "" for r in after}) == len(after) and {r.text or "" for r in after} <= texts
+        if name in ("substring_dedup", "secret_scans"):
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in after) == sorted((r.doc_id is None, r.doc_id or 0) for r in before)
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()
+    library = Tokenizer.from_file(WORDS)
+    assert sum(r.length for r in packed) == sum(1 + len(library.encode(r.text or "", add_special_tokens=False).ids) for r in after)
+    fits([(r.sequence_id, r.offset, r.length) for r in packed], 4096)
