@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.engine import MAINTENANCE, Database
 from tidemark.model import Rejected, TableConfig
 from tidemark.operators import rollup as ru
+from tidemark.sources import segments
 
 
 def row(ts, value=1.0, tenant="tenant", series="cpu", tags=None):
@@ -313,3 +314,20 @@ def test_status_of_a_writer_that_was_overtaken(spark, db):
     assert db.status()["healthy"] and other.status()["healthy"]
     db.create_table("metrics")
     assert db.status()["healthy"] and not other.status()["healthy"] and db.status()["wal_bytes"] > 0
+
+
+def test_verified_segments(spark, db, tmp_path):
+    db.create_table("metrics", {"shards": 1, "window_us": 10, "rollup_widths_us": [], "policy": {"archive_after_us": 100}})
+    db.write("metrics", "a", [row(t) for t in (0, 15, 25, 990)], 0)
+    db.checkpoint()
+    db.archive(1000, str(tmp_path / "old"))
+    assert db.verify("metrics") == []
+    t = db.state["tables"]["metrics"]
+    t["segments"][0]["rows"] += 1
+    assert [p.split(": ")[1] for p in db.verify("metrics")] == ["other rows or times than the manifest says"]
+    t["segments"][0]["rows"] -= 1
+    db.store.delete(t["segments"][-1]["file"])
+    assert [p.split(": ")[1] for p in db.verify("metrics")] == ["missing"]
+    odd = next(s for s in t["segments"] if s.get("archive"))
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "odd"))
+    assert "columns" in segments.faults(spark, {str(tmp_path / "odd"): odd})[0]

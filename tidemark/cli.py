@@ -60,7 +60,7 @@ def run(spark: SparkSession, argv: list[str]) -> Any:
         case "scan":
             return rows(db.scan(a.table, a.start, a.end, a.tenant, a.series))
         case "rollups":
-            return rows(db.rollups(a.table, width_us=a.width, tenant=a.tenant, series=a.series, start_us=a.start, end_us=a.end))
+            return rows(db.rollups(a.table, width_us=a.width, tenant=a.tenant, series=a.series, start_us=a.start, end_us=a.end, ordered=True))
         case "checkpoint":
             return {"tables": db.checkpoint()}
         case "maintain":

@@ -350,8 +350,8 @@ class Database:
         out = out if end_us is None else out.where(F.col("timestamp_us") < end_us)
         return out.orderBy(*seg.SORT) if ordered else out
 
-    def rollups(self, table: str, *, width_us: int | None = None, tenant: str | None = None, series: str | None = None, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
-        """The rollup relation, by width, tenant, series and start <= bucket < end."""
+    def rollups(self, table: str, *, width_us: int | None = None, tenant: str | None = None, series: str | None = None, start_us: int | None = None, end_us: int | None = None, ordered: bool = False) -> DataFrame:
+        """The rollup relation, by width, tenant, series and start <= bucket < end; in the order of its key if asked."""
         if start_us is not None and end_us is not None and start_us > end_us:
             raise Rejected("the range ends before it starts")
         t, last = self._table(table), None if end_us is None else end_us - 1
@@ -361,7 +361,8 @@ class Database:
         deltas = self._deltas(t, start_us, last, width_us)
         alone = sum(len(d["widths"]) for d in deltas) == len({w for d in deltas for w in d["widths"]})
         # keys repeat only where two deltas hold a width: else the states stand as they are, without a shuffle
-        return rollups.view(out if alone else rollups.merge(out))
+        out = rollups.view(out if alone else rollups.merge(out))
+        return out.orderBy(*ROLLUP_KEY) if ordered else out
 
     def catalog(self, name: str, now_us: int = 0) -> DataFrame:
         return self.spark.createDataFrame(getattr(self, f"_{name}")(now_us), CATALOG[name])
@@ -617,6 +618,22 @@ class Database:
             t["segments"] += self._segments(name, t, rows.where(F.col("timestamp_us") >= cutoff))
         return before - sum(s["rows"] for s in t["segments"])
 
+    def verify(self, table: str) -> list[str]:
+        """What is wrong with a table's segments, here or archived: missing files, other columns or types, nulls, other rows or times than the manifest says."""
+        known = {self._place(s): s for s in self._table(table)["segments"]}
+        problems, there = [], []
+        for path, s in known.items():
+            store = Store(self.spark, s["archive"]) if s.get("archive") else self.store
+            if not store.exists(s["file"]):
+                problems.append(f"{s['file']}: missing")
+            elif store.length(s["file"]) != s["bytes"]:
+                problems.append(f"{s['file']}: {store.length(s['file'])} bytes instead of {s['bytes']}")
+            else:
+                there.append(path)
+        if there:
+            problems += seg.faults(self.spark, {p: known[p] for p in there})
+        return sorted(problems)
+
     def compaction_groups(self, table: str) -> list[list[dict[str, Any]]]:
         """Small segments of a shard and window that one rewrite would make fewer."""
         groups: dict[tuple, list[dict[str, Any]]] = {}

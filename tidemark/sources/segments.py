@@ -35,3 +35,22 @@ def describe(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     found = rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("min_us"), F.max("timestamp_us").alias("max_us"))
     part = lambda key: F.regexp_extract("file", f"/{key}=(-?[0-9]+)/", 1).cast("bigint")
     return found.select("file", part("shard").alias("shard"), part("window").alias("window"), "rows", "min_us", "max_us")
+
+
+def faults(spark: SparkSession, expected: dict[str, dict]) -> list[str]:
+    """Of files (path -> file, rows, min_us, max_us) those whose schema isn't the one, that hold nulls, or that hold other rows or times."""
+    found = spark.read.option("mergeSchema", "true").parquet(*expected)
+    own = [(f.name, f.dataType) for f in found.schema.fields if f.name not in ("shard", "window")]
+    if own != [(f.name, f.dataType) for f in STORED.fields]:
+        return [f"the files' columns are {', '.join(f'{n} {t.simpleString()}' for n, t in own)}"]
+    nulls = F.count(F.when(F.greatest(*[F.col(c).isNull() for c in STORED.names]), 1))
+    sums = found.groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("rows"), F.min("timestamp_us").alias("min_us"), F.max("timestamp_us").alias("max_us"), nulls.alias("nulls"))
+    seen = {r["path"].rsplit("segments/", 1)[-1]: r for r in sums.collect()}
+    out = []
+    for s in expected.values():
+        r = seen.get(s["file"].split("segments/", 1)[-1])
+        if r is None or (r["rows"], r["min_us"], r["max_us"]) != (s["rows"], s["min_us"], s["max_us"]):
+            out.append(f"{s['file']}: other rows or times than the manifest says")
+        elif r["nulls"]:
+            out.append(f"{s['file']}: nulls")
+    return out
