@@ -220,6 +220,46 @@ def test_repeats_of_the_shared_documents(small_docs):
     assert Counter(map(tuple, substrings.repeated_passages(small_docs).collect())) == plain_words(rows)
 
 
+@pytest.mark.parametrize("module", [suffixes, substrings])
+def test_the_kernel_decides_repeated_runs(spark, monkeypatch, module):
+    """A kernel that finds nothing leaves only what hot anchors and texts' own repeats settle; here there are none."""
+    rnd = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10**6, n))
+    passages = [word(70) for _ in range(5)]
+    rows = [(i, f"{word(30)} {passages[i % 5]} {word(30)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(windows, "HOT_TEXTS", 10**9)
+    run, plain = (suffixes.repeated_bytes, plain_bytes) if module is suffixes else (substrings.repeated_passages, plain_words)
+    assert Counter(map(tuple, run(docs).collect())) == plain(rows)
+    monkeypatch.setattr(module, "kernel_of", lambda window: lambda contents, group, m, count, at: np.zeros(int(count.sum()), bool))
+    gone = {r.doc_id: r.n_removed for r in run(docs).collect()}
+    assert sum(n == 0 for n in gone.values()) >= 10
+
+
+def test_texts_of_several_blocks(spark, monkeypatch):
+    """Repeats across and beyond the blocks in which a long text is handled."""
+    monkeypatch.setattr(windows, "BLOCK", 300)
+    rnd = np.random.default_rng(13)
+    word = lambda n: " ".join(f"w{x}" for x in rnd.integers(0, 10**5, n))
+    passage = word(400)
+    rows = [(1, f"{word(500)} {passage} {word(700)}"), (2, f"{word(250)} {passage} {word(30)}"), (3, word(1500)), (4, f"{passage} {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, suffixes.repeated_bytes(docs).collect())) == plain_bytes(rows)
+    assert Counter(map(tuple, substrings.repeated_passages(docs).collect())) == plain_words(rows)
+
+
+def test_rows_of_runs_do_not_depend_on_the_order_of_texts(spark):
+    rnd = np.random.default_rng(14)
+    passage = " ".join(f"w{x}" for x in rnd.integers(0, 10**5, 60))
+    rows = [(i, i, 1, f"head{i} {passage} tail{i}") for i in range(50)]
+    shape = substrings.shape_of()
+    found = []
+    for order in (rows, rows[::-1]):
+        texts = spark.createDataFrame(order, "m long, t long, n long, text string").coalesce(1)
+        found.append(sorted(map(tuple, windows.anchors(texts, shape, np.empty(0, np.uint64)).collect())))
+    assert found[0] == found[1]
+
+
 def test_no_rows(none):
     assert suffixes.repeated_bytes(none).count() == 0 and substrings.repeated_passages(none).count() == 0 and substrings.without_repeated(none).count() == 0
 

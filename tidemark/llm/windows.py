@@ -4,17 +4,17 @@ Every window picks an anchor: the k-gram in it with the least hash, the leftmost
 windows pick the same anchor at the same offset, neighbouring windows mostly share theirs, so a text is
 cut into runs of windows by anchor, and only one row for each run is shuffled, by anchor.
 
-1. ``anchors``: rows of the runs of each distinct text.  A batch keeps one row for equal runs.
-2. ``resolve``: rows meet by anchor.  Runs with equal content are settled there, by the hash of their content.  Of the
-   others, those stay open of which a neighbouring part, left or right of the anchor, also occurs elsewhere.
-3. The content of open runs meets by anchor again, and the operator's kernel compares its windows exactly.
+1. ``anchors``: rows of the runs of each distinct text.  A batch keeps two rows for equal runs.
+2. ``resolve``: rows meet by anchor.  What stays open is a run of which a neighbouring part, left or right of the anchor, also occurs
+   elsewhere, and of runs whose whole content seems equal two; the others of these follow them.
+3. The content of open runs meets by anchor again, and the operator's kernel compares its windows exactly: it decides.
 
-Equal texts are one text from the start.  Anchors that many texts hold (found on a bounded
-sample, ``SAMPLE_TEXTS``, which only steers work and never results) aren't shuffled as
-one key: their runs are split into windows, and these meet by their own hashes, once for each batch.  So
-one key gets a row for each batch, or a share of the texts below ``HOT_TEXTS / SAMPLE_TEXTS``.
+Equal texts are one text from the start.  Anchors that many texts hold aren't shuffled as one key: their runs are split into windows, and these
+meet by their own hashes, once for each batch, and are settled by them.  They are found on a sample, which only steers work and never results: of ``SAMPLE_TEXTS``
+rows, and of one in ``ROWS_PER_SAMPLED`` where that is more, so that the rows of an anchor that is not split have a bound at any size of the table.
 
-Runs are told apart by 64 bits of anchor and 64 of content, texts by 128 bits.
+Texts are sorted before their runs are made, so that a task that runs again after a lost executor gives the same rows.
+Runs are told apart by 64 bits of anchor and 64 of content before the kernel sees them, texts by 128 bits.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import batch_of, mapped, utf8_slices
 
 SAMPLE_TEXTS = 20_000
+ROWS_PER_SAMPLED = 10_000
 HOT_TEXTS = 10
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 BLOCK = 1 << 20  # windows of a text handled at once
@@ -202,7 +203,7 @@ def anchors(texts: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
         if size:
             yield flushed()
 
-    return mapped(texts, run, ROWS)
+    return mapped(texts.sortWithinPartitions("m", "t"), run, ROWS)
 
 
 def one_for_equal_neighbours(key: np.ndarray, rh: np.ndarray, a: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +217,7 @@ def one_for_equal_neighbours(key: np.ndarray, rh: np.ndarray, a: np.ndarray, cou
 
 
 def merged(rows: np.ndarray, m: np.ndarray, t: np.ndarray, shape: Shape) -> pa.RecordBatch:
-    """One row for equal runs of a batch; the others are done, and go their way under keys of their own."""
+    """Two rows for equal runs of a batch, one for equal windows; the others are done, and go their way under keys of their own."""
     key, rh, x, al = rows
     order = np.lexsort((m, rh, key))
     same = np.zeros(len(order), bool)
@@ -225,12 +226,15 @@ def merged(rows: np.ndarray, m: np.ndarray, t: np.ndarray, shape: Shape) -> pa.R
     sizes = np.diff(np.append(heads, len(order)))
     kind = (al >> 16) & 7
     if shape.again:
+        goes = same
         reps = order[heads[sizes > 1]]
-        done = order[same]
-        kind[reps] = np.where(kind[reps] == WINDOW, WINDOW_AGAIN, np.where(kind[reps] == COLD, COLD_AGAIN, kind[reps]))
+        kind[reps] = np.where(kind[reps] == WINDOW, WINDOW_AGAIN, kind[reps])
     else:
-        least = np.repeat(m[order][heads], sizes)
-        done = order[m[order] > least]
+        goes = m[order] > np.repeat(m[order][heads], sizes)
+    # the first of those that would be done stays live: the kernel compares it
+    nth = np.cumsum(goes)
+    nth -= np.repeat(nth[heads] - goes[heads], sizes)
+    done = order[goes & ((nth > 1) | (kind[order] == WINDOW) | (kind[order] == WINDOW_AGAIN))]
     kind[done] = DONE
     key = key.copy()
     key[done] = signed(mix((m[done] ^ al[done]).astype(np.int64).view(_U)))
@@ -292,17 +296,25 @@ def resolved(key: np.ndarray, rh: np.ndarray, x: np.ndarray, m: np.ndarray, al:
     which = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(order)))
+    cold = np.isin(kind[order], (COLD, COLD_AGAIN))
     if shape.again:
-        repeated = (sizes > 1) | (np.maximum.reduceat(np.isin(kind[order], (COLD_AGAIN, WINDOW_AGAIN)), heads) if len(heads) else sizes > 1)
-        goes[order[repeated[which]]] = True
+        again = np.maximum.reduceat(np.isin(kind[order], (COLD_AGAIN, WINDOW_AGAIN)), heads) if len(heads) else sizes > 1
+        gone = ((sizes > 1) | again)[which]
         reps = heads
+        # of equal runs the first two are compared; a run that its own text repeats goes at once
+        place = np.arange(len(order)) - heads[which]
+        pair = cold & ~again[which] & (sizes > 1)[which] & (place < 2)
     else:
-        least = mm[heads]
-        later = mm > least[which]
-        goes[order[later]] = True
-        reps = np.flatnonzero(~later)
-    # open: cold runs, one of each class, that share the part left or right of the anchor with another class of the anchor
-    reps = reps[np.isin(kind[order[reps]], (COLD, COLD_AGAIN))]
+        gone = mm > mm[heads][which]
+        reps = np.flatnonzero(~gone)
+        nth = np.cumsum(gone)
+        nth -= (nth[heads] - gone[heads])[which]
+        later = cold & gone & (nth == 1)
+        pair = later.copy()
+        pair[heads[np.unique(which[later])]] = True
+    goes[order[gone & ~pair]] = True
+    # open too: cold runs, one of each class, that share the part left or right of the anchor with another class of the anchor
+    reps = reps[cold[reps]]
     side = x[order[reps]] >> 32
     is_open = np.zeros(len(reps), bool)
     for bits in (side >> 16 & 0xFFFF, side & 0xFFFF):
@@ -314,10 +326,11 @@ def resolved(key: np.ndarray, rh: np.ndarray, x: np.ndarray, m: np.ndarray, al:
             last = np.append(first[1:], len(by)) - 1
             several = rr[first] != rr[last]
             is_open[by] |= several[group] & (bb != 0)
-    opened = order[reps[is_open]]
-    gone = np.flatnonzero(goes)
-    at = np.concatenate([gone, opened])
-    name = np.concatenate([np.zeros(len(gone), np.int64), key[opened]])
+    pair[reps[is_open]] = True
+    opened = order[pair]
+    settled = np.flatnonzero(goes)
+    at = np.concatenate([settled, opened])
+    name = np.concatenate([np.zeros(len(settled), np.int64), key[opened]])
     return batch_of(m=m[at], t=t[at], key=name, al=al[at] >> 19)
 
 
@@ -388,9 +401,9 @@ def compare(content: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def hot_anchors(docs: DataFrame, shape: Shape) -> np.ndarray:
-    """Anchors that at least HOT_TEXTS of a sample of about SAMPLE_TEXTS rows hold, sorted; their number has a bound of its own."""
+    """Anchors that at least HOT_TEXTS rows of the sample hold, sorted; their number is at most the sample's runs over HOT_TEXTS."""
     total = docs.count()
-    sample = docs.select("text").sample(min(1.0, SAMPLE_TEXTS / max(total, 1)), seed=1)
+    sample = docs.select("text").sample(min(1.0, max(SAMPLE_TEXTS, total // ROWS_PER_SAMPLED) / max(total, 1)), seed=1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
