@@ -262,6 +262,7 @@ def test_products_of_transfer_matrices_are_associative(sizes, rnd):
 def test_pieces_of_giant_texts(frame, tricky, model, monkeypatch, none):
     monkeypatch.setattr(pieces, "GIANT", 1500)
     monkeypatch.setattr(pieces, "CHUNK", 600)
+    monkeypatch.setattr(pieces, "BLOCK", 3)
     got = Counter((r.doc_id, r.n_chars, r.n_ids, r.ids_crc32, r.decoded_sha256) for r in pieces.encoded(frame(tricky), PIECES).collect())
     expected = Counter()
     for i, t in text_rows(tricky):

@@ -7,14 +7,15 @@ compatible, that is, on which merging the two pieces' characters by the model's
 
 A text longer than ``GIANT`` characters is cut into chunks anywhere.  The state at a cut is the piece that reaches
 it or lies over it, and how much of it lies before.  Each chunk yields a transfer matrix from the states at
-its first cut to those at its last, a task of its own; matrices are combined associatively, from both ends;
-the states of the one path that is left let each chunk find its own ids, again in a task of its own.
+its first cut to those at its last, a task of its own.  Matrices are combined associatively, ``BLOCK`` neighbours to a row, in rounds until a text has one; on
+the way back each block, told its first and last state, tells its members theirs; then each chunk finds its own ids, again in a task of its
+own.  The digests of a text are made of its chunks one after the other; no row and no task ever holds all of a giant text but the one that cuts it.
 
 No piece holds a space after another character, so words are independent, and a worker keeps the
 ids of words that it has met.  Characters without a piece become bytes.
 
 Defined results: a null text is an empty one and has no ids; the sign U+2581 is read as a space, as the model does; repeated
-rows repeat their result; ids may be null; an empty table gives no rows; other columns are ignored.
+rows repeat their result; ids may be null; an empty table gives no rows; other columns are ignored.  Giant texts are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tidemark.llm.frames import batch_of, groups_of, id_text, mapped, utf8_slice
 
 GIANT = 32_768
 CHUNK = 16_384
+#: Matrices that are combined in one row.
+BLOCK = 64
 SPACE = "▁"
 KEPT_WORDS = 1_200_000
 KEPT_LENGTH = 64
@@ -296,17 +299,19 @@ def prefixes(items: list, join: Callable) -> list:
     return out
 
 
-def states_on_path(states: list[list[State]], matrices: list[np.ndarray]) -> list[State]:
-    """The state at each cut, first and last included, of the best path."""
-    before = prefixes(matrices, compose)
-    after = [m.T for m in prefixes([m.T for m in reversed(matrices)], compose)][::-1]
-    chosen = [states[0][0]]
+def states_on_path(states: list[list[State]], matrices: list[np.ndarray], enter: State | None = None, leave: State | None = None) -> list[State]:
+    """The state at each cut, first and last included, of the best path between two states (of the first and last, if not given)."""
+    first = states[0].index(enter) if enter is not None else 0
+    last = states[-1].index(leave) if leave is not None else 0
+    before = prefixes([matrices[0][first : first + 1], *matrices[1:]], compose)
+    after = [m.T for m in prefixes([m.T for m in reversed([*matrices[:-1], matrices[-1][:, last : last + 1]])], compose)][::-1]
+    chosen = [states[0][first]]
     for k in range(1, len(states) - 1):
         total = before[k - 1][0] + after[k][:, 0]
         if not np.isfinite(total).any():
             raise ValueError("no path through the lattice")
         chosen.append(states[k][int(np.argmax(total))])
-    return [*chosen, states[-1][0]]
+    return [*chosen, states[-1][last]]
 
 
 @lru_cache(maxsize=2)
@@ -362,69 +367,114 @@ def small_texts(docs: DataFrame, path: str) -> DataFrame:
     return mapped(docs, run, RESULT)
 
 
+def _pairs(flat: list[int]) -> list[State]:
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _flat(states: list[State]) -> list[int]:
+    return [x for s in states for x in s]
+
+
+def _members(parts: list[dict]) -> tuple[list[list[State]], list[np.ndarray]]:
+    """States at all cuts of some neighbours, and their matrices."""
+    states = [_pairs(p["ins"]) for p in parts] + [_pairs(parts[-1]["outs"])]
+    return states, [np.where(np.array(p["open"], bool).reshape(len(a), len(b)), 0.0, -np.inf) for p, a, b in zip(parts, states[:-1], states[1:], strict=True)]
+
+
+def _by_rows(f: Callable[[dict], list[dict]], schema: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([x for i in range(batch.num_rows) for x in f(batch.slice(i, 1).to_pylist()[0])], schema)
+
+    return run
+
+
 def giant_texts(docs: DataFrame, path: str) -> DataFrame:
-    """RESULT for texts cut into chunks; equal rows are encoded once."""
-    keyed = docs.groupBy(F.xxhash64("doc_id", "text").alias("uid")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
+    """RESULT for texts cut into chunks; equal texts are encoded once."""
+    text = ["h1", "h2"]
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), "text")
+    keyed = hashed.groupBy(*text).agg(F.first("text").alias("text"))
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = pieces_of(path).longest
         for batch in batches:
-            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = chunks_of(normal(text), CHUNK, longest)
+            for i in range(batch.num_rows):
+                parts = chunks_of(normal(batch.column("text")[i].as_py()), CHUNK, longest)
                 for a, b in groups_of(np.array([len(p[1]) for p in parts]), 4 * GROUP_BYTES):
                     columns = list(zip(*parts[a:b], strict=True))
                     names = ("k", "around", "lo", "hi", "first", "final")
                     types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-                    yield batch_of(uid=pa.array([uid] * (b - a), pa.int64()), **{n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
-
-    def transfer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    whose = {n: pa.array([batch.column(n)[i].as_py()] * (b - a), pa.int64()) for n in text}
+                    yield batch_of(**whose, **{n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
+
+    def transfer(r: dict) -> list[dict]:
+        ins, outs, weights = Chunk(pieces_of(path), r["around"], r["lo"], r["hi"], r["first"], r["final"]).matrix()
+        return [{"h1": r["h1"], "h2": r["h2"], "k": r["k"], "ins": _flat(ins), "outs": _flat(outs), "open": np.isfinite(weights).ravel().tolist()}]
+
+    def combine(r: dict) -> list[dict]:
+        states, matrices = _members(r["parts"])
+        whole = matrices[0]
+        for m in matrices[1:]:
+            whole = compose(whole, m)
+        return [{"h1": r["h1"], "h2": r["h2"], "k": r["k"], "ins": _flat(states[0]), "outs": _flat(states[-1]), "open": np.isfinite(whole).ravel().tolist()}]
+
+    def choose(r: dict) -> list[dict]:
+        states, matrices = _members(r["parts"])
+        found = states_on_path(states, matrices, tuple(r["enter"]), tuple(r["leave"]))
+        return [{"h1": r["h1"], "h2": r["h2"], "k": p["k"], "enter": list(a), "leave": list(b)} for p, a, b in zip(r["parts"], found[:-1], found[1:], strict=True)]
+
+    def backtrace(r: dict) -> list[dict]:
+        ids = Chunk(pieces_of(path), r["around"], r["lo"], r["hi"], r["first"], r["final"]).path(tuple(r["enter"]), tuple(r["leave"]))
+        return [{"h1": r["h1"], "h2": r["h2"], "k": r["k"], "ids": ids}]
+
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text of rows (h1, h2, k, ids) in order."""
         pieces = pieces_of(path)
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                ins, outs, weights = Chunk(pieces, r["around"], r["lo"], r["hi"], r["first"], r["final"]).matrix()
-                rows.append({"uid": r["uid"], "k": r["k"], "ins": [x for s in ins for x in s], "outs": [x for s in outs for x in s], "open": np.isfinite(weights).ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(rows, TRANSFER_TYPE)
+        name, n, crc, chunks, digest, begun = None, 0, 0, 0, hashlib.sha256(), False
 
-    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = lambda flat: list(zip(flat[::2], flat[1::2], strict=True))
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                parts = r["parts"]
-                states = [pairs(p["ins"]) for p in parts] + [pairs(parts[-1]["outs"])]
-                matrices = [np.where(np.array(p["open"]).reshape(len(a), len(b)), 0.0, -np.inf) for p, a, b in zip(parts, states[:-1], states[1:], strict=True)]
-                found = states_on_path(states, matrices)
-                rows += [{"uid": r["uid"], "k": k, "enter": list(a), "leave": list(b)} for k, (a, b) in enumerate(zip(found[:-1], found[1:], strict=True))]
-            yield pa.RecordBatch.from_pylist(rows, STATE_TYPE)
-
-    def backtrace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
-        for batch in batches:
-            ids = [
-                Chunk(pieces, r["around"], r["lo"], r["hi"], r["first"], r["final"]).path(tuple(r["enter"]), tuple(r["leave"]))
-                for r in batch.select(["around", "lo", "hi", "first", "final", "enter", "leave"]).to_pylist()
-            ]
-            yield batch_of(uid=batch.column("uid"), k=batch.column("k"), ids=pa.array(ids, pa.binary()))
+        def row() -> pa.RecordBatch:
+            one = [{"h1": name[0], "h2": name[1], "n_ids": n, "ids_crc32": crc, "n_chunks": chunks, "decoded_sha256": digest.hexdigest()}]
+            return pa.RecordBatch.from_pylist(one, DIGEST_TYPE)
 
-    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
         for batch in batches:
-            rows = [result_of(b"".join(p["ids"] for p in r["parts"]), r["n_chars"], len(r["parts"]), pieces) for r in batch.to_pylist()]
-            yield result_batch(batch.column("doc_id"), rows)
-
-    chunks = cut(mapped(keyed.select("uid", "text"), split, "uid long, k int, around string, lo int, hi int, first boolean, final boolean").repartition("uid", "k"))
-    matrices = mapped(chunks, transfer, "uid long, k int, ins array<int>, outs array<int>, open array<boolean>")
-    gathered = matrices.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ins", "outs", "open"))).alias("parts"))
-    states = mapped(gathered, choose, "uid long, k int, enter array<int>, leave array<int>")
-    found = mapped(chunks.join(states, ["uid", "k"]), backtrace, "uid long, k int, ids binary")
-    whole = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    heads = keyed.select("uid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
-    return mapped(heads.join(whole, "uid").select("doc_id", "n_chars", "parts"), finish, RESULT)
-
-
-TRANSFER_TYPE = pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32())), ("open", pa.list_(pa.bool_()))])
-STATE_TYPE = pa.schema([("uid", pa.int64()), ("k", pa.int32()), ("enter", pa.list_(pa.int32())), ("leave", pa.list_(pa.int32()))])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in text), strict=True))
+            for i, key in enumerate(keys):
+                if key != name:
+                    if name is not None:
+                        yield row()
+                    name, n, crc, chunks, digest, begun = key, 0, 0, 0, hashlib.sha256(), False
+                ids = batch.column("ids")[i].as_py()
+                found = b"".join(map(pieces.plain_bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
+                digest.update(found if begun else found.removeprefix(b" "))
+                begun = begun or bool(found)
+                n, crc, chunks = n + len(ids) // 4, zlib.crc32(ids, crc), chunks + 1
+        if name is not None:
+            yield row()
+
+    def blocks(level: DataFrame) -> DataFrame:
+        by = [*text, (F.col("k") / BLOCK).cast("int").alias("block")]
+        return level.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "ins", "outs", "open"))).alias("parts")).withColumnRenamed("block", "k")  # BLOCK rows at most
+
+    chunks = cut(mapped(keyed, split, "h1 long, h2 long, k int, around string, lo int, hi int, first boolean, final boolean").repartition(*text, "k"))
+    levels = [cut(mapped(chunks, _by_rows(transfer, TRANSFER_TYPE), TRANSFER))]
+    while (levels[-1].agg(F.max("k")).first()[0] or 0) > 0:
+        levels.append(cut(mapped(blocks(levels[-1]), _by_rows(combine, TRANSFER_TYPE), TRANSFER)))
+    states = levels[-1].select(*text, "k", F.col("ins").alias("enter"), F.col("outs").alias("leave"))
+    for level in reversed(levels[:-1]):
+        states = cut(mapped(blocks(level).join(states, [*text, "k"]), _by_rows(choose, STATE_TYPE), "h1 long, h2 long, k int, enter array<int>, leave array<int>"))
+    found = mapped(chunks.join(states, [*text, "k"]), _by_rows(backtrace, IDS_TYPE), "h1 long, h2 long, k int, ids binary")
+    whole = mapped(found.repartition(*text).sortWithinPartitions(*text, "k"), digests, "h1 long, h2 long, n_ids long, ids_crc32 long, n_chunks int, decoded_sha256 string")
+    light = hashed.select("doc_id", *text, F.length("text").cast("long").alias("n_chars"))
+    return light.join(whole, text).select("doc_id", "n_chars", "n_ids", "ids_crc32", "n_chunks", "decoded_sha256")
+
+
+_WHOSE = [("h1", pa.int64()), ("h2", pa.int64())]
+_STATES = pa.list_(pa.int32())
+TRANSFER = "h1 long, h2 long, k int, ins array<int>, outs array<int>, open array<boolean>"
+TRANSFER_TYPE = pa.schema([*_WHOSE, ("k", pa.int32()), ("ins", _STATES), ("outs", _STATES), ("open", pa.list_(pa.bool_()))])
+STATE_TYPE = pa.schema([*_WHOSE, ("k", pa.int32()), ("enter", _STATES), ("leave", _STATES)])
+IDS_TYPE = pa.schema([*_WHOSE, ("k", pa.int32()), ("ids", pa.binary())])
+DIGEST_TYPE = pa.schema([*_WHOSE, ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("n_chunks", pa.int32()), ("decoded_sha256", pa.string())])
 
 
 def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
