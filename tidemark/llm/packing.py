@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import batch_of, groups_of, id_text, mapped, utf8_slices
+from tidemark.llm.frames import BROADCAST_ROWS, batch_of, groups_of, id_text, mapped, utf8_slices
 from tidemark.llm.tokens import word_ids
 
 LIMIT = 4096
@@ -197,7 +197,8 @@ def pack(spark: SparkSession, cut_pieces: DataFrame, limit: int = LIMIT) -> Data
     steps = spark.createDataFrame(rows, PLAN).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "n", "per", "bin", "offset"))).alias("ranges"))
     own = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("local", F.row_number().over(own) - 1).join(base, ["length", "shard"]).withColumn("rank", F.col("local") + F.col("base"))
-    placed = ranked.join(F.broadcast(steps), "length")  # its size depends on the limit alone
+    # thousands of rows at this limit, whatever the table; a plan that is longer is shuffled
+    placed = ranked.join(F.broadcast(steps) if len(rows) <= BROADCAST_ROWS else steps, "length")
     return placed.select(*cut_pieces.columns, *_place("ranges", "rank", "length"))
 
 

@@ -6,6 +6,8 @@ has met.  Only ASCII white space splits here; other white space stays within a w
 New words of plain letters are encoded many at a time, since each ends with the one token that is marked
 as a word's end; ASCII signs after an ASCII letter are tokens of their own, so such
 words come from their letters' ids and their signs'.
+
+Defined results: an empty text has no ids (callers read null as empty); a text of any length is encoded whole; equal words have equal ids.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of words and ids that a worker keeps: those met since the last turn, and as many from before it.  A bound on memory, not on results.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 64 << 20
 #: What an entry takes besides.
 ENTRY_BYTES = 170
 #: Words over this length (bytes) aren't kept.
