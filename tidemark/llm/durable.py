@@ -1,7 +1,12 @@
-"""Cutting a frame from its lineage, in the folder that all executors share."""
+"""Cutting a frame from its lineage, in the folder that all executors share.
+
+Frames of any size, empty ones too, come back with the same rows; what they held is never changed.  Spark deletes a
+checkpoint once nothing refers to it, if spark.cleaner.referenceTracking.cleanCheckpoints is set; files of ``stored`` go with the folder.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """The frame's rows, written to the checkpoint folder: lost executors don't lose them, and readers don't compute them again.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset, as in tests, it is a folder of this machine.
+    The folder is ``spark.checkpoint.dir``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -26,7 +31,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine only where executors run in this process, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()

@@ -14,7 +14,8 @@ the DC plane of the luminance component is the image at an eighth of its size, f
 thumbnail and its hash come.  Images that are not baseline raise ``ValueError``.
 
 Defined results: a null text is an empty one, stored as 64 zero bytes; equal texts give equal
-values; ids may be null or repeat; other columns of the input are ignored.
+values; ids may be null or repeat; an empty table gives no rows; very long texts go into images of ``FRAME_ROWS`` rows, one group of images
+in memory at a time; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ without overlap within a kind; a proposal that fails its check is dropped and
 not tried again.  ``iban`` is a further kind that this operator adds.
 
 Defined results: a null text is an empty one and has no spans (counts 0, digest of
-the empty string); rows are independent, so repeated rows repeat their result; ids may be null;
-other columns of the input are ignored.
+the empty string); rows are independent, so repeated rows repeat their result; ids may be null; an empty table gives no rows;
+very long texts are scanned whole (the time of one with very many spans grows with their square); other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ A cheap test on bytes (long runs of token signs, the names in lower case, a PEM
 line) leaves the patterns only texts that can hold a match.
 
 Defined results: a null text is an empty one, with no spans; rows are independent, so repeated
-rows repeat their result; ids may be null; other columns of the input are ignored.
+rows repeat their result; ids may be null; an empty table gives no rows; very long texts are scanned whole, in memory of a few
+times their size; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
