@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows
-from tidemark.llm.frames import batch_of, free_names, id_text, mapped, utf8_slices
+from tidemark.llm.frames import batch_of, free_names, id_text, mapped
 
 WINDOW = 13
 GRAM = 4
@@ -95,11 +95,10 @@ def removed_words(joined: DataFrame, shape: windows.Shape, with_text: bool = Fal
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8_slices(batch.column("text"))
             found, more = windows.found_lists(batch.column("found")), windows.found_lists(batch.column("more"))
             rows = []
             for i in range(batch.num_rows):
-                text = raw[at[i] : at[i + 1]].tobytes()
+                text = windows.unpacked(batch.column("text")[i])
                 words = text.split()
                 gone = windows.covered(len(words), shape, text, found[i], more[i])
                 n = int(gone.sum())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import windows
-from tidemark.llm.frames import batch_of, id_text, mapped, utf8_slices
+from tidemark.llm.frames import batch_of, id_text, mapped
 
 WINDOW = 200
 GRAM = 40
@@ -103,11 +103,10 @@ def without(text: bytes, gone: np.ndarray) -> tuple[int, int, bytes]:
 def removed_bytes(joined: DataFrame, shape: windows.Shape) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8_slices(batch.column("text"))
             found, more = windows.found_lists(batch.column("found")), windows.found_lists(batch.column("more"))
             rows = []
             for i, n in enumerate(batch.column("n").to_pylist()):
-                text = raw[at[i] : at[i + 1]].tobytes()
+                text = windows.unpacked(batch.column("text")[i])
                 if n > 1 and len(text) >= shape.window:
                     gone = np.ones(len(text), bool)
                 else:

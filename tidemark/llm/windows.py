@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,10 +192,9 @@ def anchors(texts: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
             return merged(rows, m, t, shape)
 
         for batch in batches:
-            raw, at = utf8_slices(batch.column("text"))
             ids, ties, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "t", "n"))
             for i in range(batch.num_rows):
-                for part in of_text(raw[at[i] : at[i + 1]].tobytes(), shape.again and n[i] > 1):
+                for part in of_text(unpacked(batch.column("text")[i]), shape.again and n[i] > 1):
                     held.append((part, np.full(part.shape[1], ids[i]), np.full(part.shape[1], ties[i])))
                     size += part.shape[1]
             if size >= MERGED_ROWS:
@@ -339,14 +339,13 @@ def contents(joined: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8_slices(batch.column("text"))
             m, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "t"))
             out: dict[str, list] = {n: [] for n in ("key", "m", "t", "a", "l", "at", "content")}
             for i, (keys, als) in enumerate(found_lists(batch.column("found"))):
                 at_open = np.flatnonzero(keys)
                 if not len(at_open):
                     continue
-                text = raw[at[i] : at[i + 1]].tobytes()
+                text = unpacked(batch.column("text")[i])
                 tokens = shape.tokens(text)
                 places = {base + int(f): int(p - f) for base, _, _, place, first, _ in runs_of(tokens, shape) for p, f in zip(place, first, strict=True)}
                 for j in at_open.tolist():
@@ -419,20 +418,38 @@ def hot_anchors(docs: DataFrame, shape: Shape) -> np.ndarray:
 
 @dataclass
 class Classes:
-    """light: a row for each row of the input (doc_id, m0, h1, h2); classes: h1, h2, m, t, n for each distinct text; texts: m, t, n, text."""
+    """light: a row for each row of the input (doc_id, m0, h1, h2); classes: h1, h2, m, t, n for each distinct text; texts: m, t, n, text (compressed)."""
 
     light: DataFrame
     classes: DataFrame
     texts: DataFrame
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """The rows with their text as compressed UTF-8: texts are shuffled, and read three times after."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            raw, at = utf8_slices(batch.column("text"))
+            texts = pa.array([pack(raw[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+
+    kinds = ", ".join(f"{n} {'binary' if n == 'text' else k}" for n, k in rows.dtypes)
+    return mapped(rows, run, kinds)
+
+
+def unpacked(text: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(text.as_buffer())
+
+
 def distinct_texts(docs: DataFrame) -> Classes:
     m0 = F.coalesce("doc_id", F.lit(NO_ID))
     h1 = F.xxhash64("text")
     light = docs.select("doc_id", m0.alias("m0"), h1.alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     tie = F.shiftrightunsigned("h1", 16)
     classes = light.groupBy("h1", "h2").agg(F.min("m0").alias("m"), F.count("*").alias("n")).withColumn("t", tie)
-    full = docs.select(m0.alias("m0"), F.shiftrightunsigned(h1, 16).alias("t0"), "text")
+    full = compressed(docs.select(m0.alias("m0"), F.shiftrightunsigned(h1, 16).alias("t0"), "text"))
     reps = classes.select("m", "t", "n").hint("shuffle_hash")
     texts = full.join(reps, (F.col("m0") == F.col("m")) & (F.col("t0") == F.col("t"))).select("m", "t", "n", "text")
     return Classes(light, classes, texts)
