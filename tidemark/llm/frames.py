@@ -68,10 +68,20 @@ def released() -> None:
         pass
 
 
-def mapped(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """run over the Arrow batches of each partition, small ones; a task that ends gives its memory back."""
+#: What workers keep between tasks, by name: how to let go of it.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def mapped(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str = "") -> DataFrame:
+    """run over the Arrow batches of each partition, small ones; a task that ends gives its memory back.
+
+    keeps: what of KEPT the tasks use; a worker lets go of the rest when such a task begins.
+    """
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, let_go in KEPT.items():
+            if name != keeps:
+                let_go()
         try:
             yield from run(batches)
         finally:

@@ -77,7 +77,7 @@ def pieces(df: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str =
             if owner:
                 yield batch_of(**out)
 
-    return mapped(id_text(df, id_col, text_col), run, PIECES + (", ids array<int>" if with_ids else ""))
+    return mapped(id_text(df, id_col, text_col), run, PIECES + (", ids array<int>" if with_ids else ""), keeps="tokens")
 
 
 class Rooms:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.durable import cut
-from tidemark.llm.frames import batch_of, groups_of, id_text, mapped, utf8_slices
+from tidemark.llm.frames import KEPT, batch_of, groups_of, id_text, mapped, utf8_slices
 
 GIANT = 32_768
 CHUNK = 16_384
@@ -319,6 +319,9 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+KEPT["pieces"] = pieces_of.cache_clear
+
+
 def encode(text: str, path: str, chunk: int | None = None) -> np.ndarray:
     """The ids of a text; with chunk by the scan, in this process."""
     pieces, text = pieces_of(path), normal(text)
@@ -364,7 +367,7 @@ def small_texts(docs: DataFrame, path: str) -> DataFrame:
                 rows.append(result_of(pieces.whole(normal(text)), len(text), 1, pieces))
             yield result_batch(batch.column("doc_id"), rows)
 
-    return mapped(docs, run, RESULT)
+    return mapped(docs, run, RESULT, keeps="pieces")
 
 
 def _pairs(flat: list[int]) -> list[State]:
@@ -455,15 +458,15 @@ def giant_texts(docs: DataFrame, path: str) -> DataFrame:
         by = [*text, (F.col("k") / BLOCK).cast("int").alias("block")]
         return level.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "ins", "outs", "open"))).alias("parts")).withColumnRenamed("block", "k")  # BLOCK rows at most
 
-    chunks = cut(mapped(keyed, split, "h1 long, h2 long, k int, around string, lo int, hi int, first boolean, final boolean").repartition(*text, "k"))
-    levels = [cut(mapped(chunks, _by_rows(transfer, TRANSFER_TYPE), TRANSFER))]
+    chunks = cut(mapped(keyed, split, "h1 long, h2 long, k int, around string, lo int, hi int, first boolean, final boolean", keeps="pieces").repartition(*text, "k"))
+    levels = [cut(mapped(chunks, _by_rows(transfer, TRANSFER_TYPE), TRANSFER, keeps="pieces"))]
     while (levels[-1].agg(F.max("k")).first()[0] or 0) > 0:
-        levels.append(cut(mapped(blocks(levels[-1]), _by_rows(combine, TRANSFER_TYPE), TRANSFER)))
+        levels.append(cut(mapped(blocks(levels[-1]), _by_rows(combine, TRANSFER_TYPE), TRANSFER, keeps="pieces")))
     states = levels[-1].select(*text, "k", F.col("ins").alias("enter"), F.col("outs").alias("leave"))
     for level in reversed(levels[:-1]):
-        states = cut(mapped(blocks(level).join(states, [*text, "k"]), _by_rows(choose, STATE_TYPE), "h1 long, h2 long, k int, enter array<int>, leave array<int>"))
-    found = mapped(chunks.join(states, [*text, "k"]), _by_rows(backtrace, IDS_TYPE), "h1 long, h2 long, k int, ids binary")
-    whole = mapped(found.repartition(*text).sortWithinPartitions(*text, "k"), digests, "h1 long, h2 long, n_ids long, ids_crc32 long, n_chunks int, decoded_sha256 string")
+        states = cut(mapped(blocks(level).join(states, [*text, "k"]), _by_rows(choose, STATE_TYPE), "h1 long, h2 long, k int, enter array<int>, leave array<int>", keeps="pieces"))
+    found = mapped(chunks.join(states, [*text, "k"]), _by_rows(backtrace, IDS_TYPE), "h1 long, h2 long, k int, ids binary", keeps="pieces")
+    whole = mapped(found.repartition(*text).sortWithinPartitions(*text, "k"), digests, "h1 long, h2 long, n_ids long, ids_crc32 long, n_chunks int, decoded_sha256 string", keeps="pieces")
     light = hashed.select("doc_id", *text, F.length("text").cast("long").alias("n_chars"))
     return light.join(whole, text).select("doc_id", "n_chars", "n_ids", "ids_crc32", "n_chunks", "decoded_sha256")
 

@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.frames import KEPT
+
 #: Bytes of words and ids that a worker keeps: those met since the last turn, and as many from before it.  A bound on memory, not on results.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 40 << 20
 #: What an entry takes besides.
 ENTRY_BYTES = 170
 #: Words over this length (bytes) aren't kept.
@@ -134,3 +136,6 @@ class WordIds(dict):
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
+
+
+KEPT["tokens"] = word_ids.cache_clear
