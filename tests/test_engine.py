@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import engine
 from tidemark.engine import MAINTENANCE, Database
 from tidemark.model import Rejected, TableConfig
 from tidemark.operators import rollup as ru
@@ -331,3 +332,52 @@ def test_verified_segments(spark, db, tmp_path):
     odd = next(s for s in t["segments"] if s.get("archive"))
     spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "odd"))
     assert "columns" in segments.faults(spark, {str(tmp_path / "odd"): odd})[0]
+
+
+def test_states_are_made_once(db, monkeypatch):
+    """A checkpoint leaves the states of one commit as they are; a new width makes its states in one pass, without a second shuffle."""
+    db.create_table("metrics", {"rollup_widths_us": [10, 100]})
+    db.write("metrics", "a", [row(t, t) for t in range(50)], 0)
+    before = db.state["tables"]["metrics"]["deltas"]
+    db.checkpoint()
+    assert db.state["tables"]["metrics"]["deltas"] == before
+    monkeypatch.setattr(ru, "not_finite", lambda states: pytest.fail("the states were made twice"))
+    monkeypatch.setattr(type(db.rows("metrics")), "hint", lambda *_: pytest.fail("the states were dealt twice"))
+    db.create_continuous_aggregate("fives", "metrics", 5)
+    assert [r["count"] for r in db.rollups("metrics", width_us=5).collect()] == [5] * 10
+    db.write("metrics", "late", [row(3, 4)], 0)
+    db.checkpoint()
+    assert len(db.state["tables"]["metrics"]["deltas"]) == 1
+    assert {w: db.rollups("metrics", width_us=w).agg(F.sum("count")).first()[0] for w in (5, 10, 100)} == {5: 51, 10: 51, 100: 51}
+
+
+def test_tasks_sort_a_bounded_number_of_rows(spark, db, monkeypatch):
+    """Rows that one task has written are read by many, in more partitions for more widths."""
+    monkeypatch.setattr(engine, "TASK_ROWS", 20_000)
+    monkeypatch.setattr(segments, "BLOCK", 1 << 18)
+    db.create_table("metrics", {"shards": 1, "window_us": 10**6, "rollup_widths_us": [10, 100]})
+    i = F.col("id")
+    db.write("metrics", "a", spark.range(0, 200_000, 1, 1).select(i.alias("timestamp_us"), F.lit("t").alias("tenant"), F.lit("s").alias("series"), F.rand(1).alias("value"), F.lit(None).cast("map<string,string>").alias("tags")), 0)
+    hot = db.state["tables"]["metrics"]["hot"]
+    sizes = db._read(hot, 2).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 200_000 and max(sizes) < 100_000 and len(sizes) >= 20
+    assert db.rollups("metrics").groupBy("width_us").agg(F.sum("count")).orderBy("width_us").collect() == [(10, 200_000), (100, 200_000)]
+
+
+def test_small_groups_are_one_file(spark, tmp_path):
+    """Segments follow the rows, not how a shuffle is split: a file for each shard and window up to segment_rows, several beyond."""
+    i = F.col("id")
+    rows = spark.range(0, 30_000, 1, 8).select((i % 3_000).alias("timestamp_us"), F.lit("t").alias("tenant"), i.cast("string").alias("series"), F.rand(1).alias("value"), F.lit(None).cast("map<string,string>").alias("tags"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        for segment_rows, files in ((20_000, 3), (4_000, None)):
+            db = Database(spark, str(tmp_path / str(segment_rows)), segment_rows=segment_rows)
+            db.create_table("metrics", {"shards": 1, "window_us": 1_000, "rollup_widths_us": []})
+            db.write("metrics", "a", rows, 0)
+            db.checkpoint()
+            found = db.segments("metrics")
+            assert sum(s["rows"] for s in found) == 30_000 and max(s["rows"] for s in found) <= segment_rows
+            assert len(found) == files if files else len(found) >= 9
+            assert db.rows("metrics").select("series").distinct().count() == 30_000 and not db.verify("metrics")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
