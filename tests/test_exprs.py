@@ -26,6 +26,16 @@ def test_shards(spark):
     assert [shard_of(*k) for k in keys] == [fnv(*k) for k in keys]
 
 
+@pytest.mark.parametrize("shards", [1, 2, 3, 8, 1000, 1024])
+def test_shards_of_literal_numbers(spark, shards):
+    """Powers of two take the low half alone: a state of one number, not of a struct."""
+    keys = [("tenant", "cpu"), ("東京", "é" * 400), ("", "x\0y"), ("t" * 256, ""), ("a", "b" * 70_000)]
+    rows = spark.createDataFrame(keys, "t string, s string")
+    got = rows.select(shard_for(F.col("t"), F.col("s"), shards).alias("shard"))
+    assert [r.shard for r in got.collect()] == [fnv(*k, shards) for k in keys]
+    assert ("struct" in got._jdf.queryExecution().analyzed().toString()) == (shards & (shards - 1) > 0)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-(2**60), 2**60), st.integers(1, 10**15)), min_size=1, max_size=30))
 def test_windows_floor(spark, pairs):
