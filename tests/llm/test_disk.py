@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, durable
+from tidemark.llm import components, durable, simhash
 
 
 def shuffle_files(spark):
@@ -47,6 +47,29 @@ def test_a_small_graph_takes_few_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_small_frames_are_few_files(spark, monkeypatch):
+    """Fingerprints of an input in many small files and shuffles of many partitions: what is kept and what is returned take few tasks."""
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    words = "one two three four five six seven eight nine ten".split()
+    docs = durable.stored(spark.createDataFrame([(i, " ".join(words[i % 7 :]) + f" {i % 20}") for i in range(300)], "doc_id long, text string").repartition(40))
+    kept = []
+    for module in (components, simhash):
+        monkeypatch.setattr(module, "cut", lambda df: kept.append(durable.cut(df)) or kept[-1])
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.files.openCostInBytes", "64m")  # two files to a task
+        assert docs.rdd.getNumPartitions() >= 20
+        found = simhash.simhash_components(docs)
+        assert found.count() == 300
+        assert all(df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism for df in [*kept, found])
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize(("broadcast", "task"), [(0, 100_000), (1_000_000, 7), (150, 50)])
 def test_components_by_either_join(spark, monkeypatch, broadcast, task):
     """Broadcast or shuffled, in one task or many: the same roots, on hubs, chains and a random forest."""

@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.durable import cut
+from tidemark.llm.durable import cut, gathered, tasks_for
 from tidemark.llm.frames import BROADCAST_ROWS
 
 #: Edges to a task of a round.
 TASK_EDGES = 100_000
+#: Of edges that are only known to be so many at most: a task may get as many.
+MOST_TASK_EDGES = 1_000_000
 
 
 def _stars(edges: DataFrame, n: int, *, large: bool) -> DataFrame:
@@ -45,16 +47,20 @@ def _stars(edges: DataFrame, n: int, *, large: bool) -> DataFrame:
 
 
 def _tasks(edges: DataFrame, n: int) -> int:
-    return max(edges.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_EDGES))
+    return tasks_for(edges, n, TASK_EDGES)
 
 
 def _mark(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node that it reaches) for every node of edges (a, b: long; either order, repeats and loops allowed)."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, root (the smallest node that it reaches) for every node of edges (a, b: long; either order, repeats and loops allowed).
+
+    most: edges at most, if the caller knows; the first frame of them takes as many tasks as these need.
+    """
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges = cut(edges if most is None else gathered(edges, most, MOST_TASK_EDGES))
     mark = _mark(edges)
     while mark[0]:
         few = edges.coalesce(_tasks(edges, mark[0]))

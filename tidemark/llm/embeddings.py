@@ -260,7 +260,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         held = index.select("cid", "near", "vector").join(light.select("cid", "weight"), "cid")
         blocks = places.join(held, "cid").repartition("block").sortWithinPartitions("block")
         partial = cut(block_results(blocks, floats))
-        tied = components(partial.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+        tied = components(partial.select(F.col("cid").alias("a"), F.col("root").alias("b")), partial.count())
         counts = partial.groupBy("cid").agg(F.sum("links").alias("links"))
         named = light.join(tied.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         names = named.groupBy("root").agg(F.min("first").alias("component_id"))

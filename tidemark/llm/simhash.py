@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.durable import cut
+from tidemark.llm.durable import cut, gathered, gathered_input
 from tidemark.llm.frames import batch_of, id_text, map_batches, utf8_slices
 
 SHINGLE = 3
@@ -82,12 +82,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_components(fps: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of fps (doc_id, fp), which is read several times."""
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tied = components(links(classes.select("fp")))
+    rows = fps.count()
+    classes = cut(gathered(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), rows))
+    # of the variants of a fingerprint, all but the least of those that meet give a link at most
+    tied = components(links(classes.select("fp")), (BITS + 1) * classes.count())
     rooted = classes.join(tied, classes["fp"] == tied["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return gathered(fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id"), rows)
 
 
 def simhash_components(df: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return near_components(cut(fingerprints(df, width, id_col, text_col)))
+    return near_components(cut(fingerprints(gathered_input(df), width, id_col, text_col)))
