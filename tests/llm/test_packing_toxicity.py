@@ -85,6 +85,14 @@ def test_word_ids_like_the_library(text):
         assert np.frombuffer(ids.text_ids(pa.array(["x", text, "y <| z", text]))[1], "<u4").tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_met_once_whatever_signs_follow():
+    texts = ["Word, word. word; (word) word!?", "word's çé, çé. ÇÉ... é' é.'x é\u0301, a.b,c-d x_y z", "ﬁ, ΑΣ. İ! 9,5 ß[1]"]
+    ids = WordIds(WORDS)
+    got = [np.frombuffer(x, "<u4").tolist() for x in ids.text_ids(pa.array(texts))]
+    assert got == [Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids for t in texts]
+    assert {w for w in ids if b"word" in w} == {b"word", b"(word", b"word's"} and "çé,".encode() not in ids
+
+
 # -- toxicity
 
 

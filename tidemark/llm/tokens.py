@@ -4,8 +4,9 @@ The word tokenizer drops white space and never joins across it, so a text's ids
 of its words one after the other, and a worker keeps the ids of words that it
 has met.  Only ASCII white space splits here; other white space stays within a word, where the tokenizer itself splits.
 New words of plain letters are encoded many at a time, since each ends with the one token that is marked
-as a word's end; ASCII signs after an ASCII letter are tokens of their own, so such
-words come from their letters' ids and their signs'.
+as a word's end; ASCII signs after a letter are tokens of their own, so texts are cut there before
+words are looked up, and a word is met once, whatever signs follow it.  Texts that may name a special token stay as they are; there such words come
+from their letters' ids and their signs'.
 
 Defined results: an empty text has no ids (callers read null as empty); a text of any length is encoded whole; equal words have equal ids.
 """
@@ -30,6 +31,8 @@ ENTRY_BYTES = 170
 KEPT_LENGTH = 64
 WORD_END = "</w>"
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A letter before an ASCII sign but the apostrophe: the tokenizer cuts there.
+LETTER_SIGN = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 #: ASCII signs but the apostrophe, which begins endings such as 's.
 SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
@@ -55,7 +58,7 @@ class WordIds(dict):
         The tokenizer lowers letters itself; only special tokens' names must not arise from that.
         """
         named = pc.match_substring(texts, "<|")
-        low = pc.ascii_lower(texts)
+        low = pc.replace_substring_regex(pc.ascii_lower(texts), LETTER_SIGN, r"\1 \2")
         if pc.any(named).as_py():
             low = pc.if_else(named, texts, low)
         words = pc.ascii_split_whitespace(low)
